@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwave.llm.common import scratch_table
 from siftwave.llm.components import components
@@ -127,7 +128,7 @@ def near_pairs(threshold: float):
     return run
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def as_bytes(v: pd.Series) -> pd.Series:
     """A vector as its floats' bytes, which are cheaper to move than an array."""
     return v.map(lambda x: np.asarray(x, np.float32).tobytes())
