@@ -1,4 +1,381 @@
-"""The registered queries of the screening operators and their SQL twins."""
+"""The registered queries of the screening operators and their SQL twins.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Documents stand for messages, labels.toxic for human verdicts, pages for URLs, benchmark for signatures, events
+for an ordered stream. Every query reads whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwave.functions import text as T
+from siftwave.functions import urls as U
+from siftwave.operators import compare as C
+from siftwave.operators import lookup as L
+from siftwave.operators import screening as S
+from siftwave.operators import similar as N
+from siftwave.operators import windows as W
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- views that several queries start from, and the same in SQL
+
+LOG_SQL = r"""log AS (
+  SELECT doc_id, text AS message, source, doc_id % 5 = 0 AS is_trap, CAST(doc_id % 4 AS VARCHAR) AS code,
+         (doc_id % 101) / 100.0 AS p, CASE WHEN doc_id % 10 = 1 THEN NULL ELSE doc_id % 10 = 0 OR length(text) % 7 = 0 END AS is_spam
+  FROM documents)"""
+
+
+def verdict_log(spark: SparkSession, d: str) -> DataFrame:
+    """A report of machine verdicts over messages."""
+    i = F.col("doc_id")
+    is_spam = F.when(i % 10 == 1, None).otherwise((i % 10 == 0) | (F.char_length("text") % 7 == 0))
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("message"), "source", (i % 5 == 0).alias("is_trap"), (i % 4).cast("string").alias("code"), ((i % 101) / 100.0).alias("p"), is_spam.alias("is_spam"))
+
+
+KEY_SQL = r"md5(translate(message, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))"
+JOIN_SQL = rf"""{LOG_SQL},
+h0 AS (SELECT l.doc_id AS id, {KEY_SQL.replace('message', 'd.text')} AS key, toxic = 1 AS is_spam FROM labels l JOIN documents d USING (doc_id)),
+m0 AS (SELECT doc_id AS id, {KEY_SQL} AS key, is_spam FROM log),
+h AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS occ FROM h0),
+m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS occ FROM m0),
+j AS (SELECT coalesce(h.key, m.key) AS key, coalesce(h.occ, m.occ) AS occ, h.id AS human_id, h.is_spam AS human_spam, m.id AS machine_id, m.is_spam AS machine_spam,
+             CASE WHEN m.id IS NULL THEN 'left' WHEN h.id IS NULL THEN 'right' ELSE 'both' END AS side
+      FROM h FULL OUTER JOIN m ON h.key = m.key AND h.occ = m.occ)"""
+
+
+def joined(spark: SparkSession, d: str) -> DataFrame:
+    key = lambda c: F.md5(T.strip_ascii_space(F.col(c)))
+    human = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("id"), key("text").alias("key"), (F.col("toxic") == 1).alias("is_spam"))
+    machine = verdict_log(spark, d).select(F.col("doc_id").alias("id"), key("message").alias("key"), "is_spam")
+    return C.occurrence_join(human, machine)
+
+
+COUNTS_SQL = """count(*) FILTER (coalesce(human_spam, false) AND coalesce(machine_spam, false)) AS tp,
+  count(*) FILTER (coalesce(human_spam, false) AND NOT coalesce(machine_spam, false)) AS fn,
+  count(*) FILTER (NOT coalesce(human_spam, false) AND coalesce(machine_spam, false)) AS fp,
+  count(*) FILTER (NOT coalesce(human_spam, false) AND NOT coalesce(machine_spam, false)) AS tn"""
+
+
+def metrics_sql(source: str, keys: str = "") -> str:
+    """SQL of agreement() over tp, fn, fp, tn."""
+    r = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a}) * 1.0 / ({b}) ELSE 0.0 END"
+    return f"""
+n1 AS (SELECT *, {r('tp', '(tp + fp)')} AS precision, {r('tp', '(tp + fn)')} AS recall, {r('tp + tn', '(tp + fn + fp + tn)')} AS accuracy,
+  {r('fp + fn', '(tp + fn + fp + tn)')} AS disagreement, {r('fn', '(tp + fn)')} AS fn_rate, {r('fp', '(fp + tn)')} AS fp_rate,
+  {r('tp + fn', '(tp + fn + fp + tn)')} * ({r('tp + fp', '(tp + fn + fp + tn)')}) AS pa, {r('fp + tn', '(tp + fn + fp + tn)')} * ({r('fn + tn', '(tp + fn + fp + tn)')}) AS pb,
+  CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn) AS dd FROM {source}),
+n2 AS (SELECT *, (CASE WHEN tp + fn + fp + tn > 0 THEN (tp + fn) * 1.0 / (tp + fn + fp + tn) * (tp + fp) * 1.0 / (tp + fn + fp + tn) + (fp + tn) * 1.0 / (tp + fn + fp + tn) * (fn + tn) * 1.0 / (tp + fn + fp + tn) ELSE 0.0 END) AS pe FROM n1),
+n3 AS (SELECT *, CASE WHEN pe < 1 THEN (accuracy - pe) / (1 - pe) ELSE 0.0 END AS kappa, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+  CASE WHEN dd > 0 THEN (CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / sqrt(dd) ELSE 0.0 END AS mcc FROM n2),
+n4 AS (SELECT *, 0.4 * recall + 0.3 * (1 - fn_rate) + 0.3 * kappa AS hei FROM n3)
+SELECT {keys} tp, fn, fp, tn, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, round(accuracy, 4) AS accuracy, round(kappa, 4) AS kappa,
+  round(mcc, 4) AS mcc, round(disagreement, 4) AS disagreement, round(fn_rate, 4) AS fn_rate, round(fp_rate, 4) AS fp_rate, round(hei, 4) AS hei,
+  CASE WHEN kappa >= 0.75 THEN 'cooperate' WHEN kappa >= 0.65 THEN 'watch' ELSE 'improve' END AS status,
+  fp_rate < 0.01 AND recall >= 0.95 AND accuracy >= 0.90 AND kappa >= 0.8 AS kpi_pass
+FROM n4"""
+
+
+# ---- comparison and monitoring
+
+
+@query(f"WITH {JOIN_SQL}, s AS (SELECT {COUNTS_SQL} FROM j WHERE side = 'both'), {metrics_sql('s')}")
+def agreement_metrics(spark, d):
+    return C.agreement(C.confusion(joined(spark, d)))
+
+
+@query(f"WITH {JOIN_SQL} SELECT key, occ, human_id, human_spam, machine_id, machine_spam, side FROM j")
+def occurrence_join(spark, d):
+    return joined(spark, d)
+
+
+@query(f"WITH {JOIN_SQL} SELECT side, human_id, machine_id FROM j WHERE side <> 'both'")
+def missing_sides(spark, d):
+    return joined(spark, d).filter("side <> 'both'").select("side", "human_id", "machine_id")
+
+
+DAY_SQL = f"f AS (SELECT '202601' || lpad(CAST(coalesce(human_id, machine_id) % 28 + 1 AS VARCHAR), 2, '0') AS date, source, j.* FROM j JOIN documents d ON d.doc_id = coalesce(human_id, machine_id)), g AS (SELECT date, source, {COUNTS_SQL} FROM f WHERE side = 'both' GROUP BY ALL)"
+
+
+def daily_files(spark, d):
+    j = joined(spark, d).withColumn("doc_id", F.coalesce("human_id", "machine_id")).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return C.confusion(j.withColumn("date", F.concat(F.lit("202601"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))), "date", "source")
+
+
+@query(f"WITH {JOIN_SQL}, {DAY_SQL}, s AS (SELECT date, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(tn) AS BIGINT) AS tn, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM g GROUP BY date), {metrics_sql('s', 'date, sources,')}")
+def daily_trend(spark, d):
+    return C.daily_trend(daily_files(spark, d))
+
+
+@query(f"WITH {JOIN_SQL}, {DAY_SQL} SELECT date, source, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(tn) AS BIGINT) AS tn FROM g GROUP BY GROUPING SETS ((date, source), (date))")
+def day_detail(spark, d):
+    files = daily_files(spark, d)
+    sets = [[F.col("date"), F.col("source")], [F.col("date")]]
+    return files.groupingSets(sets, "date", "source").agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp", "tn")])
+
+
+@query(
+    rf"""WITH {JOIN_SQL}, x AS (SELECT human_id, machine_id, CASE WHEN human_spam THEN 'FN' ELSE 'FP' END AS kind, d.text AS reason FROM j JOIN documents d ON d.doc_id = human_id
+    WHERE side = 'both' AND human_spam <> coalesce(machine_spam, false))
+SELECT md5(CAST(human_id AS VARCHAR) || '_' || CAST(machine_id AS VARCHAR)) AS diff_id, kind, left(reason, 80) || CASE WHEN length(reason) > 80 THEN '...' ELSE '' END AS preview,
+  CASE WHEN kind = 'FN' THEN CASE WHEN regexp_matches(lower(reason), 'ambiguous') THEN 'ambiguous_human' ELSE 'policy_difference' END
+       ELSE CASE WHEN regexp_matches(lower(reason), 'suspicious|promotional|commercial') THEN 'over_blocking' ELSE 'keyword_false_alarm' END END AS tag FROM x"""
+)
+def policy_tags(spark, d):
+    j = joined(spark, d).filter(F.col("side") == "both").filter(F.col("human_spam") != F.coalesce("machine_spam", F.lit(False)))
+    j = j.join(table(spark, d, "documents").select(F.col("doc_id").alias("human_id"), F.col("text").alias("reason")), "human_id").withColumn("kind", F.when(F.col("human_spam"), "FN").otherwise("FP"))
+    preview = F.concat(F.left("reason", F.lit(80)), F.when(F.char_length("reason") > 80, "...").otherwise(""))
+    return j.select(F.md5(F.concat_ws("_", "human_id", "machine_id")).alias("diff_id"), "kind", preview.alias("preview"), C.policy_tag(F.col("kind"), F.col("reason"), F.col("reason")).alias("tag"))
+
+
+# ---- text
+
+SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+APPROX = "(length({0}) + length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g')))"
+
+
+@query(
+    rf"""WITH b AS (SELECT doc_id, text, translate(text, {SPACES}, '') AS bare FROM documents)
+SELECT doc_id, sha256(bare) AS bare, CAST({APPROX.format('bare')} AS INT) AS bytes, CAST(strlen(text) AS INT) AS utf8, length(bare) <= 30 AS hold_ok,
+  left(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 30) AS sim_key FROM b"""
+)
+def text_norms(spark, d):
+    bare = T.strip_ascii_space(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(bare, 256).alias("bare"), T.approx_bytes(bare).alias("bytes"), F.octet_length("text").alias("utf8"), (F.char_length(bare) <= 30).alias("hold_ok"), T.similarity_key(F.col("text")).alias("sim_key"))
+
+
+RATIO_SQL = r"""CASE WHEN length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^\p{Nd}OoIlBSZbqgz]', '', 'g')) * 1.0 / length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) ELSE 0.0 END"""
+
+
+@query(
+    rf"""SELECT doc_id, round({RATIO_SQL}, 6) AS lookalike, length(text) >= 10 AND (length(text) - length(regexp_replace(text, '[?*_#~^·]', '', 'g'))) * 1.0 / length(text) >= 0.15 AS masked,
+  regexp_matches(text, '(?i)[a-z0-9]*[?*_#~^·]+[a-z0-9]*\.[a-z]{{2,}}') AS masked_domain, regexp_matches(translate(text, {SPACES}, ''), '[?]{{10,}}') AS broken FROM documents"""
+)
+def obfuscation_features(spark, d):
+    c = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.round(T.lookalike_share(c), 6).alias("lookalike"), T.masked(c).alias("masked"), T.masked_domain(c).alias("masked_domain"), T.broken(c).alias("broken"))
+
+
+CASCADE_SQL = rf"""r AS (SELECT doc_id, CASE WHEN {APPROX.format(f"translate(text, {SPACES}, '')")} < 9 THEN 'short_message' WHEN {RATIO_SQL} >= 0.55 THEN 'alphanumeric_obfuscation' END AS pattern FROM documents)"""
+
+
+@query(f"WITH {CASCADE_SQL} SELECT doc_id, pattern, CASE pattern WHEN 'short_message' THEN false WHEN 'alphanumeric_obfuscation' THEN true END AS is_spam, CASE pattern WHEN 'short_message' THEN 'SKIP' WHEN 'alphanumeric_obfuscation' THEN '0' END AS code, coalesce(pattern = 'short_message', false) AS excluded FROM r")
+def rule_cascade(spark, d):
+    c = F.col("text")
+    return table(spark, d, "documents").select("doc_id", S.rule_check(c, T.approx_bytes(T.strip_ascii_space(c))).alias("r")).select("doc_id", "r.*")
+
+
+@query(
+    f"""WITH {LOG_SQL}, b AS (SELECT doc_id, p, code, CASE WHEN is_spam THEN 'SPAM' ELSE 'HAM' END AS label FROM log)
+SELECT doc_id, CASE WHEN label = 'SPAM' AND p >= 0.6 THEN 'SPAM' WHEN label = 'SPAM' AND p >= 0.4 THEN 'HITL' ELSE 'HAM' END AS verdict,
+  CASE WHEN label = 'SPAM' AND p >= 0.6 THEN code WHEN label = 'SPAM' AND p >= 0.4 THEN '30' END AS code, CAST(CAST(floor(p * 100) AS INT) AS VARCHAR) || '%' AS percent FROM b"""
+)
+def verdict_bands(spark, d):
+    log = verdict_log(spark, d).withColumn("b", S.band(F.when(F.col("is_spam"), "SPAM").otherwise("HAM"), F.col("p"), F.col("code")))
+    return log.select("doc_id", T.verdict_text(F.col("b.is_spam")).alias("verdict"), "b.code", T.percent(F.col("p")).alias("percent"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN left(c, 1) IN ('=', '+', '-', '@') THEN '''' || c ELSE c END AS cell, coalesce(nullif(regexp_extract(c, '[0-9]+', 0), ''), c) AS code
+FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' ELSE '' END || props AS c FROM events)"""
+)
+def display_cells(spark, d):
+    i = F.col("event_id") % 4
+    c = F.concat(F.when(i == 0, "=").when(i == 1, "-").otherwise(""), F.col("props"))
+    return table(spark, d, "events").select("event_id", T.safe_cell(c).alias("cell"), T.code_digits(c).alias("code"))
+
+
+# ---- URLs
+
+HOST_SQL = r"regexp_replace(regexp_extract(lower(trim(url)), '^(?:https?://)?([^/?#:]*)', 1), '^www\.', '')"
+PATH_SQL = r"regexp_replace(regexp_extract(trim(url), '^(?:[hH][tT][tT][pP][sS]?://)?[^/?#]*([^?#]*)', 1), '/+$', '')"
+
+
+@query(rf"SELECT page_id, {HOST_SQL} AS host, CASE WHEN url IS NULL OR url = 'Unknown' THEN '' ELSE {HOST_SQL} || {PATH_SQL} END AS domain_path, regexp_matches(url, '^(https?://)?[^/?#]+/?$') AS bare, regexp_matches({HOST_SQL}, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') AS ip FROM pages")
+def url_parts(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", U.host(u).alias("host"), U.domain_path(u).alias("domain_path"), U.is_bare(u).alias("bare"), U.is_ip(u).alias("ip"))
+
+
+@query(rf"WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages), m AS (SELECT DISTINCT regexp_extract(host, '[^.]+\.[^.]+$', 0) AS domain FROM h WHERE page_id % 2 = 0) SELECT page_id, host, max_by(domain, length(domain)) AS domain FROM h JOIN m ON host = domain OR suffix(host, '.' || domain) GROUP BY ALL")
+def suffix_domains(spark, d):
+    h = table(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("host"))
+    domains = h.filter("page_id % 2 = 0").select(F.regexp_extract("host", r"[^.]+\.[^.]+$", 0).alias("domain"))
+    return L.suffix_match(h, domains)
+
+
+@query(r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, 'https?://[^ \t\r\n<>"'']+'))) AS n FROM pages""")
+def page_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(r"https?://[^ \t\r\n<>\"']+"), F.lit(0)))).cast("long").alias("n"))
+
+
+@query(rf"WITH k AS (SELECT page_id, length(url) AS len, {HOST_SQL} || {PATH_SQL} AS key FROM pages), g AS (SELECT key, min(page_id) AS page_id, count(*) AS n FROM k GROUP BY key) SELECT k.key, g.page_id, k.len, g.n FROM g JOIN k USING (page_id, key)")
+def url_first_wins(spark, d):
+    k = table(spark, d, "pages").select("page_id", F.char_length("url").cast("long").alias("len"), U.domain_path(F.col("url")).alias("key"))
+    return L.first_wins(k, "key", "page_id", "len").join(k.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+
+
+# ---- filters, counters, samples over the verdict log
+
+
+@query(f"WITH {LOG_SQL} SELECT is_trap, count(*) AS total, count(*) FILTER (is_spam) AS spam, count(*) FILTER (NOT is_spam) AS ham, count(*) FILTER (is_spam IS NULL) AS hitl, count(*) FILTER (p BETWEEN 0.4 AND 0.6) AS review FROM log GROUP BY is_trap")
+def status_counts(spark, d):
+    n = lambda c, a: F.count(F.when(c, 1)).alias(a)
+    s = F.col("is_spam")
+    return verdict_log(spark, d).groupBy("is_trap").agg(F.count(F.lit(1)).alias("total"), n(s, "spam"), n(~s, "ham"), n(s.isNull(), "hitl"), n(F.col("p").between(0.4, 0.6), "review"))
+
+
+@query(f"WITH {LOG_SQL} SELECT coalesce(source, 'MISSING') AS class, code, count(*) AS n FROM log GROUP BY GROUPING SETS ((coalesce(source, 'MISSING')), (coalesce(source, 'MISSING'), code), ())")
+def class_distribution(spark, d):
+    log = verdict_log(spark, d).withColumn("class", F.coalesce("source", F.lit("MISSING")))
+    return log.groupingSets([[F.col("class")], [F.col("class"), F.col("code")], []], "class", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"WITH {LOG_SQL} SELECT doc_id FROM log WHERE {APPROX.format('message')} BETWEEN 100 AND 2000 AND code IN ('1', '2') AND p BETWEEN 0.2 AND 0.9 AND NOT is_trap AND contains(lower(message), 'the')")
+def advanced_filter(spark, d):
+    m = F.col("message")
+    return verdict_log(spark, d).filter(T.approx_bytes(m).between(100, 2000) & F.col("code").isin("1", "2") & F.col("p").between(0.2, 0.9) & ~F.col("is_trap") & L.like(m, "The")).select("doc_id")
+
+
+@query(f"WITH {LOG_SQL}, h AS (SELECT doc_id, unnest(list_filter([CASE WHEN is_spam AND p < 0.5 THEN 'spam_low' END, CASE WHEN NOT is_spam AND p > 0.5 THEN 'ham_high' END, CASE WHEN is_spam IS NULL THEN 'hitl' END, CASE WHEN p BETWEEN 0.45 AND 0.55 THEN 'middle' END], lambda x: x IS NOT NULL)) AS test FROM log) SELECT doc_id, test FROM h")
+def ambiguous_verdicts(spark, d):
+    s, p = F.col("is_spam"), F.col("p")
+    tests = F.array(F.when(s & (p < 0.5), "spam_low"), F.when(~s & (p > 0.5), "ham_high"), F.when(s.isNull(), "hitl"), F.when(p.between(0.45, 0.55), "middle"))
+    return verdict_log(spark, d).select("doc_id", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("test"))
+
+
+@query(f"WITH {LOG_SQL} SELECT source, nth, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM log WHERE is_spam) WHERE nth <= 10")
+def rule_samples(spark, d):
+    return W.first_samples(verdict_log(spark, d).filter("is_spam"), "source", "doc_id", 10).select("source", "nth", "doc_id")
+
+
+@query(f"WITH {LOG_SQL} SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN is_spam THEN 0 WHEN is_spam IS NULL THEN 3 ELSE 2 END, abs(p - 0.5), doc_id) AS pos FROM log")
+def review_order(spark, d):
+    rank = F.when(F.col("is_spam"), 0).when(F.col("is_spam").isNull(), 3).otherwise(2)
+    return W.global_position(verdict_log(spark, d).select("doc_id", "is_spam", "p"), rank, F.abs(F.col("p") - 0.5), "doc_id").select("doc_id", "pos")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def paged_orders(spark, d):
+    return W.page(table(spark, d, "orders"), 3, 50, "o_totalprice", ["o_totalprice", "o_orderdate"], "o_orderdate", "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+# ---- dictionaries
+
+SIGS_SQL = rf"sigs AS (SELECT DISTINCT left(translate(text, {SPACES}, ''), CASE WHEN item_id % 2 = 0 THEN 20 ELSE 40 END) AS signature, item_id AS created_at FROM benchmark)"
+
+
+def signatures(spark, d):
+    body = T.strip_ascii_space(F.col("text"))
+    return table(spark, d, "benchmark").select(F.left(body, F.when(F.col("item_id") % 2 == 0, 20).otherwise(40)).alias("signature"), F.col("item_id").alias("created_at")).distinct()
+
+
+@query(rf"WITH {SIGS_SQL}, m AS (SELECT doc_id AS id, translate(text, {SPACES}, '') AS body FROM documents), h AS (SELECT id, signature, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, length(signature) DESC, signature DESC) AS rn FROM m JOIN sigs ON contains(body, signature)) SELECT m.id, h.signature FROM m LEFT JOIN h ON m.id = h.id AND rn = 1")
+def signature_match(spark, d):
+    m = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.strip_ascii_space(F.col("text")).alias("body"))
+    return L.match_signature(m, signatures(spark, d))
+
+
+@query(f"WITH {LOG_SQL} SELECT source, max_by(doc_id, doc_id) AS doc_id, max_by(code, doc_id) AS code FROM log GROUP BY source")
+def last_wins_lookup(spark, d):
+    return L.last_wins(verdict_log(spark, d).select("source", "doc_id", "code"), "source", "doc_id").select("source", "doc_id", "code")
+
+
+@query("WITH t AS (SELECT CAST(user_id AS VARCHAR) AS k, count(*) AS c FROM events WHERE event_type = 'click' GROUP BY 1), h AS (SELECT CAST(user_id AS VARCHAR) AS k, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1) SELECT coalesce(t.k, h.k) AS k, coalesce(c, 0) + coalesce(n, 0) AS count FROM t FULL OUTER JOIN h ON t.k = h.k")
+def counter_upsert(spark, d):
+    e = table(spark, d, "events").withColumn("k", F.col("user_id").cast("string"))
+    return L.count_upsert(e.filter("event_type = 'click'").groupBy("k").agg(F.count(F.lit(1)).alias("count")), e.filter("event_type <> 'click'"), "k")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def keep_newest(spark, d):
+    return L.keep_newest(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("WITH t AS (SELECT DISTINCT o_custkey AS k FROM orders), n AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT k FROM t)) SELECT (SELECT count(*) FROM n) AS inserted, (SELECT count(*) FROM customer) - (SELECT count(*) FROM n) AS ignored")
+def insert_ignore(spark, d):
+    target = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("k")).distinct()
+    return L.insert_ignore(target, table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("k")), "k")[1]
+
+
+# ---- ordered state
+
+
+@query("SELECT event_id, count(*) OVER w AS seen, count(*) OVER w >= 10 AS locked FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def running_hold(spark, d):
+    e = table(spark, d, "events").withColumn("key", F.struct("user_id", "event_type")).withColumn("o", F.struct("ts", "event_id"))
+    return W.running_hold(e, "key", "o").select("event_id", "seen", "locked")
+
+
+@query(
+    """WITH w AS (SELECT event_id, event_type = 'error' AS bad, coalesce(sum(CAST(event_type = 'error' AS INT)) OVER p, 0) AS fails, coalesce(bool_or(event_type <> 'error') OVER p, false) AS done
+  FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, CAST(fails AS BIGINT) AS fails, CASE WHEN done THEN 'shared' WHEN fails + CAST(bad AS INT) >= 3 AND (bad OR fails >= 3) THEN 'forced' WHEN bad THEN 'failed' ELSE 'success' END AS state FROM w"""
+)
+def three_strike(spark, d):
+    e = table(spark, d, "events").withColumn("bad", F.col("event_type") == "error").withColumn("o", F.struct("ts", "event_id"))
+    return W.three_strike(e, "user_id", "o", "bad").select("event_id", "fails", "state")
+
+
+# ---- merge
+
+FLAGS = {"content_spam": 2, "url_spam": 3, "url_inconclusive": 11, "transactional": 5, "mismatched": 7, "decoy": 4, "safe_domain": 3, "has_input_url": 2}
+FLAGS_SQL = "c AS (SELECT doc_id, doc_id // 2 AS i, (doc_id % 101) / 100.0 AS content_p, (doc_id % 97) / 100.0 AS url_p, CAST(doc_id % 4 AS VARCHAR) AS content_code, CAST((doc_id + 1) % 4 AS VARCHAR) AS url_code, " + ", ".join(f"(doc_id // {k + 1}) % {m} = 0 AS {c}" for k, (c, m) in enumerate(FLAGS.items())) + " FROM documents)"
+MERGE_SQL = """m AS (SELECT *, NOT url_inconclusive AS settled, NOT url_inconclusive AND has_input_url AND NOT content_spam AND url_spam AS flip_in, NOT url_inconclusive AND NOT url_spam AND content_spam AS clean FROM c),
+n AS (SELECT *, clean AND transactional AND NOT mismatched AS to_ham FROM m),
+o AS (SELECT *, CASE WHEN flip_in THEN NOT transactional WHEN settled AND url_spam THEN true WHEN to_ham THEN false ELSE content_spam END AS final_spam,
+  CASE WHEN settled AND url_spam AND NOT (flip_in AND transactional) THEN greatest(content_p, url_p) ELSE content_p END AS final_p,
+  flip_in AND NOT transactional AS red_group, CASE WHEN clean AND NOT to_ham AND decoy AND safe_domain THEN 'safe_injection' END AS drop_reason FROM n)"""
+
+
+def merged(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", ((i % 101) / 100.0).alias("content_p"), ((i % 97) / 100.0).alias("url_p"), (i % 4).cast("string").alias("content_code"), ((i + 1) % 4).cast("string").alias("url_code"), *[(F.floor(i / (k + 1)) % m == 0).alias(c) for k, (c, m) in enumerate(FLAGS.items())])
+    return S.merge_url(rows)
+
+
+@query(f"WITH {FLAGS_SQL}, {MERGE_SQL} SELECT doc_id, final_spam, final_p, CASE WHEN final_spam THEN CASE WHEN settled AND url_spam AND url_code <> '0' THEN url_code ELSE content_code END END AS final_code, red_group, drop_reason FROM o")
+def merge_verdicts(spark, d):
+    return merged(spark, d).select("doc_id", "final_spam", "final_p", "final_code", "red_group", "drop_reason")
+
+
+@query(
+    f"""WITH {FLAGS_SQL}, {MERGE_SQL}, q AS (SELECT *, CASE WHEN final_spam THEN CASE WHEN settled AND url_spam AND url_code <> '0' THEN url_code ELSE content_code END END AS fc FROM o)
+SELECT CASE WHEN NOT final_spam AND content_spam THEN 'HAM_OVERRIDE' WHEN final_spam AND drop_reason = 'safe_injection' THEN 'DECOY' WHEN final_spam AND NOT content_spam AND url_spam AND NOT red_group THEN 'SPAM_OVERRIDE' WHEN final_spam THEN 'CODE_' || fc END AS category, count(*) AS n FROM q GROUP BY 1"""
+)
+def review_categories(spark, d):
+    m = merged(spark, d)
+    return m.select(S.review_category(m).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- neighbours
+
+
+@query(
+    """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS hit_id, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS distance FROM q JOIN embeddings c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, hit_id) AS rank FROM p)
+SELECT query_id, hit_id, CAST(rank AS INT) AS rank, round(distance, 6) AS distance FROM r WHERE rank <= 3"""
+)
+def vector_knn(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return N.knn(e.filter("id % 100 = 0"), e).select("query_id", "hit_id", "rank", F.round("distance", 6).alias("distance"))
