@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MAX_BROADCAST = 200_000
 
 
-def match_signature(messages: DataFrame, signatures: DataFrame, gram: int = 6) -> DataFrame:
+def match_signature(messages: DataFrame, signatures: DataFrame, gram: int = 4) -> DataFrame:
     """The newest, then longest signature (at least `gram` characters) that each message holds.
 
     Messages: id, body (without white space). Signatures: signature, created_at. A signature is found by
