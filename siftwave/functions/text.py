@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters that pass for digits, and characters that mask text.
 LOOKALIKES = "OoIlBSZbqgz"
@@ -118,9 +120,6 @@ def similarity_key(c: Column) -> Column:
 
 def cp949_bytes(unmappable: str = "utf-8"):
     """Arrow UDF of byte lengths in code page 949. Texts it can't hold: their UTF-8 bytes, or "double" (2 a character), or "replace" (1 for each bad one)."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     def one(s):
         if s is None:
             return None
