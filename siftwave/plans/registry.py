@@ -17,7 +17,9 @@ from siftwave.operators import compare as C
 from siftwave.operators import lookup as L
 from siftwave.operators import screening as S
 from siftwave.operators import similar as N
+from siftwave.operators import tables as B
 from siftwave.operators import windows as W
+from siftwave.sources import files as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -379,3 +381,147 @@ SELECT query_id, hit_id, CAST(rank AS INT) AS rank, round(distance, 6) AS distan
 def vector_knn(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return N.knn(e.filter("id % 100 = 0"), e).select("query_id", "hit_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+# ---- signatures and output tables
+
+BARE_SQL = f"translate(text, {SPACES}, '')"
+ITEM_SQL = rf"""item AS (SELECT doc_id, text, {BARE_SQL} AS bare, doc_id % 3 = 0 AS fam, doc_id % 4 IN (0, 1) AS spam, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'NONE' WHEN 2 THEN left({BARE_SQL}, 40) ELSE left({BARE_SQL}, 15) END AS sig, url
+  FROM documents LEFT JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages)),
+sized AS (SELECT *, CAST({APPROX.format('sig')} AS INT) AS bytes FROM item)"""
+
+
+def output_rows(spark, d):
+    """Messages with a proposed signature and a URL."""
+    n = table(spark, d, "pages").count()
+    i, bare = F.col("doc_id"), T.strip_ascii_space(F.col("text"))
+    sig = F.when(i % 5 == 0, "").when(i % 5 == 1, "NONE").when(i % 5 == 2, F.left(bare, F.lit(40))).otherwise(F.left(bare, F.lit(15)))
+    rows = table(spark, d, "documents").select("doc_id", "text", bare.alias("bare"), (i % 3 == 0).alias("fam"), (i % 4).isin(0, 1).alias("spam"), sig.alias("sig"), (i % n).alias("page_id"))
+    return rows.join(table(spark, d, "pages").select("page_id", "url"), "page_id", "left").withColumn("bytes", T.approx_bytes(F.col("sig")))
+
+
+@query(f"WITH {ITEM_SQL} SELECT sig, min(doc_id) AS first, bytes, CASE WHEN bytes <= 20 THEN 'string' ELSE 'sentence' END AS kind FROM sized WHERE lower(sig) NOT IN ('', 'none', 'unextractable') GROUP BY sig, bytes")
+def signature_tables(spark, d):
+    return B.signature_tables(output_rows(spark, d).drop("bytes"), "sig", "doc_id", T.approx_bytes(F.col("sig")))
+
+
+URL_PATTERN = r"(?:https?://|www\.)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,6}[A-Za-z0-9@:%_+.~#?&/=-]*"
+SUMMARY_SQL = "sm AS (SELECT fam, count(*) FILTER (spam) AS spam_cnt, count(DISTINCT nullif(url, '')) FILTER (spam) AS url_cnt, count(DISTINCT nullif(sig, '')) FILTER (spam AND bytes <= 20) AS string_cnt, count(DISTINCT nullif(sig, '')) FILTER (spam AND bytes > 20) AS sentence_cnt FROM sized GROUP BY fam)"
+
+
+@query(f"WITH {ITEM_SQL}, {SUMMARY_SQL} SELECT * FROM sm")
+def summary_table(spark, d):
+    return B.summary(output_rows(spark, d), "fam", F.col("spam"), "url", "sig", F.col("bytes"))
+
+
+@query(f"WITH {ITEM_SQL}, {SUMMARY_SQL}, st AS (SELECT fam, count(*) AS s FROM sized GROUP BY fam) SELECT fam, 'spam_cnt' AS name, s AS stated, spam_cnt AS actual FROM st JOIN sm USING (fam) WHERE s <> spam_cnt")
+def reconcile_summary(spark, d):
+    rows = output_rows(spark, d)
+    return B.reconcile(rows.groupBy("fam").agg(F.count(F.lit(1)).alias("spam_cnt")), B.summary(rows, "fam", F.col("spam"), "url", "sig", F.col("bytes")), "fam")
+
+
+@query(
+    rf"""WITH {ITEM_SQL}, k AS (SELECT *, CASE WHEN bytes <= 20 THEN 'string' ELSE 'sentence' END AS kind FROM sized)
+SELECT doc_id, 'red_marked' AS rule FROM k WHERE doc_id % 9 = 0 AND spam
+UNION ALL SELECT doc_id, 'url_ip' FROM k WHERE regexp_matches({HOST_SQL}, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$')
+UNION ALL SELECT doc_id, 'url_long' FROM k WHERE length(url) > 40
+UNION ALL SELECT doc_id, 'string_length' FROM k WHERE kind = 'string' AND NOT bytes BETWEEN 9 AND 20
+UNION ALL SELECT doc_id, 'sentence_length' FROM k WHERE kind = 'sentence' AND NOT bytes BETWEEN 39 AND 40"""
+)
+def table_audit(spark, d):
+    rows = output_rows(spark, d).withColumn("kind", F.when(F.col("bytes") <= 20, "string").otherwise("sentence"))
+    return B.audit(rows, "doc_id", "url", "sig", "kind", F.col("bytes"), F.col("spam"), F.col("doc_id") % 9 == 0)
+
+
+@query(
+    rf"""WITH {ITEM_SQL} SELECT doc_id, CASE WHEN sig = '' THEN 'empty' WHEN NOT contains(bare, sig) THEN 'absent'
+  WHEN len(list_filter(regexp_extract_all(bare, '{URL_PATTERN}'), lambda u: contains(u, sig))) > 0 AND regexp_matches(sig, '^(https?://)?[^/?#]+/?$') THEN 'bare_domain'
+  WHEN contains(sig, '광고') OR contains(sig, '080-') OR contains(sig, '무료거부') OR contains(sig, '수신거부') THEN 'forbidden'
+  WHEN bytes < 9 THEN 'short' WHEN doc_id % 5 <> 2 AND NOT bytes BETWEEN 9 AND 20 THEN 'string_length' WHEN doc_id % 5 = 2 AND NOT bytes BETWEEN 39 AND 40 THEN 'sentence_length' END AS error FROM sized"""
+)
+def signature_errors(spark, d):
+    decision = F.when(F.col("doc_id") % 5 == 2, "use_sentence").otherwise("use_string")
+    return output_rows(spark, d).select("doc_id", B.signature_error(F.col("bare"), F.col("sig"), decision, F.col("bytes")).alias("error"))
+
+
+@query(
+    rf"""WITH b AS (SELECT item_id, {BARE_SQL} AS bare FROM benchmark), s AS (SELECT item_id, bare, unnest(range(1, length(bare) + 1)) AS i FROM b),
+w AS (SELECT item_id, bare, i, unnest(range(1, least(20, length(bare) - i + 1) + 1)) AS n FROM s),
+c AS (SELECT DISTINCT item_id, substr(bare, i, n) AS candidate FROM w), z AS (SELECT *, CAST({APPROX.format('candidate')} AS INT) AS bytes FROM c),
+v AS (SELECT *, CASE WHEN bytes <= 8 THEN -3.0 ELSE 0.0 END + CASE WHEN regexp_matches(candidate, '^[0-9]+$') THEN -2.0 ELSE 0.0 END AS score FROM z WHERE bytes BETWEEN 4 AND 20)
+SELECT * FROM (SELECT item_id, candidate, CAST(score AS DOUBLE) AS score, bytes, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, bytes DESC, candidate) AS rank FROM v) WHERE rank <= 5"""
+)
+def signature_candidates(spark, d):
+    items = table(spark, d, "benchmark").select("item_id", T.strip_ascii_space(F.col("text")).alias("bare"))
+    rows = B.candidates(items, "item_id", "bare", T.approx_bytes)
+    return B.top_candidates(rows.withColumn("score", B.candidate_score(F.col("candidate"), F.col("bytes"))), "item_id", 5)
+
+
+@query(
+    rf"""WITH {ITEM_SQL}, k AS (SELECT left(regexp_replace(text, '[^가-힣a-zA-Z]', '', 'g'), 30) AS cluster, spam, CAST(doc_id % 3 AS VARCHAR) AS code, nullif(sig, '') AS sig FROM sized),
+g AS (SELECT cluster, count(*) AS size, count(*) FILTER (spam) AS spam_cnt, count(DISTINCT spam) AS v, count(DISTINCT code) AS c, count(DISTINCT sig) AS s FROM k GROUP BY cluster)
+SELECT cluster, size, spam_cnt, concat_ws(',', CASE WHEN v > 1 THEN 'verdict' END, CASE WHEN c > 1 THEN 'code' END, CASE WHEN s > 1 THEN 'signature' END) AS differs, s > 1 AS fragmented FROM g WHERE size > 1"""
+)
+def cluster_report(spark, d):
+    rows = output_rows(spark, d).select(T.similarity_key(F.col("text")).alias("cluster"), "spam", (F.col("doc_id") % 3).cast("string").alias("code"), "sig")
+    return B.cluster_report(rows, "cluster", "spam", "code", "sig")
+
+
+# ---- sources, counters and reports
+
+
+@query(
+    """WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(0, CAST(ceil((length(text) - 1000) / 800.0) AS INT)) + 1)) AS chunk FROM documents WHERE length(text) > 0)
+SELECT doc_id, chunk, md5(substr(text, chunk * 800 + 1, 1000)) AS digest FROM s"""
+)
+def text_chunks(spark, d):
+    return D.chunks(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "chunk", F.md5("text").alias("digest"))
+
+
+@query(
+    """WITH h AS (SELECT user_id AS k, count(*) AS count FROM events WHERE event_type = 'purchase' GROUP BY 1), f AS (SELECT user_id AS k, count(DISTINCT event_type) AS files FROM events GROUP BY 1)
+SELECT coalesce(h.k, f.k) AS k, CASE WHEN h.k IS NULL THEN 9 + files ELSE h.count + coalesce(files, 0) END AS count FROM h FULL JOIN f ON h.k = f.k"""
+)
+def history_load(spark, d):
+    events = table(spark, d, "events").withColumn("k", F.col("user_id"))
+    stored = events.filter("event_type = 'purchase'").groupBy("k").agg(F.count(F.lit(1)).alias("count"))
+    return B.bulk_history(stored, events, "k", "event_type")
+
+
+@query("SELECT label, vec_id % 7 AS category, count(*) AS n FROM embeddings GROUP BY GROUPING SETS ((), (label), (vec_id % 7))")
+def example_stats(spark, d):
+    rows = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 7).alias("category"))
+    return rows.groupingSets([[], [F.col("label")], [F.col("category")]], "label", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT role, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY role")
+def usage_by_role(spark, d):
+    return table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.char_length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query(
+    """WITH t AS (SELECT page_id, lower(html) AS low, html FROM pages)
+SELECT page_id, regexp_matches(low, 'captcha|are you (a )?human') AS captcha, regexp_matches(low, 'cloudflare|checking your browser|access denied') AS guarded, regexp_matches(low, '403 forbidden|404 not found|page not found') AS missing,
+  md5(CASE WHEN length(html) > 5000 THEN left(html, 3000) || ' ... ' || right(html, 2000) ELSE html END) AS clip FROM t"""
+)
+def page_features(spark, d):
+    return table(spark, d, "pages").select("page_id", B.page_flags(F.col("html")).alias("f"), F.md5(B.clip(F.col("html"))).alias("clip")).select("page_id", "f.*", "clip")
+
+
+@query("SELECT event_id, user_id, event_type FROM events QUALIFY ts >= max(ts) OVER () - INTERVAL 7 DAY")
+def unexpired_events(spark, d):
+    events = table(spark, d, "events")
+    newest = events.agg(F.max("ts").alias("newest"))
+    return events.join(F.broadcast(newest)).filter(F.col("ts") >= F.col("newest") - F.expr("INTERVAL 7 DAYS")).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def latest_progress(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "m.ts", "m.event_id")
+
+
+@query(f"WITH {LOG_SQL} SELECT doc_id, CASE WHEN NOT coalesce(is_spam, false) AND code IN ('1', '2') THEN 'ham_with_code' WHEN is_spam AND code = '0' THEN 'spam_without_code' END AS finding FROM log WHERE (NOT coalesce(is_spam, false) AND code IN ('1', '2')) OR (is_spam AND code = '0')")
+def export_audit(spark, d):
+    spam = F.coalesce("is_spam", F.lit(False))
+    finding = F.when(~spam & F.col("code").isin("1", "2"), "ham_with_code").when(spam & (F.col("code") == "0"), "spam_without_code")
+    return verdict_log(spark, d).select("doc_id", finding.alias("finding")).filter("finding is not null")
