@@ -18,6 +18,7 @@ from siftwave.operators import lookup as L
 from siftwave.operators import screening as S
 from siftwave.operators import similar as N
 from siftwave.operators import tables as B
+from siftwave.operators import url_extract as E
 from siftwave.operators import windows as W
 from siftwave.sources import files as D
 
@@ -525,3 +526,42 @@ def export_audit(spark, d):
     spam = F.coalesce("is_spam", F.lit(False))
     finding = F.when(~spam & F.col("code").isin("1", "2"), "ham_with_code").when(spam & (F.col("code") == "0"), "spam_without_code")
     return verdict_log(spark, d).select("doc_id", finding.alias("finding")).filter("finding is not null")
+
+
+# ---- URLs of texts
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _tidy_sql(u: str) -> str:
+    out = f"regexp_replace(regexp_replace({u}, {_q(E.TAIL_PATTERN)}, ''), {_q(chr(91) + '.,;:!?)' + chr(92) + ']}' + chr(34) + chr(39) + ']+$')}, '')"
+    for pattern in E.GLUED:
+        out = f"regexp_replace({out}, {_q(pattern)}, '\\1')"
+    return out
+
+
+def _every_sql(c: str, pattern: str, keep: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({c}, {_q(pattern)}), lambda u: {_tidy_sql('u')}), lambda u: {keep})"
+
+
+_ACCEPT = f"regexp_matches(u, {_q(E.ACCEPT_PATTERN)})"
+_JOINED = f"translate(body, {SPACES}, '')"
+_SCHEME = "CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'http://' || u END"
+_LOW = rf"regexp_matches(regexp_replace(regexp_extract(lower(trim(u)), '^(?:https?://)?([^/?#:]*)', 1), '^www\.', ''), '(^|\.)({'|'.join(x.replace('.', chr(92) + '.') for x in [*U.USER_CONTENT, *U.SHORTENERS])})$')"
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+a AS (SELECT doc_id, {_every_sql('body', E.LINK_PATTERN, 'length(u) > 7')} AS links, {_every_sql('body', E.BARE_PATTERN, _ACCEPT)} AS bare, {_every_sql(_JOINED, E.SPACED_PATTERN, _ACCEPT)} AS spaced FROM t),
+b AS (SELECT *, list_concat(links, list_transform(list_filter(bare, lambda u: len(list_filter(links, lambda k: contains(k, u))) = 0), lambda u: {_SCHEME})) AS found FROM a),
+c AS (SELECT *, list_filter(list_concat(found, list_transform(list_filter(spaced, lambda u: len(list_filter(found, lambda k: contains(u, regexp_replace(k, '^https?://', '')))) = 0), lambda u: {_SCHEME})), lambda u: length(u) >= 10) AS urls FROM b),
+e AS (SELECT doc_id, urls, unnest(urls) AS u, unnest(range(len(urls))) AS i FROM c),
+f AS (SELECT doc_id, u, min(i) AS i FROM e GROUP BY doc_id, u),
+g AS (SELECT doc_id, u, row_number() OVER (PARTITION BY doc_id ORDER BY {_LOW}, i) AS rn FROM f)
+SELECT t.doc_id, coalesce(string_agg(u, ' ' ORDER BY rn), '') AS urls, count(u) AS n FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND rn <= 3 GROUP BY t.doc_id"""
+)
+def extracted_urls(spark, d):
+    rows = E.extract_urls(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.array_join("urls", " ").alias("urls"), F.size("urls").cast("long").alias("n"))
