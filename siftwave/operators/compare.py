@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwave.functions.urls import is_ip
+
 
 def occurrence_index(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("occ", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
@@ -54,3 +56,21 @@ def policy_tag(kind: Column, machine_reason: Column, human_reason: Column) -> Co
     vague = F.lower(human_reason).rlike("애매|모호|불명확|ambiguous")
     careful = F.lower(machine_reason).rlike("suspicious|promotional|commercial|의심|홍보|광고")
     return F.when(kind == "FN", F.when(vague, "ambiguous_human").otherwise("policy_difference")).when(kind == "FP", F.when(careful, "over_blocking").otherwise("keyword_false_alarm"))
+
+
+def validate_report(logs: DataFrame, sheet: DataFrame) -> DataFrame:
+    """Report logs (id, key, is_spam, sig, bytes, url) against sheet rows (key, pos, sheet_spam, sheet_sig): one row a log, errors listed.
+
+    The last sheet row of a key counts. Logs without one have `unmatched` alone among the sheet's errors."""
+    last = sheet.groupBy("key").agg(F.max_by(F.struct("sheet_spam", "sheet_sig", F.lit(True).alias("there")), "pos").alias("s"))
+    rows = logs.join(last, "key", "left")
+    spam, sig, there = F.coalesce("is_spam", F.lit(False)), F.coalesce("sig", F.lit("")), F.col("s.there").isNotNull()
+    errors = {
+        "unmatched": ~there,
+        "signature_missing": spam & (sig == "") & (F.coalesce("url", F.lit("")) == ""),
+        "signature_length": (sig != "") & ~(F.col("bytes").between(9, 20) | F.col("bytes").between(39, 40)),
+        "url_ip": is_ip(F.col("url")),
+        "verdict": there & (spam != F.coalesce("s.sheet_spam", F.lit(False))),
+        "signature": there & (sig != F.coalesce("s.sheet_sig", F.lit(""))),
+    }
+    return rows.select("id", F.concat_ws(",", *[F.when(c, name) for name, c in errors.items()]).alias("errors"))

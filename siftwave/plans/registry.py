@@ -565,3 +565,16 @@ SELECT t.doc_id, coalesce(string_agg(u, ' ' ORDER BY rn), '') AS urls, count(u)
 def extracted_urls(spark, d):
     rows = E.extract_urls(table(spark, d, "documents").select("doc_id", "text"), "text")
     return rows.select("doc_id", F.array_join("urls", " ").alias("urls"), F.size("urls").cast("long").alias("n"))
+
+
+@query(
+    rf"""WITH {ITEM_SQL}, sheet AS (SELECT md5(bare) AS key, arg_max({{'spam': doc_id % 3 = 0, 'sig': sig}}, doc_id) AS s FROM sized WHERE doc_id % 2 = 0 GROUP BY 1)
+SELECT doc_id AS id, concat_ws(',', CASE WHEN s IS NULL THEN 'unmatched' END, CASE WHEN spam AND sig = '' AND coalesce(url, '') = '' THEN 'signature_missing' END,
+  CASE WHEN sig <> '' AND NOT (bytes BETWEEN 9 AND 20 OR bytes BETWEEN 39 AND 40) THEN 'signature_length' END, CASE WHEN regexp_matches({HOST_SQL}, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') THEN 'url_ip' END,
+  CASE WHEN s IS NOT NULL AND spam <> s.spam THEN 'verdict' END, CASE WHEN s IS NOT NULL AND sized.sig <> s.sig THEN 'signature' END) AS errors FROM sized LEFT JOIN sheet ON key = md5(bare)"""
+)
+def report_validation(spark, d):
+    rows = output_rows(spark, d).withColumn("key", F.md5("bare"))
+    logs = rows.select(F.col("doc_id").alias("id"), "key", F.col("spam").alias("is_spam"), "sig", "bytes", "url")
+    sheet = rows.filter(F.col("doc_id") % 2 == 0).select("key", F.col("doc_id").alias("pos"), (F.col("doc_id") % 3 == 0).alias("sheet_spam"), F.col("sig").alias("sheet_sig"))
+    return C.validate_report(logs, sheet)
