@@ -66,3 +66,51 @@ def first_wins(df: DataFrame, key: str, order: str, *keep: str) -> DataFrame:
 def like(c: Column, q: str) -> Column:
     """Case-insensitive substring test."""
     return F.lower(c).contains(q.lower())
+
+
+def safe_lookup(urls: DataFrame, safe: DataFrame, key: str = "domain_path") -> DataFrame:
+    """Rows whose domain path is stored as SAFE; rows flagged `short` never match."""
+    known = safe.filter("status = 'SAFE'").select(key).distinct()
+    return urls.filter(~F.coalesce(F.col("short"), F.lit(False))).join(known, key, "left_semi")
+
+
+def share_by_url(rows: DataFrame, key: str, scorer) -> DataFrame:
+    """Scores each different key once and gives its columns to all rows; null and empty keys aren't scored."""
+    once = rows.filter(F.coalesce(F.col(key), F.lit("")) != "").select(key).distinct()
+    return rows.join(scorer(once), key, "left")
+
+
+def runtime_signatures(messages: DataFrame, gram: int = 4) -> DataFrame:
+    """id, reused: the signature of the earliest message before this one that the message holds; null without one.
+
+    Messages: id, body, minted (the signature it gave, or null; at least `gram` characters count)."""
+    minted = messages.filter(F.char_length("minted") >= gram).groupBy(F.col("minted").alias("signature")).agg(F.min("id").alias("seq"))
+    sig = minted.select("signature", "seq", F.substring("signature", 1, gram).alias("gram"))
+    starts = messages.filter(F.char_length("body") >= gram).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("body") - gram + 1), lambda i: F.substring(F.col("body"), i, F.lit(gram))))).alias("gram"))
+    near = starts.join(sig, "gram").filter("seq < id").select("id", "signature", "seq")
+    hits = near.join(messages.select("id", "body"), "id").filter(F.contains("body", "signature"))
+    return messages.select("id").join(hits.groupBy("id").agg(F.min_by("signature", "seq").alias("reused")), "id", "left")
+
+
+def add_rows(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """A new snapshot with rows of unknown keys."""
+    return insert_ignore(target, rows, key)[0]
+
+
+def delete_keys(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return target.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def set_values(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Rows replace those of equal keys and are added otherwise; columns that are null or empty there keep the old value."""
+    rest = [c for c in target.columns if c != key]
+    both = target.join(rows.select(key, *[F.col(c).alias(f"new_{c}") for c in rest if c in rows.columns]), key, "full")
+    given = lambda c: F.when(F.col(f"new_{c}").cast("string") != "", F.col(f"new_{c}"))
+    return both.select(key, *[F.coalesce(given(c), F.col(c)).alias(c) if c in rows.columns else F.col(c) for c in rest])
+
+
+def whitelist_upsert(target: DataFrame, verdicts: DataFrame, key: str = "domain_path") -> DataFrame:
+    """Hit counts of safe domain paths plus one for each safe verdict: not spam, confirmed safe, not mismatched, no shortener."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    good = verdicts.filter(~yes("is_spam") & yes("confirmed_safe") & ~yes("mismatched") & ~yes("short") & (F.coalesce(F.col(key), F.lit("")) != ""))
+    return count_upsert(target, good, key, "hit_count")

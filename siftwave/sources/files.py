@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,3 +141,15 @@ def chunks(df: DataFrame, text: str, size: int = 1000, overlap: int = 200) -> Da
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int")))
     rows = df.filter(n > 0).withColumn("chunk", F.explode(starts))
     return rows.withColumn(text, F.substring(F.col(text), F.col("chunk") * step + 1, F.lit(size)))
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: a table in the shared folder of spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="spark-siftwave-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/siftwave/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
