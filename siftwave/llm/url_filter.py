@@ -6,8 +6,11 @@ characters seen at least `min_count` times, with counts smoothed towards the nex
 score of a URL is the mean log-likelihood difference per character; the cut is where both classes of
 labelled URLs err equally under a normal approximation of their scores.
 
-Contexts are hashed into BUCKETS buckets an order, so the model has at most ORDER * BUCKETS rows however
-much it is trained on, and is broadcast. Counting uses all labelled URLs and is summed before the shuffle.
+Counts and the model are keyed by the exact grams (a context and its character), so the model grows with
+the different grams of the labelled URLs; counts are summed before the shuffle. What a character scores
+depends on the longest gram that ends with it, so the different grams of the pages are scored once. Those
+values are broadcast while they are few; beyond that only those of common grams are (at most the bound, as
+the threshold rises with the total) and the rest is joined by a shuffle.
 
 Defined cases: a null URL or one without "://" has empty host and path and no rule, and is judged by the
 models (no characters: score 0); without URLs of both classes the verdict is allow; ties allow; repeated
@@ -19,10 +22,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.llm.common import LOWER, UPPER, scratch_table
+from siftwave.llm.common import LOWER, UPPER, scratch_table, small_side
 
 #: Fixed rules: verdict and host with path.
 RULES = (
@@ -33,9 +36,9 @@ RULES = (
     ("block", "net/fr/"),
 )
 ORDER = 4
-BUCKETS = 1 << 16
 SMOOTH = 4.0
 ALPHABET = 128.0
+MAX_BROADCAST = 200_000
 
 
 def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -53,54 +56,57 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def characters(rows: DataFrame) -> DataFrame:
-    """A row for each character of the URL: at (from 1) and u, the URL behind ORDER - 1 start marks."""
-    u = F.concat(F.lit("\x02" * (ORDER - 1)), F.coalesce("url", F.lit("")))
+    """A row for each character of the URL: at (from 1) and u, the URL behind ORDER start marks."""
+    u = F.concat(F.lit("\x02" * ORDER), F.coalesce("url", F.lit("")))
     marked = rows.withColumn("u", u)
-    return marked.withColumn("at", F.explode_outer(F.when(F.char_length("u") >= ORDER, F.sequence(F.lit(1), F.char_length("u") - (ORDER - 1)))))
-
-
-def bucket(order: int, text) -> F.Column:
-    return F.pmod(F.xxhash64(F.lit(order), text), F.lit(BUCKETS)).cast("int")
+    return marked.withColumn("at", F.explode_outer(F.when(F.char_length("u") > ORDER, F.sequence(F.lit(1), F.char_length("u") - ORDER))))
 
 
 def gram(order: int):
     """The `order` characters that end with the one at `at`."""
-    return F.expr(f"substring(u, at + {ORDER - order}, {order})")
+    return F.expr(f"substring(u, at + {ORDER + 1 - order}, {order})")
 
 
 def fit(labelled: DataFrame, min_count: int = 3) -> DataFrame:
-    """o (order), b (bucket of the gram) and llr, log p(char | context) under accepted minus rejected."""
+    """o (characters of the gram), g (the gram) and llr, log p(char | context) under accepted minus rejected."""
     rows = characters(labelled.select("url", F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("ok"))).filter("at is not null")
-    parts = [F.struct(F.lit(o).alias("o"), bucket(o, gram(o)).alias("b"), bucket(o - 1, F.substring(gram(o), 1, o - 1)).alias("cb"), bucket(o - 1, F.substring(gram(o), 2, ORDER)).alias("sb")) for o in range(1, ORDER + 1)]
-    counts = rows.select("ok", F.explode(F.array(*parts)).alias("g")).groupBy("g.o", "g.b", "g.cb", "g.sb").agg(F.sum("ok").alias("na"), F.sum(1 - F.col("ok")).alias("nb"))
-    counts = scratch_table(counts, "url-grams")
-    grams = counts.groupBy("o", "b").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.min("cb").alias("cb"), F.min("sb").alias("sb"))
-    contexts = counts.groupBy("o", "cb").agg(F.sum("na").alias("ca"), F.sum("nb").alias("cn"))
-    grams = grams.join(contexts, ["o", "cb"])
+    parts = [F.struct(F.lit(o).alias("o"), gram(o).alias("g")) for o in range(1, ORDER + 2)]
+    counts = rows.select("ok", F.explode(F.array(*parts)).alias("p")).groupBy("p.o", "p.g").agg(F.sum("ok").alias("na"), F.sum(1 - F.col("ok")).alias("nb"))
+    grams = scratch_table(counts, "url-grams").withColumns({"c": F.expr("substring(g, 1, o - 1)"), "s": F.expr("substring(g, 2, o - 1)")})
+    contexts = grams.groupBy("o", "c").agg(F.sum("na").alias("ca"), F.sum("nb").alias("cn"))
+    grams = grams.join(contexts, ["o", "c"])
     smooth = lambda n, total, p: (F.col(n) + SMOOTH * p) / (F.col(total) + SMOOTH)
     level, levels = None, []
-    for o in range(1, ORDER + 1):
+    for o in range(1, ORDER + 2):
         own = grams.filter(F.col("o") == o)
         if level is None:
             pa, pn = F.lit(1 / ALPHABET), F.lit(1 / ALPHABET)
         else:
-            own = own.join(level.select(F.col("b").alias("sb"), F.col("pa").alias("qa"), F.col("pn").alias("qn")), "sb", "left")
+            own = own.join(level.select(F.col("g").alias("s"), F.col("pa").alias("qa"), F.col("pn").alias("qn")), "s", "left")
             pa, pn = F.coalesce("qa", F.lit(1 / ALPHABET)), F.coalesce("qn", F.lit(1 / ALPHABET))
-        level = scratch_table(own.select("o", "b", (F.col("na") + F.col("nb")).alias("n"), smooth("na", "ca", pa).alias("pa"), smooth("nb", "cn", pn).alias("pn")), f"url-model-{o}")
-        levels.append(level.filter((F.col("n") >= min_count) | (F.col("o") == 1)).select("o", "b", (F.log("pa") - F.log("pn")).alias("llr")))
-    return scratch_table(reduce(DataFrame.unionByName, levels).coalesce(1), "url-model")
+        level = scratch_table(own.select("o", "g", (F.col("na") + F.col("nb")).alias("n"), smooth("na", "ca", pa).alias("pa"), smooth("nb", "cn", pn).alias("pn")), f"url-model-{o}")
+        levels.append(level.filter((F.col("n") >= min_count) | (F.col("o") == 1)).select("o", "g", (F.log("pa") - F.log("pn")).alias("llr")))
+    return scratch_table(reduce(DataFrame.unionByName, levels), "url-model")
 
 
-def score(rows: DataFrame, model: DataFrame) -> DataFrame:
+def score(rows: DataFrame, model: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """page_id, url, ... of each row with its score; rows of one page_id and URL are scored alike."""
-    urls = rows.select("url").filter("url is not null")
-    found = characters(urls).filter("at is not null")
-    for o in range(1, ORDER + 1):
-        own = model.filter(F.col("o") == o).select(F.col("b").alias(f"b{o}"), F.col("llr").alias(f"llr{o}"))
-        found = found.withColumn(f"b{o}", bucket(o, gram(o))).join(F.broadcast(own), f"b{o}", "left")
-    best = F.coalesce(*[F.col(f"llr{o}") for o in range(ORDER, 0, -1)], F.lit(0.0))
+    found = characters(rows.select("url").filter("url is not null")).filter("at is not null").select("url", gram(ORDER + 1).alias("g"))
+    values = found.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    sizes = {r["o"]: r["count"] for r in model.groupBy("o").count().collect()}
+    for o in range(1, ORDER + 2):
+        own = model.filter(F.col("o") == o).select(F.col("g").alias(f"g{o}"), F.col("llr").alias(f"llr{o}"))
+        values = values.withColumn(f"g{o}", F.substring("g", ORDER + 2 - o, o)).join(small_side(own, sizes.get(o, 0), max_broadcast), f"g{o}", "left")
+    values = scratch_table(values.select("g", "k", F.coalesce(*[F.col(f"llr{o}") for o in range(ORDER + 1, 0, -1)], F.lit(0.0)).alias("llr")), "url-gram-values")
+    grams, total = values.agg(F.count(F.lit(1)), F.sum("k")).first()
+    if grams <= max_broadcast:
+        scored = found.join(F.broadcast(values.drop("k")), "g")
+    else:
+        common = F.col("k") * F.lit(max_broadcast) >= F.lit(total)
+        often, seldom = F.broadcast(values.filter(common).drop("k")), values.filter(~common).drop("k")
+        scored = found.join(often, "g").unionByName(found.join(often, "g", "left_anti").join(seldom, "g"))
     # Decimal sums don't depend on the order of the rows.
-    per_url = found.groupBy("url").agg((F.sum(best.cast("decimal(20,10)")).cast("double") / F.count(F.lit(1))).alias("score"))
+    per_url = scored.groupBy("url").agg((F.sum(F.col("llr").cast("decimal(20,10)")).cast("double") / F.count(F.lit(1))).alias("score"))
     return rows.join(per_url, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
