@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwave.functions import reports as R
 from siftwave.functions import urls as U
+from siftwave.operators.lookup import MAX_BROADCAST
 
 
 def yes(c: str) -> Column:
@@ -67,12 +68,30 @@ def history_source(df: DataFrame, least: int = 9, most: int = 30) -> DataFrame:
     return rows.select(bare.alias("text")).filter(F.char_length("text") <= most).distinct()
 
 
-def probe_logs(df: DataFrame, probes: DataFrame) -> DataFrame:
-    """The first log (id, message) that holds each probe (probe); null where none does. Probes are a short list and broadcast."""
-    if probes.count() > 10_000:
-        raise ValueError("probes are looked up as a broadcast list of at most 10,000")
-    hits = df.select("id", "message").join(F.broadcast(probes.select("probe")), F.contains("message", "probe")).groupBy("probe").agg(F.min("id").alias("id"))
-    return probes.select("probe").join(hits, "probe", "left")
+def probe_logs(df: DataFrame, probes: DataFrame, gram: int = 12, max_broadcast: int = MAX_BROADCAST, block: int = 64) -> DataFrame:
+    """The first log (id, message) that holds each probe (probe); null where none does.
+
+    A probe is found by its first `gram` characters (all of a shorter one) among the grams of the messages; longer
+    ones are then compared whole. The join is on equal grams, so either side may be large. Messages are cut in blocks
+    first, so that the place of a gram isn't sought from the start of a long text."""
+    keyed = probes.select("probe").filter("probe is not null").distinct().withColumn("key", F.left("probe", F.lit(gram)))
+    shapes = keyed.groupBy(F.char_length("key").alias("size"), (F.char_length("probe") > gram).alias("longer")).count().collect()
+    few = sum(r["count"] for r in shapes) <= max_broadcast
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length("message") - 1, F.lit(0)), F.lit(block))
+    blocks = df.filter("message is not null").select("id", F.explode(F.transform(starts, lambda b: F.substring(F.col("message"), b + 1, F.lit(block + gram - 1)))).alias("part"))
+    places = blocks.select("id", "part", F.explode(F.sequence(F.lit(1), F.greatest(F.least(F.char_length("part"), F.lit(block)), F.lit(1)))).alias("at"))
+    keys = [F.expr(f"substring(part, at, {n})") for n in sorted({r["size"] for r in shapes})]
+    sized = [F.when(F.char_length(k) == n, k) for k, n in zip(keys, sorted({r["size"] for r in shapes}), strict=True)]
+    grams = places.select("id", F.explode(F.array(*sized)).alias("key") if len(sized) > 1 else (sized[0] if sized else F.lit(None).cast("string")).alias("key")).filter("key is not null")
+    whole = keyed.filter(F.char_length("probe") <= gram)
+    # A long list meets each different gram once, with its first log.
+    found = grams.join(F.broadcast(whole), "key") if few else grams.groupBy("key").agg(F.min("id").alias("id")).join(whole, "key")
+    hits = found.select("probe", "id")
+    if any(r["longer"] for r in shapes):
+        longer = keyed.filter(F.char_length("probe") > gram)
+        near = grams.join(F.broadcast(longer) if few else longer, "key").select("id", "probe").distinct()
+        hits = hits.unionByName(near.join(df.select("id", "message"), "id").filter(F.contains("message", "probe")).select("probe", "id"))
+    return probes.select("probe").join(hits.groupBy("probe").agg(F.min("id").alias("id")), "probe", "left")
 
 
 def short_signature_domains(df: DataFrame, most: int = 20) -> Column:
