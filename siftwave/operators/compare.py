@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwave.functions.urls import is_ip
+from siftwave.operators.windows import sums_before
 
 
 def occurrence_index(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("occ", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+    """Adds occ, the place of a row among those of its key, from 1."""
+    return sums_before(df, key, order, _before=F.lit(1)).withColumn("occ", F.col("_before") + 1).drop("_before")
 
 
 def occurrence_join(human: DataFrame, machine: DataFrame, key: str = "key", order: str = "id") -> DataFrame:

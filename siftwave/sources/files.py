@@ -144,10 +144,12 @@ def chunks(df: DataFrame, text: str, size: int = 1000, overlap: int = 200) -> Da
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: a table in the shared folder of spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
+    """Cuts lineage: a table in the shared folder of spark.checkpoint.dir. Local sessions without one (tests) get a temporary folder; on a cluster that is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-siftwave-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/siftwave/{name}-{uuid.uuid4().hex}"
