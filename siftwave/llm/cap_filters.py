@@ -3,20 +3,26 @@
 Filter directions are structured random product codes: the space is rotated at random and cut into blocks,
 each block has a small random code, and a direction is one codeword of each block. A vector's relevant
 directions, all whose inner product with it exceeds `reach`, are list-decoded by best-first pruning over the
-blocks, without looking at the rest of the code. Vectors of one label that share a direction are compared in
-double precision, so nothing below `threshold` is linked.
+blocks, without looking at the rest of the code. Vectors of one label that share a direction are compared
+there in double precision, so nothing below `threshold` is linked.
+
+Vectors are scaled by a power of two, which is exact, so very large and very small ones compare like others;
+they travel as 4-byte floats where that loses nothing, else as doubles. Each carries its sorted directions: a
+pair that meets in several filters counts in the first one they share. A filter gives back one row for each
+vector (links counted there, least vector reached there), never its pairs, so a family of near copies costs
+rows in proportion to its members.
 
 The code grows with the number of vectors, so filters stay small; `reach` is set by quantile for about
 `relevant` directions a vector. Equal vectors of a label are one, with a count. A filter with many vectors is
 split into blocks of about `block` rows and each pair of blocks is compared on its own; small ones are packed, so
-no group grows with the data. Found links are shuffled, vectors only into their filters.
+no group grows with the data.
 
 Recall of links at 0.93 on the test tables is in the README; what is missed is a pair that shares no filter.
 
 Defined cases: null labels, and vectors that are null, empty, zero or hold nulls, NaN or infinity are linked
-with nothing (n_links 0, their own component, kept); vectors of different lengths are not compared; rows equal
-in vec_id count as separate copies of one id; a null vec_id links as a copy but names no component; an empty
-table gives an empty result; other columns are ignored.
+with nothing (n_links 0, their own component, kept); vectors of different lengths are not compared; labels of any
+type are compared as text; rows equal in vec_id count as separate copies of one id; a null vec_id links as a copy
+but names no component (null where nothing else does); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,106 +86,137 @@ class ProductCode:
         return number
 
 
-def filters_of(code: ProductCode, reach: float, relevant: int):
-    """id, label, filter rows; a vector with few directions takes its best by a lower reach."""
+def packed(v) -> bytes | None:
+    """A vector over a power of two, as the bytes of floats if that is exact, else of doubles; None where it can't be compared."""
+    x = None if v is None else np.asarray(v, np.float64)
+    if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
+        return None
+    x = np.ldexp(x, -np.frexp(np.abs(x).max())[1]) + 0.0
+    with np.errstate(under="ignore"):
+        short = x.astype(np.float32)
+    return short.tobytes() if np.array_equal(short, x) else x.tobytes()
+
+
+def unpacked(b: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64)
+
+
+@F.pandas_udf(T.BinaryType())
+def as_bytes(v: pd.Series) -> pd.Series:
+    return v.map(packed)
+
+
+def filters_of(dim: int, code: ProductCode | None, reach: float, relevant: int):
+    """id, v and filters, the sorted directions, of each vector; one with few directions takes its best by a lower reach."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if not part.num_rows:
-                continue
-            x = np.stack([np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in part.column("v")])
-            inner = code.parts(x / np.linalg.norm(x, axis=1, keepdims=True))
-            rows, found = [], []
-            for i in range(len(x)):
-                own, low, k = [p[i] for p in inner], reach, 0
-                got = code.decode(own, low)
-                while len(got) < relevant / 3 and k < 8:
-                    low, k = low - 0.02, k + 1
+            found = [np.zeros(1, np.int64)] * part.num_rows
+            if code and part.num_rows:
+                x = np.stack([unpacked(v.as_buffer(), dim) for v in part.column("v")])
+                inner = code.parts(x / np.linalg.norm(x, axis=1, keepdims=True))
+                for i in range(len(x)):
+                    own, low, k = [p[i] for p in inner], reach, 0
                     got = code.decode(own, low)
-                rows.append(np.full(len(got), i))
-                found.append(got)
-            at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("label").take(at), pa.array(np.concatenate(found))], names=["id", "label", "filter"])
+                    while len(got) < relevant / 3 and k < 8:
+                        low, k = low - 0.02, k + 1
+                        got = code.decode(own, low)
+                    found[i] = np.sort(got)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "label", "copies", "v")), pa.array(found, pa.list_(pa.int64()))], names=["id", "label", "copies", "v", "filters"])
 
     return run
 
 
-def near_pairs(threshold: float):
-    """Pairs at or a hair below the threshold, within each filter and block pair of a group."""
+def _first_shared(mine: list[np.ndarray], i: np.ndarray, j: np.ndarray, filter_: int) -> np.ndarray:
+    """Whether `filter_` is the least direction that rows i and j share."""
+    before = [f[f < filter_] for f in mine]
+    width = max((len(f) for f in before), default=0)
+    if not width:
+        return np.ones(len(i), bool)
+    a = np.full((len(before), width), -1, np.int64)
+    for k, f in enumerate(before):
+        a[k, : len(f)] = f
+    b = np.where(a < 0, -2, a)
+    out = np.ones(len(i), bool)
+    for s in range(width):  # one direction of i against all of j
+        out &= ~(a[i, s][:, None] == b[j]).any(1)
+    return out
 
-    def run(group: pa.Table) -> pa.Table:
-        x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in group.column("v")])
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
-        key = np.stack([group.column(c).to_numpy() for c in ("label", "filter", "p", "q")])
-        order = np.lexsort(key)
-        key = key[:, order]
-        edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-        out = []
-        for at in np.split(order, edges):
-            if len(at) > 1:
-                i, j = np.nonzero(np.triu(x[at] @ x[at].T >= threshold - 1e-4, 1))
-                i, j = at[i], at[j]
-                apart = (side[i] != side[j]) | (side[i] == 2)
-                out.append(np.stack([np.maximum(ids[i], ids[j])[apart], np.minimum(ids[i], ids[j])[apart]]))
-        a, b = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return run
-
-
-@F.pandas_udf(T.BinaryType())
-def as_bytes(v: pd.Series) -> pd.Series:
-    """A vector as its floats' bytes, which are cheaper to move than an array."""
-    return v.map(lambda x: np.asarray(x, np.float32).tobytes())
+def links_in_groups(threshold: float, dim: int, step: int = 200_000):
+    """id, n (links whose first shared filter this is) and least (the smallest id reached here), of rows with links; a link counts for all copies of the other vector.
 
+    Rows of one (label, filter, p, q) are compared: all pairs of a block (side 2), or block p (side 0) with block q (1)."""
 
-def cosine_check(threshold: float):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            keep = []
-            for x, y in zip(part.column("va"), part.column("vb"), strict=True):
-                x, y = (np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in (x, y))
-                keep.append(float(x @ y) / (float(np.sqrt(x @ x)) * float(np.sqrt(y @ y))) >= threshold)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(group: pa.Table) -> pa.Table:
+        ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
+        keys = [group.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("label", "filter", "p", "q")]
+        copies = group.column("copies").to_numpy()
+        filters, lists, vectors = group.column("filter").to_numpy(), group.column("filters").combine_chunks(), group.column("v")
+        order = np.lexsort([ids, *keys])
+        edges = np.flatnonzero(np.any([np.diff(k[order]) != 0 for k in keys], axis=0)) + 1
+        out: list[tuple] = []
+        for at in np.split(order, edges):
+            if len(at) < 2:
+                continue
+            x = np.stack([unpacked(vectors[int(r)].as_buffer(), dim) for r in at])
+            size = np.sqrt(np.einsum("ij,ij->i", x, x))
+            near = (x @ x.T) / (size[:, None] * size[None, :]) >= threshold
+            apart = np.ones((len(at), len(at)), bool) if side[at[0]] == 2 else side[at][:, None] != side[at][None, :]
+            i, j = np.nonzero(np.triu(near & apart, 1))
+            if not len(i):
+                continue
+            mine = [lists[int(r)].values.to_numpy() for r in at]
+            n = np.zeros(len(at), np.int64)
+            for s in range(0, len(i), step):
+                a, b = i[s : s + step], j[s : s + step]
+                new = _first_shared(mine, a, b, int(filters[at[0]]))
+                np.add.at(n, a[new], copies[at[b[new]]])
+                np.add.at(n, b[new], copies[at[a[new]]])
+            least = np.arange(len(at))
+            while True:  # rows are sorted by id, so the smallest place is the smallest id
+                before = least.copy()
+                np.minimum.at(least, i, least[j])
+                np.minimum.at(least, j, least[i])
+                least = least[least]
+                if (least == before).all():
+                    break
+            met = np.union1d(i, j)
+            out.append((ids[at][met], n[met], ids[at][least[met]]))
+        got = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("id", "n", "least"), got, strict=True)})
 
     return run
 
 
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, relevant: int = 20, block: int = 1024) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row for each row of `vectors`."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    finite = F.coalesce(F.forall("v", lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
-    usable = finite & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull()
-    rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda x: x + 0.0))).withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
-    # Copies: one vector goes on for each label and value, under the smallest id of its copies.
-    classes = scratch_table(rows.filter("v is not null").groupBy("label", "h", F.size("v").alias("dim")).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("v").alias("v")).filter("id is not null"), "vector-classes")
-    dims = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()
-    pairs = None
-    for dim, n in dims:
+    """vec_id, n_links, component_id, kept: one row for each row of `vectors`. A code is made for each length of vectors, of which there should be few."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), as_bytes("embedding").alias("v"), F.size("embedding").alias("dim"))
+    rows = scratch_table(rows.withColumn("h", F.when(F.col("label").isNotNull(), F.md5("v"))), "vectors")
+    # Copies: one vector goes on for each label and value, under a number of its own, as ids may repeat.
+    key = ["label", "h", "dim"]
+    classes = rows.filter("h is not null").groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.min("v").alias("v"))
+    classes = scratch_table(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
+    seen = classes.select("id", F.col("copies").alias("n"), F.col("id").alias("least")).limit(0)
+    for dim, n in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
         code = ProductCode(dim, max(8, int(np.ceil((n * relevant / 64) ** (1 / 3)))), min(3, dim)) if dim > 1 else None
-        own = classes.filter(F.col("dim") == dim).select("id", "label", "v")
-        found = own.mapInArrow(filters_of(code, code.reach(relevant), relevant), "id long, label long, filter long") if code else own.select("id", "label", F.lit(0).cast("long").alias("filter"))
-        found = scratch_table(found, "filters")
+        own = classes.filter(F.col("dim") == dim).select("id", "label", "copies", "v")
+        own = scratch_table(own.mapInArrow(filters_of(dim, code, code.reach(relevant) if code else 0.0, relevant), "id long, label string, copies long, v binary, filters array<long>"), "filters")
+        found = own.select("id", "label", F.explode("filters").alias("filter"))
         counts = found.groupBy("label", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         placed = found.join(counts, ["label", "filter"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         meets = meets.select("label", "filter", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "id", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
         groups = max(1, n * relevant // (4 * block))
-        meets = meets.join(own.select("id", F.col("v").cast("array<float>").alias("v")), "id").withColumn("g", F.pmod(F.xxhash64("label", "filter", "p", "q"), F.lit(groups)))
-        some = meets.withColumn("v", as_bytes(F.col("v"))).groupBy("g").applyInArrow(near_pairs(threshold), "a long, b long").distinct()
-        pairs = some if pairs is None else pairs.union(some)
-    if pairs is None:
-        pairs = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("v").alias("v" + c))
-    links = scratch_table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(cosine_check(threshold), "a long, b long"), "vector-links")
-    copies = classes.select(F.col("id").alias("b"), "copies")
-    far = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies, "b").groupBy("a").agg(F.sum("copies").alias("far"))
-    groups = components(links)
-    named = classes.join(far, F.col("id") == F.col("a"), "left").join(groups, F.col("id") == F.col("node"), "left")
-    named = named.select("label", "h", "dim", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("vec_id", "label", "h", F.size("v").alias("dim")).join(named, ["label", "h", "dim"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+        meets = meets.join(own.drop("label"), "id").withColumn("g", F.pmod(F.xxhash64("label", "filter", "p", "q"), F.lit(groups)))
+        seen = seen.union(meets.groupBy("g").applyInArrow(links_in_groups(threshold, dim), "id long, n long, least long"))
+    seen = scratch_table(seen, "vector-links")
+    groups = components(seen.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
+    counted = classes.join(seen.groupBy("id").agg(F.sum("n").alias("far")), "id", "left").join(groups, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    names = counted.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    named = counted.join(names, "component").select(*key, (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.select("vec_id", *key).join(named, key, "left").withColumn("component_id", F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id").withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op2_cap_filters(spark, sf_dir: str) -> DataFrame:
