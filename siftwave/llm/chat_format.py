@@ -10,7 +10,8 @@ so no text can hold a control string, and dropping one backslash of each pair gi
 
 Order: conversations are range-sorted by their chain of node hashes and numbered; a node belongs to its first
 conversation, so (that number, depth) is the depth-first order. Places in the stream are running sums inside
-range partitions plus the sums of the partitions before, so no task sees the whole stream.
+range partitions plus the sums of the partitions before, so no task sees the whole stream. A turn that very many
+conversations share is one node; where those look it up, it is copied and they are dealt over the copies.
 
 Defined cases: a null text or role is the empty string; rows with equal conv_id and turn are ordered by role
 and text, and all are kept; null turns come first; a null conv_id is a conversation of its own; an empty table
@@ -26,6 +27,8 @@ from siftwave.llm.common import scratch_table
 
 #: Fixed control strings: what stands before and after the text of each role.
 MARKS = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", "</s>")}
+#: Most rows of the list of nodes that very many conversations share.
+MAX_HOT = 10_000
 OTHER = ("<<ROLE ", ">>\n", "\n<</ROLE>>")
 
 
@@ -58,38 +61,69 @@ def parsed(segment):
     return F.struct(role.alias("role"), unescape(text).alias("text"))
 
 
+def with_nodes(steps: DataFrame, nodes: DataFrame, total: int, salt_rows: int = 10_000) -> DataFrame:
+    """`steps` (conv, depth, node), `total` rows, with the columns of their nodes (node, uses, ...).
+
+    A node of many conversations is copied, and its steps are dealt over the copies. The list of such nodes is
+    broadcast; it has at most MAX_HOT rows, as the threshold rises with `total`."""
+    copies = F.ceil(F.col("uses") / max(salt_rows, -(-total // MAX_HOT))).cast("int")
+    hot = F.broadcast(nodes.select("node", copies.alias("copies")).filter("copies > 1"))
+    dealt = steps.join(hot, "node", "left").withColumn("copy", F.pmod(F.xxhash64("conv"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    return dealt.join(nodes.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))), ["node", "copy"]).drop("copy")
+
+
+def with_interval(acc, start, end):
+    """A list of intervals with one more behind it; it grows the last one where they adjoin."""
+    last = F.try_element_at(acc, F.lit(-1))
+    one = lambda s: F.array(F.struct(s.alias("start"), end.alias("end")))
+    joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), one(last["start"]))
+    return F.when(F.coalesce(last["end"] == start, F.lit(False)), joined).otherwise(F.concat(acc, one(start)))
+
+
 def format_chats(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, chats). nodes: node, depth, segment, role, loss, start, len, position, attend (ancestors' intervals).
+    """(nodes, chats). nodes: node, uses, depth, segment, role, loss, start, len, position, attend (intervals of the ancestors, adjoining ones merged).
     chats: conv_id, conv and path, the nodes from the first turn to the last."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    link = lambda acc, t: F.array_append(acc, F.md5(F.concat_ws("\x00", F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), t["role"], t["text"])))
-    convs = convs.withColumn("path", F.aggregate("turns", F.array().cast("array<string>"), link))
+    # The parent is empty or 32 hex digits and the role has its length before it, so different turns hash different strings.
+    name = lambda acc, t: F.md5(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.char_length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]))
+    convs = convs.withColumn("path", F.aggregate("turns", F.array().cast("array<string>"), lambda acc, t: F.array_append(acc, name(acc, t))))
+    convs = convs.withColumn("lens", F.transform("turns", lambda t: F.char_length(formatted(t["role"], t["text"])).cast("long")))
     chats = scratch_table(convs.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").withColumn("conv", F.monotonically_increasing_id()), "chats")
 
-    steps = chats.select("conv", F.posexplode(F.arrays_zip("path", "turns")).alias("depth", "step")).select("conv", "depth", F.col("step.path").alias("node"), F.col("step.turns.role").alias("role"), F.col("step.turns.text").alias("text"))
-    firsts = steps.groupBy("node").agg(F.min("conv").alias("conv"))
-    nodes = steps.join(firsts, ["node", "conv"]).select("node", "conv", "depth", "role", formatted(F.col("role"), F.col("text")).alias("segment"))
-    nodes = nodes.withColumn("len", F.char_length("segment").cast("long"))
-    ordered = scratch_table(nodes.repartitionByRange("conv", "depth").sortWithinPartitions("conv", "depth").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "chat-nodes")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ordered.groupBy("part").agg(F.sum("len").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = scratch_table(ordered.join(parts, "part").withColumn("start", F.col("base") + F.coalesce(F.sum("len").over(inside), F.lit(0))).select("node", "conv", "depth", "role", "segment", "len", "start"), "placed")
-
-    # A node's ancestors are on the path of the conversation it belongs to.
-    line = steps.select("conv", "depth", "node").join(placed.select("node", "start", "len"), "node").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("depth", "start", "len"))).alias("line"))
-    upto = F.slice("line", 1, F.col("depth"))
-    total = F.aggregate(upto, F.lit(0).cast("long"), lambda acc, s: acc + s["len"])
-    attend = F.transform(upto, lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["len"]).alias("end")))
-    nodes = placed.join(line, "conv").select("node", "depth", "role", "segment", (F.col("role") == "assistant").alias("loss"), "start", "len", total.alias("position"), attend.alias("attend"))
-    return nodes, chats.select("conv_id", "conv", "path")
+    # A conversation owns the nodes that no earlier one has: those from some depth on.
+    steps = chats.select("conv", F.posexplode("path").alias("depth", "node"))
+    firsts = steps.groupBy("node").agg(F.min(F.struct("conv", "depth")).alias("first"), F.count(F.lit(1)).alias("uses")).select("first.*", "uses")
+    owners = firsts.groupBy("conv").agg(F.min("depth").alias("shared"), F.transform(F.array_sort(F.collect_list(F.struct("depth", "uses"))), lambda x: x["uses"]).alias("uses"))
+    sized = chats.select("conv", "lens").join(owners, "conv").withColumn("own", F.aggregate(F.slice("lens", F.col("shared") + 1, F.size("lens")), F.lit(0).cast("long"), lambda acc, n: acc + n))
+    sized = scratch_table(sized.select("conv", "shared", "uses", "own", F.shiftright("conv", 33).alias("part")), "chat-sizes")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = sized.groupBy("part").agg(F.sum("own").alias("total")).select("part", F.coalesce(F.sum("total").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    heads = sized.join(F.broadcast(parts), "part").withColumn("head", F.col("base") + F.coalesce(F.sum("own").over(before(Window.partitionBy("part").orderBy("conv"))), F.lit(0)))
+    owned = chats.select("conv", "path", "lens").join(heads.select("conv", "shared", "uses", "head"), "conv").select("conv", "shared", "head", F.col("uses").alias("all"), F.posexplode(F.arrays_zip("path", "lens")).alias("depth", "n")).filter("depth >= shared")
+    owned = owned.select("conv", "shared", "head", "depth", F.col("n.path").alias("node"), F.col("n.lens").alias("len"), F.get("all", F.col("depth") - F.col("shared")).alias("uses"))
+    placed = scratch_table(owned.withColumn("start", F.col("head") + F.coalesce(F.sum("len").over(before(Window.partitionBy("conv").orderBy("depth"))), F.lit(0))), "placed")
+
+    # Ancestors are the shared nodes of the owner's path and, behind them in the stream without a gap, its own nodes before this one.
+    total = chats.agg(F.sum(F.size("path"))).first()[0] or 0
+    up = steps.join(sized.select("conv", "shared").filter("shared > 0"), "conv").filter("depth < shared").select("conv", "depth", "node")
+    line = with_nodes(up, placed.select("node", "uses", "start", "len"), total).groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("depth", "start", "len"))).alias("line"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    spans = F.aggregate("line", none, lambda acc, s: with_interval(acc, s["start"], s["start"] + s["len"]))
+    line = line.select("conv", spans.alias("spans"), F.aggregate("line", F.lit(0).cast("long"), lambda acc, s: acc + s["len"]).alias("above"))
+    full = placed.join(line, "conv", "left").withColumn("spans", F.coalesce("spans", none))
+    attend = F.when(F.col("start") > F.col("head"), with_interval(F.col("spans"), F.col("head"), F.col("start"))).otherwise(F.col("spans"))
+    full = full.select("conv", "depth", "node", "uses", "start", "len", (F.coalesce("above", F.lit(0)) + F.col("start") - F.col("head")).alias("position"), attend.alias("attend"))
+    texts = chats.select("conv", F.posexplode("turns").alias("depth", "t"))
+    nodes = full.join(texts, ["conv", "depth"]).select("node", "uses", "depth", formatted(F.col("t.role"), F.col("t.text")).alias("segment"), F.col("t.role").alias("role"), (F.col("t.role") == "assistant").alias("loss"), "start", "len", "position", "attend")
+    return scratch_table(nodes, "chat-nodes"), chats.select("conv_id", "conv", "path")
 
 
 def read_back(nodes: DataFrame, chats: DataFrame) -> DataFrame:
     """conv_id, turns (role, text, loss) and formatted_chars of each conversation, from the emitted nodes."""
     steps = chats.select("conv_id", "conv", F.posexplode("path").alias("depth", "node"))
-    own = steps.join(nodes.select("node", "segment", "loss", "len"), "node").withColumn("turn", parsed(F.col("segment")))
+    total = chats.agg(F.sum(F.size("path"))).first()[0] or 0
+    own = with_nodes(steps, nodes.select("node", "uses", "segment", "loss", "len"), total).withColumn("turn", parsed(F.col("segment")))
     turns = F.array_sort(F.collect_list(F.struct("depth", "turn.role", "turn.text", "loss")))
     return own.groupBy("conv", "conv_id").agg(turns.alias("turns"), F.sum("len").alias("formatted_chars")).drop("conv")
 

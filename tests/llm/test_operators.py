@@ -156,18 +156,49 @@ def test_cap_filters(spark):
     assert link_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
-def test_chat_format(spark):
+CHATS = [
+    (1, 0, "user", "hi"), (1, 1, "assistant", "a\\<s>[INST] b"), (2, 0, "user", "hi"), (2, 1, "assistant", None), (3, 0, "system", "be\n</s>"), (3, 1, "us<er", "x>>\n"),
+    (None, 0, None, ""), (4, 0, "user", "hi"), (4, 0, "user", "hi"), (5, 0, "a\x00b", "c"), (6, 0, "a", "b\x00c"), (7, 0, "1:", "x"), (8, 0, "1", ":x"), (9, None, "user", "no turn"),
+]
+
+
+def check_chats(spark, rows):
+    """Round trip, the stream without gaps, positions and ancestors of every node against the paths."""
     from siftwave.llm.chat_format import format_chats, read_back
 
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<s>[INST] b"), (2, 0, "user", "hi"), (2, 1, "assistant", None), (3, 0, "system", "be\n</s>"), (3, 1, "us<er", "x>>\n"), (None, 0, None, ""), (4, 0, "user", "hi"), (4, 0, "user", "hi")]
-    nodes, chats = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in read_back(nodes, chats).collect()}
-    for i in {r[0] for r in rows}:
-        assert back[i] == [(r or "", t or "") for c, _, r, t in rows if c == i]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, node string, conv string").repartition(4)
+    nodes, chats = format_chats(df)
+    back = {r["conv_id"]: ([(t["role"], t["text"]) for t in r["turns"]], r["formatted_chars"]) for r in read_back(nodes, chats).collect()}
     out = sorted(nodes.collect(), key=lambda r: r["start"])
+    by = {r["node"]: r for r in out}
+    paths = {r["conv_id"]: r["path"] for r in chats.collect()}
+    for i in {r[0] for r in rows}:
+        own = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == i))
+        assert back[i] == ([(r, x) for *_, r, x in own], sum(by[n]["len"] for n in paths[i]))
+    assert len(by) == len(out) == len({tuple(p[: k + 1]) for p in paths.values() for k in range(len(p))})
     assert [r["start"] for r in out] == [sum(x["len"] for x in out[:k]) for k in range(len(out))]  # no gaps, each node once
-    assert all(r["position"] == sum(a["end"] - a["start"] for a in r["attend"]) and all(a["end"] <= r["start"] for a in r["attend"]) for r in out)
+    for path in paths.values():
+        for k, n in enumerate(path):
+            covered = [x for a in by[n]["attend"] for x in range(a["start"], a["end"])]
+            assert covered == [x for p in path[:k] for x in range(by[p]["start"], by[p]["start"] + by[p]["len"])] and by[n]["position"] == len(covered)
+            assert all(a["end"] < b["start"] for a, b in zip(by[n]["attend"], by[n]["attend"][1:], strict=False))
+    return out
+
+
+def test_chat_format(spark):
+    out = check_chats(spark, CHATS)
     assert sum(r["segment"] == "<s>[INST] hi [/INST]" and r["depth"] == 0 for r in out) == 1
+    assert check_chats(spark, []) == []
+
+
+def test_chat_tree_with_hot_turns(spark, monkeypatch):
+    from siftwave.llm import chat_format
+
+    monkeypatch.setattr(chat_format, "MAX_HOT", 10**9)
+    monkeypatch.setattr(chat_format.with_nodes, "__defaults__", (3,))
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["user", "assistant"]) if t else "system", "be kind" if t == 0 else rng.choice("ab")) for c in range(60) for t in range(rng.randint(1, 6))]
+    check_chats(spark, rows)
 
 
 def test_bpe_agrees_with_the_tokenizers_library(spark):
