@@ -30,19 +30,23 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "th", "pos", key.alias("key")).select("doc_id", "th", "pos", F.xxhash64("key").alias("k1"), F.hash("key").alias("k2"), F.char_length("key").alias("chars"))
 
 
-def repeated_keys(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def repeated_keys(lines: DataFrame, min_docs: int = 10) -> DataFrame:
     """k1, k2, n_docs and first (doc_id, th, pos) of the keys in at least `min_docs` documents."""
     order = ["k1", "k2", "doc_id", "th"]
-    spread = lines_of(docs).filter(F.col("chars") >= min_chars).repartitionByRange(*order).sortWithinPartitions(*order, "pos")
+    spread = lines.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
     per_doc = spread.groupBy(*order).agg(F.min("pos").alias("pos"))
     per_key = per_doc.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "th", "pos")).alias("first"))
     return per_key.filter(F.col("n_docs") >= min_docs)
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, policy: str = "all", max_broadcast: int = 1_000_000) -> DataFrame:
-    """doc_id, th and dropped (sorted line numbers) of each document that loses lines."""
-    keys = scratch_table(repeated_keys(docs, min_docs, min_chars), "line-keys")
-    hits = lines_of(docs).join(small_side(keys, keys.count(), max_broadcast), ["k1", "k2"])
+    """doc_id, th and dropped (sorted line numbers) of each document that loses lines.
+
+    Texts are cut into lines once; range bounds, counts and hits are read from the written hashes."""
+    lines = scratch_table(lines_of(docs).filter(F.col("chars") >= min_chars).drop("chars"), "lines")
+    keys = scratch_table(repeated_keys(lines, min_docs), "line-keys")
+    # A row of keys is of fixed size (about 48 bytes), so the bound on rows is one on bytes.
+    hits = lines.join(small_side(keys, keys.count(), max_broadcast), ["k1", "k2"])
     if policy == "first":
         hits = hits.filter(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     return hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
@@ -68,8 +72,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, policy:
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and keep_runs: the kept lines as start:length, comma-joined."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    runs = F.array_join(F.transform("keep_runs", lambda r: F.concat_ws(":", r["start"], r["len"])), ",")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), runs.alias("keep_runs"))
 
 
 OP10_SQL = r"""
@@ -80,8 +86,11 @@ k AS (
   SELECT doc_id, pos, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
-m AS (SELECT k.doc_id, k.pos, k.line, f.key IS NOT NULL AS dropped FROM k LEFT JOIN f ON k.key = f.key)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+m AS (SELECT k.doc_id, k.pos, k.line, f.key IS NOT NULL AS dropped FROM k LEFT JOIN f ON k.key = f.key),
+g AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m WHERE NOT dropped),
+r AS (SELECT doc_id, min(pos) - 1 AS a, count(*) AS n FROM g GROUP BY doc_id, run),
+s AS (SELECT doc_id, string_agg(a || ':' || n, ',' ORDER BY a) AS runs FROM r GROUP BY doc_id)
+SELECT m.doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256, coalesce(any_value(s.runs), '') AS keep_runs
+FROM m LEFT JOIN s ON s.doc_id = m.doc_id GROUP BY m.doc_id
 """
