@@ -3,8 +3,9 @@
 Models of accepted and rejected URLs are learned from the URLs that rules decide. They are
 variable-order Markov models: each character is predicted from the longest context of up to ORDER
 characters seen at least `min_count` times, with counts smoothed towards the next shorter context. The
-score of a URL is the mean log-likelihood difference per character; the cut is where both classes of
-labelled URLs err equally under a normal approximation of their scores.
+score of a URL is the mean log-likelihood difference per character. A fifth of the labelled URLs, drawn by a
+hash of the URL, is held out of the models; the cut is where both classes of those err equally under a normal
+approximation of their scores. Where one class has none of them, the cut is 0, where both models fit alike.
 
 Counts and the model are keyed by the exact grams (a context and its character), so the model grows with
 the different grams of the labelled URLs; counts are summed before the shuffle. What a character scores
@@ -13,7 +14,7 @@ values are broadcast while they are few; beyond that only those of common grams
 the threshold rises with the total) and the rest is joined by a shuffle.
 
 Defined cases: a null URL or one without "://" has empty host and path and no rule, and is judged by the
-models (no characters: score 0); without URLs of both classes the verdict is allow; ties allow; repeated
+models; one without characters is allowed; without URLs of both classes the verdict is allow; ties allow; repeated
 rows are judged alike and count again in training; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -110,17 +111,25 @@ def score(rows: DataFrame, model: DataFrame, max_broadcast: int = MAX_BROADCAST)
     return rows.join(per_url, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def calibrates() -> F.Column:
+    """Whether a labelled URL is held out for the cut; a function of the URL, so that its copies go together."""
+    return F.pmod(F.xxhash64(F.lit("cut"), "url"), F.lit(5)) == 0
+
+
 def judge(pages: DataFrame, rules=RULES, min_count: int = 3) -> DataFrame:
-    """page_id, host, path, rule, verdict, score and cut of each row of `pages`."""
-    rows = with_rule(pages, rules)
-    scored = scratch_table(score(rows, fit(rows.filter("ruled is not null"), min_count)), "url-scores")
-    is_a, is_b = F.col("ruled") == "allow", F.col("ruled") == "block"
+    """page_id, host, path, rule, verdict, score, cut and held_out (labelled, but not learned from) of each row of `pages`."""
+    rows = with_rule(pages, rules).withColumn("held_out", F.col("ruled").isNotNull() & F.coalesce(calibrates(), F.lit(False)))
+    scored = scratch_table(score(rows, fit(rows.filter("ruled is not null and not held_out"), min_count)), "url-scores")
+    is_a, is_b = (F.col("held_out") & (F.col("ruled") == x) for x in ("allow", "block"))
     s = lambda f, c: F.coalesce(f(F.when(c, F.col("score"))), F.lit(0.0))
+    n = lambda c: F.count(F.when(c, 1))
     # Both classes err equally at the cut: (cut - mean_b) / sd_b = (mean_a - cut) / sd_a.
-    stats = scored.agg(F.count(F.when(is_a, 1)).alias("n_a"), F.count(F.when(is_b, 1)).alias("n_b"), s(F.mean, is_a).alias("ma"), s(F.mean, is_b).alias("mb"), (s(F.stddev_pop, is_a) + 1e-6).alias("sa"), (s(F.stddev_pop, is_b) + 1e-6).alias("sb"))
-    cut = stats.select(F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.expr("round((ma * sb + mb * sa) / (sa + sb), 9)")).alias("cut"))
-    verdict = F.coalesce("ruled", F.when(F.coalesce(F.col("score") < F.col("cut"), F.lit(False)), "block").otherwise("allow"))
-    return scored.join(F.broadcast(cut)).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "cut")
+    learned = [n(~F.col("held_out") & (F.col("ruled") == x)) > 0 for x in ("allow", "block")]
+    stats = scored.agg((learned[0] & learned[1]).alias("both"), n(is_a).alias("n_a"), n(is_b).alias("n_b"), s(F.mean, is_a).alias("ma"), s(F.mean, is_b).alias("mb"), (s(F.stddev_pop, is_a) + 1e-6).alias("sa"), (s(F.stddev_pop, is_b) + 1e-6).alias("sb"))
+    even = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.expr("round((ma * sb + mb * sa) / (sa + sb), 9)")).otherwise(F.lit(0.0))
+    cut = stats.select(F.when(F.col("both"), even).alias("cut"))
+    verdict = F.coalesce("ruled", F.when(F.coalesce((F.col("score") < F.col("cut")) & (F.col("url") != ""), F.lit(False)), "block").otherwise("allow"))
+    return scored.join(F.broadcast(cut)).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "cut", "held_out")
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
