@@ -7,8 +7,9 @@ that meets a prefix token must leave room for the window on both sides (position
 and then all words of the window are compared.
 
 All document work is in one pass of built-in functions per join: words are exploded once, and only
-verified positions and one row per document are shuffled. The benchmark side is broadcast within
-`max_broadcast` rows, else shuffled.
+verified positions and one row per document are shuffled. The windows are broadcast within `max_bytes`, which
+their words are measured against; beyond it, token and place of each document word meet them in a shuffle
+(without the words), and only documents with a meeting are compared with their windows.
 
 Defined cases: null or empty texts have no words and are clean; items without words are in no document;
 a null item_id is written as the empty string; rows equal in doc_id and text are one document; an empty
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.llm.common import ascii_words, keyed, scratch_table, small_side
+from siftwave.llm.common import ascii_words, keyed, same_row, scratch_table, small_side
 
 SHINGLE = 3
 
@@ -57,16 +58,28 @@ def positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return rows.withColumn("token", F.explode(F.array(*[token(F.col("words"), F.col("at"), n) for n in sizes])))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = SHINGLE, share: int = 20, max_broadcast: int = 500_000) -> DataFrame:
+def meetings(docs: DataFrame, index: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+    """doc_id, th, words, at, window, items, off: places whose token is that of a window, and one row more for each document."""
+    if small:
+        return positions(docs, sizes).join(F.broadcast(index), "token", "left")
+    near = positions(docs, sizes).select("doc_id", "th", "at", "token").join(index, "token")
+    rows = keyed(docs).select("doc_id", "th", ascii_words(F.col("text")).alias("words"))
+    found = rows.join(near, same_row(rows, near)).select(rows["doc_id"], rows["th"], "words", "at", "window", "items", "off")
+    return rows.join(near.limit(0).select("at", "window", "items", "off"), F.lit(False), "left").union(found)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = SHINGLE, share: int = 20, max_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, hit_items (sorted), contaminated, hit_spans (start, end) of each document."""
     all_shingles = scratch_table(shingles_of(windows_of(items, window), shingle), "bench-shingles")
     sizes = sorted(r[0] for r in all_shingles.select("s").distinct().collect()) or [shingle]
     tokens = all_shingles.select("token").distinct()
-    seen = positions(docs, sizes).select("token").join(small_side(tokens, all_shingles.count(), max_broadcast), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    seen = positions(docs, sizes).select("token").join(small_side(tokens, 16 * all_shingles.count(), max_bytes), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = all_shingles.join(seen, "token", "left").groupBy("window", "items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "off")).alias("rarest"))
     index = scratch_table(ranked.filter("rarest.n > 0").select("window", "items", "rarest.token", "rarest.off"), "bench-prefixes")
+    held = lambda c: F.octet_length(F.array_join(c, "")) + 16 * F.size(c)
+    n_bytes = index.agg(F.sum(held("window") + held("items") + 64)).first()[0] or 0
 
-    found = positions(docs, sizes).join(small_side(index, index.count(), max_broadcast), "token", "left")
+    found = meetings(docs, index, sizes, n_bytes <= max_bytes)
     start, n = F.col("at") - F.col("off"), F.size("window")
     fits = (start >= 0) & (start + n <= F.size("words"))
     whole = F.coalesce(fits & (F.slice("words", F.greatest(start, F.lit(0)) + 1, n) == F.col("window")), F.lit(False))
