@@ -45,8 +45,10 @@ def test_decontamination(spark):
     items = [(1, " ".join(words[:20])), (2, "Short Item"), (3, None), (4, "..."), (10, " ".join(words[5:25])), (11, "ab")]
     rows = ODD + [(50, " ".join(words)), (51, "x " * 400 + " ".join(words[3:16])), (52, "a short. ITEM here"), (53, " ".join(words[:12])), (54, "short x item")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["n_words"]): r for r in decontaminate(frame(spark, rows), bench).collect()}
-    for i, t in rows:
+    near = {(r["doc_id"], r["n_words"]): r for r in decontaminate(frame(spark, rows), bench).collect()}
+    far = {(r["doc_id"], r["n_words"]): r for r in decontaminate(frame(spark, rows), bench, max_bytes=0).collect()}
+    assert far == near
+    for got, (i, t) in ((g, r) for g in (near, far) for r in rows):
         w = WORD.findall(low(t))
         hit, found = set(), set()
         for item, text in items:
@@ -76,6 +78,10 @@ def test_license_scan(spark, tmp_path):
         assert r["n_base"] == len(at) and r["base_labels"] == ",".join(sorted({x for _, x in at}))
         assert (r["first_word"], r["last_word"]) == ((min(at)[0], max(at)[0]) if at else (None, None))
         assert 0 <= r["score"] <= 1 and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+    spread = [(70, NOTICES["mit-text"]), (71, " filler ".join(NOTICES["isc-text"].split(" ", 60))), (72, " x y z ".join(NOTICES["zlib-text"].split()))]
+    frame(spark, spread).select("doc_id", "text").write.parquet(f"{tmp_path}/more/documents.parquet")
+    more = {r["doc_id"]: r["labels"].split(",") for r in op4_license_scan(spark, f"{tmp_path}/more").collect()}
+    assert "mit-text" in more[70] and "mit-notice" in more[70] and "zlib-text" not in more[72]
     assert "bsd-notice" in got[(61, len(WORD.findall(low(rows[8][1]))))]["labels"]
 
 
