@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, key string"
 
 
@@ -209,20 +210,66 @@ def test_chat_tree_with_hot_turns(spark, monkeypatch):
 
 def test_bpe_agrees_with_the_tokenizers_library(spark):
     import public_tokenizers
-    from siftwave.llm.bpe import Encoder, decode, with_tokens
+    from siftwave.llm.bpe import Encoder, chunks, decode, digest, with_tokens
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(1)
     parts = ["a", "b ", " ", "  ", "\n", "\n\n", "é", "　", "'s", "12", "<|endoftext|>", "!!", "\x1c", "\x85", "中文", "\U0001f600", "don't", " the"]
-    coder = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, size=16)
-    for _ in range(400):
-        t = "".join(rng.choices(parts, k=rng.randint(0, 150)))
-        ids = coder.encode(t)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 150))) for _ in range(400)]
+    coder = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    data = [t.encode() for t in texts]
+    cut = list(chunks(data, 16, together=2000))
+    assert all(at[0] == 0 and at[-1] == len(d) and b"".join(d[a:b] for a, b in zip(at, at[1:], strict=False)) == d for d, at in zip(data, cut, strict=True))
+    assert [next(chunks([d], 16)) for d in data] == cut
+    coder.shared = {digest(d[a:b]): f for d, at in zip(data, cut, strict=True) for a, b in zip(at, at[1:], strict=False) if rng.random() < 0.6 and (f := coder.inside(d[a:b]))}
+    for t, d, at in zip(texts, data, cut, strict=True):
+        ids = coder.encode(d, at)
         assert whole.encode(t, add_special_tokens=False).ids == ids.tolist() and coder.decode(ids) == t
-    assert coder.encoded
-    out = decode(with_tokens(frame(spark, ODD))).collect()
-    assert all(r["decoded"] == (r["text"] or "") and r["n_tokens"] == len(r["ids"]) for r in out)
+    assert coder.reused > 100
+    passage = " ".join(rng.choice("the of house water with from this".split()) for _ in range(400))
+    rows = ODD + [(100 + i, f"own {i} {passage} end") for i in range(9)] + [(200, texts[0]), (201, None)]
+    for max_shared in (1 << 20, 600, 0):
+        out = decode(with_tokens(frame(spark, rows).withColumns({"n_tokens": F.lit("old"), "digest": F.lit(1)}).repartition(3), size=64, max_shared=max_shared)).collect()
+        assert len(out) == len(rows)
+        assert all(r["decoded"] == (r["text"] or "") and r["n_tokens"] == len(r["ids"]) and r["ids"] == whole.encode(r["text"] or "", add_special_tokens=False).ids for r in out)
+    assert with_tokens(frame(spark, [])).count() == 0
+
+
+def test_bpe_shares_chunks_of_several_documents(spark):
+    import public_tokenizers
+    from siftwave.llm.bpe import Encoder, chunks, digest, shared_chunks
+
+    rng = random.Random(2)
+    passage = " ".join(rng.choice("the of house water with from this".split()) for _ in range(600))
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(40)) + " " + passage) for i in range(6)]
+    data = [t.encode() for _, t in rows]
+    seen = {}
+    for d, at in zip(data, chunks(data, 64), strict=True):
+        for c in {d[a:b] for a, b in zip(at, at[1:], strict=False)}:
+            seen[c] = seen.get(c, 0) + 1
+    coder = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    both = {digest(c) for c, n in seen.items() if n > 1 and len(c) > 24 and coder.inside(c)}
+    got = shared_chunks(frame(spark, rows).repartition(3), "byte_bpe_50k.tiktoken", 64)
+    assert set(got) == both and len(both) > 5
+    few = shared_chunks(frame(spark, rows).repartition(3), "byte_bpe_50k.tiktoken", 64, max_shared=1500)
+    assert set(few) < set(got) and few
+
+
+def test_bpe_query(spark):
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from siftwave.llm.bpe import op8_bpe
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    got = op8_bpe(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        back = whole.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
 def test_language_id(spark):
