@@ -127,23 +127,19 @@ def filters_of(dim: int, code: ProductCode | None, reach: float, relevant: int):
     return run
 
 
-def _first_shared(mine: list[np.ndarray], i: np.ndarray, j: np.ndarray, filter_: int) -> np.ndarray:
-    """Whether `filter_` is the least direction that rows i and j share."""
+def earlier_directions(mine: list[np.ndarray], filter_: int) -> np.ndarray:
+    """A row of bits for each list of directions: those below `filter_` that two or more lists hold."""
     before = [f[f < filter_] for f in mine]
-    width = max((len(f) for f in before), default=0)
-    if not width:
-        return np.ones(len(i), bool)
-    a = np.full((len(before), width), -1, np.int64)
-    for k, f in enumerate(before):
-        a[k, : len(f)] = f
-    b = np.where(a < 0, -2, a)
-    out = np.ones(len(i), bool)
-    for s in range(width):  # one direction of i against all of j
-        out &= ~(a[i, s][:, None] == b[j]).any(1)
-    return out
-
-
-def links_in_groups(threshold: float, dim: int, step: int = 200_000):
+    owner = np.repeat(np.arange(len(mine)), [len(f) for f in before])
+    _, column, n = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    bits = np.zeros((len(mine), -(-int((n > 1).sum()) // 64) * 64), np.uint8)
+    kept = n[column] > 1
+    bits[owner[kept], place[column[kept]]] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def links_in_groups(threshold: float, dim: int, step: int = 100_000):
     """id, n (links whose first shared filter this is) and least (the smallest id reached here), of rows with links; a link counts for all copies of the other vector.
 
     Rows of one (label, filter, p, q) are compared: all pairs of a block (side 2), or block p (side 0) with block q (1)."""
@@ -167,10 +163,10 @@ def links_in_groups(threshold: float, dim: int, step: int = 200_000):
             if not len(i):
                 continue
             mine = [lists[int(r)].values.to_numpy() for r in at]
-            n = np.zeros(len(at), np.int64)
+            n, bits = np.zeros(len(at), np.int64), earlier_directions(mine, int(filters[at[0]]))
             for s in range(0, len(i), step):
                 a, b = i[s : s + step], j[s : s + step]
-                new = _first_shared(mine, a, b, int(filters[at[0]]))
+                new = ~(bits[a] & bits[b]).any(1)
                 np.add.at(n, a[new], copies[at[b[new]]])
                 np.add.at(n, b[new], copies[at[a[new]]])
             least = np.arange(len(at))
