@@ -149,17 +149,22 @@ def links_in_groups(threshold: float, dim: int, step: int = 100_000):
         keys = [group.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("label", "filter", "p", "q")]
         copies = group.column("copies").to_numpy()
         filters, lists, vectors = group.column("filter").to_numpy(), group.column("filters").combine_chunks(), group.column("v")
+        blobs = [v.as_buffer() for v in vectors]
+        short = all(len(b) == 4 * dim for b in blobs)
+        whole = np.frombuffer(b"".join(blobs), np.float32).reshape(-1, dim).astype(np.float64) if short else np.stack([unpacked(b, dim) for b in blobs])
+        sizes = np.sqrt(np.einsum("ij,ij->i", whole, whole))
         order = np.lexsort([ids, *keys])
         edges = np.flatnonzero(np.any([np.diff(k[order]) != 0 for k in keys], axis=0)) + 1
         out: list[tuple] = []
         for at in np.split(order, edges):
             if len(at) < 2:
                 continue
-            x = np.stack([unpacked(vectors[int(r)].as_buffer(), dim) for r in at])
-            size = np.sqrt(np.einsum("ij,ij->i", x, x))
-            near = (x @ x.T) / (size[:, None] * size[None, :]) >= threshold
-            apart = np.ones((len(at), len(at)), bool) if side[at[0]] == 2 else side[at][:, None] != side[at][None, :]
-            i, j = np.nonzero(np.triu(near & apart, 1))
+            x, size = whole[at], sizes[at]
+            near = (x @ x.T) / (size[:, None] * size) >= threshold
+            if side[at[0]] != 2:
+                near &= side[at][:, None] != side[at]
+            i, j = np.nonzero(near)
+            i, j = i[i < j], j[i < j]
             if not len(i):
                 continue
             mine = [lists[int(r)].values.to_numpy() for r in at]
