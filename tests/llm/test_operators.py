@@ -144,7 +144,30 @@ def test_ngram_jaccard(spark):
     assert similar_documents(frame(spark, [])).count() == 0
 
 
-def test_cap_filters(spark):
+def exact_links(rows):
+    """n_links and component of each row (id, vector, label), compared in double precision after exact scaling."""
+    def unit(v):
+        if not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+            return None
+        x = np.array(v, np.float64)
+        x = np.ldexp(x, -np.frexp(np.abs(x).max())[1])
+        return x / np.linalg.norm(x)
+
+    good = [(k, unit(v), label) for k, (_, v, label) in enumerate(rows) if label is not None]
+    good = [g for g in good if g[1] is not None]
+    n, comp = [0] * len(rows), list(range(len(rows)))
+    for x, (a, u, m) in enumerate(good):
+        for b, v, w in good[:x]:
+            if m == w and len(u) == len(v) and u @ v >= 0.93:
+                n[a] += 1
+                n[b] += 1
+                comp = [comp[a] if c == comp[b] else c for c in comp]
+    least = {c: min((rows[k][0] for k in range(len(rows)) if comp[k] == c and rows[k][0] is not None), default=None) for c in set(comp)}
+    return sorted(((rows[k][0], n[k], least[comp[k]]) for k in range(len(rows))), key=repr)
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_cap_filters(spark, block):
     from siftwave.llm.cap_filters import link_vectors
 
     rng = np.random.default_rng(2)
@@ -154,13 +177,17 @@ def test_cap_filters(spark):
         v = centres[i % 30] + 0.12 * rng.standard_normal(16)
         rows.append((i, [float(np.float32(x)) for x in (centres[0] if i % 10 == 0 else v)], i % 2))
     rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [1.0, None] * 8, 0), (504, rows[0][1], None), (505, [], 0), (506, [1.0, 2.0], 0)]
-    got = {r["vec_id"]: r for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    good = [(i, np.array(v), label) for i, v, label in rows[:400]]
-    links = {i: [j for j, w, m in good if i != j and label == m and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93] for i, v, label in good}
-    exact, found = sum(map(len, links.values())), sum(got[i]["n_links"] for i in links)
-    assert found <= exact and found >= 0.98 * exact
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] and got[i]["component_id"] == i for i in range(500, 507))
-    assert link_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+    rows += [(600, [1e20, 2e20, 3e20], 5), (601, [1e20, 2e20, 3.05e20], 5), (602, [0.0, -2e-25, 3e-25], 6), (603, [-0.0, -2e-25, 3.1e-25], 6), (604, [1e200, 0.0, 1e200], 7), (605, [1e-200, 0.0, 1.01e-200], 7)]
+    rows += [(None, rows[1][1], 1), (None, rows[2][1], 0), (None, [9.0, -9.0, 1.0], 8), (3, rows[4][1], 0), (5, rows[5][1], 1)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, v string, id int")
+    want = exact_links(rows)
+    got = [tuple(r) for r in link_vectors(df, relevant=300, block=block).collect()]
+    assert sorted(((i, n, c) for i, n, c, _ in got), key=repr) == want
+    assert all(kept == (i is not None and i == c) for i, _, c, kept in got)
+    if block > 16:
+        some = link_vectors(df.withColumn("label", F.concat(F.lit("l"), "label"))).collect()
+        assert 0.98 * sum(n for _, n, _ in want) <= sum(r["n_links"] for r in some) <= sum(n for _, n, _ in want)
+        assert link_vectors(df.limit(0)).count() == 0
 
 
 CHATS = [
