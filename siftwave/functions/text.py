@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 LOOKALIKES = "OoIlBSZbqgz"
 MASKS = r"?*_#~^·�"
 HANGUL = "가-힣"
+LETTERS, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+ASCII = "".join(map(chr, range(128)))
 
 
 def _size(c: Column) -> Column:
@@ -26,6 +30,16 @@ def strip_ascii_space(c: Column) -> Column:
     return F.translate(c, " \t\r\n\f\x0b", "")
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(c: pd.Series) -> pd.Series:
+    return c.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+
+def nfkc(c: Column) -> Column:
+    """The compatible normal form. ASCII texts, which don't change, aren't sent to Python."""
+    return F.coalesce(_nfkc(F.when(F.octet_length(c) != _size(c), c)), c)
+
+
 def compare_key(c: Column) -> Column:
     """Letters, digits and underscores only; a text of none keeps what is left without white space."""
     bare = strip_space(c)
@@ -42,45 +56,60 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def count_of(c: Column, chars: str) -> Column:
+    """How many characters of a set a text has."""
+    return _size(c) - _size(F.translate(c, chars, ""))
+
+
+def beyond_ascii(c: Column) -> Column:
+    """The non-ASCII characters alone, which are few in most texts."""
+    return F.when(F.octet_length(c) == _size(c), "").otherwise(F.translate(c, ASCII, ""))
+
+
 def hangul_share(c: Column) -> Column:
     """Hangul among letters."""
-    return share(_size(F.regexp_replace(c, f"[^{HANGUL}]", "")), _size(F.regexp_replace(c, r"\P{L}", "")))
+    rest = beyond_ascii(c)
+    return share(_size(F.regexp_replace(rest, f"[^{HANGUL}]", "")), count_of(c, LETTERS) + _size(F.regexp_replace(rest, r"\P{L}", "")))
 
 
 def lookalike_share(c: Column) -> Column:
     """Digits and letters like digits among letters and digits that aren't Hangul."""
-    kept = F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}]|[{HANGUL}]", "")
-    return share(_size(F.regexp_replace(kept, rf"[^\p{{Nd}}{LOOKALIKES}]", "")), _size(kept))
+    rest = beyond_ascii(c)
+    digits = _size(F.regexp_replace(rest, r"\P{Nd}", ""))
+    return share(count_of(c, DIGITS + LOOKALIKES) + digits, count_of(c, DIGITS + LETTERS) + _size(F.regexp_replace(rest, rf"[^\p{{L}}\p{{N}}]|[{HANGUL}]", "")))
 
 
 def masked(c: Column, at_least: float = 0.15, min_chars: int = 10) -> Column:
-    n = _size(c)
-    return F.coalesce((n >= min_chars) & ((n - _size(F.regexp_replace(c, f"[{MASKS}]", ""))) / n >= at_least), F.lit(False))
+    return F.coalesce((_size(c) >= min_chars) & (count_of(c, MASKS) / _size(c) >= at_least), F.lit(False))
 
 
 def masked_domain(c: Column) -> Column:
-    return F.coalesce(c.rlike(rf"(?i)[a-z0-9]*[{MASKS}]+[a-z0-9]*\.[a-z]{{2,}}"), F.lit(False))
+    """A mask character with a dot and letters behind it, with or without letters and digits between."""
+    return F.coalesce(c.rlike(rf"[{MASKS}][a-zA-Z0-9]*\.[a-zA-Z]{{2}}"), F.lit(False))
 
 
 def broken(c: Column) -> Column:
     """Text lost to a wrong encoding: ten question or replacement marks in a row, or over 0.4 of them."""
-    bare = strip_ascii_space(c)
-    marks = _size(bare) - _size(F.regexp_replace(bare, r"[?�]", ""))
-    return F.coalesce(bare.rlike(r"[?�]{10,}") | (share(marks, _size(bare)) > 0.4), F.lit(False))
+    bare, marks = strip_ascii_space(c), count_of(c, "?\ufffd")
+    run = F.when(marks >= 10, bare.rlike("[?\ufffd]{10}")).otherwise(F.lit(False))
+    return F.coalesce(run | (share(marks, _size(bare)) > 0.4), F.lit(False))
 
 
 def spaced_hangul(c: Column) -> Column:
     """Hangul letters with single other characters between; the matched text or null."""
-    found = [F.regexp_extract(c, p, 0) for p in (rf"(?U)[{HANGUL}]\W[{HANGUL}]\W[{HANGUL}]", rf"(?U)[{HANGUL}]\s*[./,\-_]\s*[{HANGUL}]")]
+    text = F.when(F.octet_length(c) != _size(c), c)  # Hangul isn't ASCII
+    found = [F.regexp_extract(text, p, 0) for p in (rf"(?U)[{HANGUL}]\W[{HANGUL}]\W[{HANGUL}]", rf"(?U)[{HANGUL}]\s*[./,\-_]\s*[{HANGUL}]")]
     return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
 
 
 def obfuscation_map() -> dict[str, str]:
-    """Circled, full-width, mathematical bold, superscript and subscript characters and what they stand for."""
-    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    runs = [(0x24D0, low), (0x24B6, up), (0xFF41, low), (0xFF21, up), (0xFF10, digits), (0x2460, digits[1:]), (0x1D400, up), (0x1D41A, low), (0x1D7CE, digits), (0x2080, digits), (0x2074, digits[4:])]
+    """What characters stand for: circled and full-width letters, full-width digits and marks, mathematical bold letters, raised and lowered digits.
+
+    Fixed ranges and characters; circled and mathematical digits aren't among them."""
+    low, up = LETTERS[26:], LETTERS[:26]
+    runs = [(0x24D0, low), (0x24B6, up), (0xFF41, low), (0xFF21, up), (0xFF10, DIGITS), (0x1D400, up), (0x1D41A, low), (0x2080, DIGITS), (0x2074, DIGITS[4:])]
     out = {chr(start + i): to for start, letters in runs for i, to in enumerate(letters)}
-    return out | {"⁰": "0", "¹": "1", "²": "2", "³": "3", "．": ".", "／": "/", "：": ":"}
+    return out | {"⁰": "0", "¹": "1", "²": "2", "³": "3", "．": ".", "／": "/", "：": ":", "？": "?", "＆": "&", "＝": "=", "＠": "@", "－": "-", "＿": "_"}
 
 
 def deobfuscate(c: Column) -> Column:
@@ -89,7 +118,21 @@ def deobfuscate(c: Column) -> Column:
 
 
 def has_unicode_obfuscation(c: Column) -> Column:
-    return deobfuscate(c) != c
+    return F.when(F.octet_length(c) == _size(c), False).otherwise(deobfuscate(c) != c)
+
+
+def has_url_token(c: Column) -> Column:
+    """Something like a URL: a scheme or www. before more text, or a dotted name."""
+    return F.coalesce(c.rlike(r"(?:https?://|www\.)\S|[a-zA-Z0-9\uac00-\ud7a3\u3131-\u3163\-.?]\.[a-zA-Z\uac00-\ud7a3]{2}"), F.lit(False))
+
+
+def obfuscated_urls(c: Column) -> Column:
+    """original and decoded of URLs that read differently once decoded, by their order; null originals where only the decoded text has one."""
+    name = rf"(?U)(?:https?://)?(?:[\w{HANGUL}-]+\.)+[a-zA-Z]{{2,}}(?:/[\w\-.~:/?#\[\]@!$&'()*+,;=%]*)?"
+    found = lambda t: F.regexp_extract_all(t, F.lit(name), F.lit(0))
+    pairs = F.filter(F.arrays_zip(found(c).alias("original"), found(deobfuscate(c)).alias("decoded")), lambda p: p["decoded"].isNotNull() & ~p["original"].eqNullSafe(p["decoded"]))
+    none = F.array().cast("array<struct<original:string,decoded:string>>")
+    return F.when(has_unicode_obfuscation(c), F.transform(pairs, lambda p: F.struct(p["original"].alias("original"), p["decoded"].alias("decoded")))).otherwise(none)
 
 
 def safe_cell(c: Column) -> Column:
@@ -106,6 +149,25 @@ def code_digits(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"[0-9]+", 0), F.lit("")), c)
 
 
+def code_int(c: Column) -> Column:
+    """The code's digits as a number; null where they are none."""
+    return code_digits(c).try_cast("int")
+
+
+def without_point_zero(c: Column) -> Column:
+    """A number read as a fraction, without its last .0."""
+    return F.regexp_replace(c, r"\.0$", "")
+
+
+def is_o(c: Column, any_case: bool = False) -> Column:
+    """The human mark of spam, an o; null is none."""
+    return F.coalesce((F.lower(F.trim(c)) if any_case else F.trim(c)) == "o", F.lit(False))
+
+
+def signature_text(c: Column) -> Column:
+    return F.translate(c, " \r\n", "")
+
+
 def percent(p: Column) -> Column:
     return F.concat(F.floor(p * 100).cast("int").cast("string"), F.lit("%"))
 
@@ -118,6 +180,19 @@ def similarity_key(c: Column) -> Column:
     return F.substring(F.regexp_replace(c, f"[^{HANGUL}a-zA-Z]", ""), 1, 30)
 
 
+@F.pandas_udf(T.BooleanType())
+def is_cp949(c: pd.Series) -> pd.Series:
+    """Whether code page 949 can hold a text; null for null."""
+
+    def one(s):
+        try:
+            return s is not None and len(s.encode("cp949")) >= 0
+        except UnicodeEncodeError:
+            return False
+
+    return c.map(one).where(c.notna(), None).astype("boolean")
+
+
 def cp949_bytes(unmappable: str = "utf-8"):
     """Arrow UDF of byte lengths in code page 949. Texts it can't hold: their UTF-8 bytes, or "double" (2 a character), or "replace" (1 for each bad one)."""
     def one(s):

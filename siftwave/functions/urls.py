@@ -5,11 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Domains anyone can write on, deep links of apps, trusted domains, some shorteners.
+#: Domains anyone can write on, deep links of apps, trusted domains, portals that are safe at the merge, shorteners.
 USER_CONTENT = ["open.kakao.com", "pf.kakao.com", "ch.kakao.com", "blog.naver.com", "cafe.naver.com", "blog.daum.net", "cafe.daum.net", "t.me", "telegram.me", "line.me", "bit.ly", "tinyurl.com"]
 DEEP_LINKS = ["onelink.me", "adjust.com", "app.link", "abr.ge", "samsungapps.com"]
 TRUSTED = ["play.google.com", "apps.apple.com", "onestore.co.kr", "galaxy.store", "go.kr", "or.kr"]
-SHORTENERS = ["bit.ly", "t.ly", "t.co", "goo.gl", "tinyurl.com", "is.gd", "me2.do", "naver.me", "han.gl", "vo.la", "buly.kr", "url.kr"]
+PORTALS = ["naver.com", "daum.net", "kakao.com", "samsung.com"]
+SHORTENERS = [
+    "a.to", "abit.ly", "adf.ly", "adfoc.us", "agshort.link", "aka.ms", "amzn.to", "apple.co", "asq.kr",
+    "bit.do", "bit.ly", "bitly.com", "bitly.cx", "bitly.kr", "bl.ink", "blow.pw", "buff.ly", "buly.kr",
+    "c11.kr", "clic.ke", "cogi.cc", "coupa.ng", "cutt.it", "cutt.ly",
+    "di.do", "dokdo.in", "dub.co",
+    "fb.me",
+    "gmarket.it", "goo.gl", "goo.su", "gooal.kr",
+    "han.gl", "horturl.at",
+    "ii.ad", "iii.ad", "instagr.am", "is.gd",
+    "j.mp",
+    "kakaolink.com", "kko.to", "ko.fm", "ko.gl", "koe.kr",
+    "link24.kr", "linktr.ee", "lrl.kr",
+    "mcaf.ee", "me2.do", "muz.so", "myip.kr",
+    "naver.me",
+    "ouo.io", "ow.ly",
+    "qrco.de",
+    "rb.gy", "rebrand.ly", "reurl.kr", "rul.kr",
+    "sbz.kr", "short.io", "shorter.me", "shorturl.at", "shrl.me", "shrtco.de",
+    "t.co", "t.ly", "t.me", "t2m.kr", "tiny.cc", "tinyurl.com", "tne.kr", "tny.im", "tr.ee", "tuney.kr",
+    "url.kr", "uto.kr",
+    "v.gd", "vdo.kr", "vo.la", "vvd.bz", "vvd.im",
+    "wp.me",
+    "youtu.be", "yun.kr",
+    "zrr.kr",
+    "tnia.cc", "2.lnkme.net", "lnkme.net", "alie.kr", "bz.kr", "booly.kr", "qaa.kr",
+    "m.site.naver.com", "g.co",
+]
 
 
 def host(u: Column) -> Column:
@@ -31,6 +58,16 @@ def is_trusted(u: Column) -> Column:
     return has_suffix(host(u), TRUSTED) & ~has_suffix(host(u), USER_CONTENT)
 
 
+def is_deep_link(u: Column) -> Column:
+    return F.coalesce(has_suffix(host(u), DEEP_LINKS), F.lit(False))
+
+
+def safe_at_merge(u: Column) -> Column:
+    """A trusted domain, or a host that ends like a portal, unless anyone can write on it; null is not safe."""
+    portal = F.exists(F.array(*map(F.lit, PORTALS)), lambda d: host(u).endswith(d))
+    return F.coalesce((has_suffix(host(u), TRUSTED) | portal) & ~has_suffix(host(u), USER_CONTENT), F.lit(False))
+
+
 def is_ip(u: Column) -> Column:
     return host(u).rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
 
@@ -52,6 +89,11 @@ def urls_in(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"https?://[^ \t\r\n<>\"']+"), F.lit(0)), rstrip))
 
 
+def plain_urls(text: Column) -> Column:
+    """URLs with a scheme of a text, without shortened ones; null gives none."""
+    return F.filter(urls_in(F.coalesce(text, F.lit(""))), lambda u: ~is_short(u))
+
+
 def order_and_cap(urls: Column, cap: int = 3) -> Column:
     """Ordinary domains first, then user content and shorteners; at most `cap` a message."""
     low = lambda u: has_suffix(host(u), [*USER_CONTENT, *SHORTENERS])
@@ -100,6 +142,21 @@ def to_unicode_host(h: Column) -> Column:
     return F.when(h.contains("xn--"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toUnicode"), h), h)).otherwise(h)
 
 
+def to_ascii(u: Column) -> Column:
+    """A URL with its host in Punycode and other non-ASCII characters percent-encoded."""
+    scheme, name = F.regexp_extract(u, "^(https?://)?", 0), F.regexp_extract(u, "^(?:https?://)?([^/?#]*)", 1)
+    rest = F.substring(u, F.char_length(scheme) + F.char_length(name) + 1, F.char_length(u))
+    encoded = F.array_join(F.transform(F.split(rest, ""), lambda c: F.when(F.octet_length(c) > 1, F.url_encode(c)).otherwise(c)), "")
+    ascii_name = F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name), name)
+    return F.when(F.octet_length(u) == F.char_length(u), u).otherwise(F.concat(scheme, ascii_name, encoded))
+
+
+def without_tail(u: Column) -> Column:
+    """A shortened URL up to the first decoration, null if only its host is left; others as they are."""
+    bare = F.regexp_replace(u, DECORATION, "")
+    return F.when(~is_short(u), u).when(~bare.rlike("^(?:https?://)?[^/]+/$"), bare)
+
+
 def split_list(urls: Column) -> Column:
     """The URLs of a comma-separated list."""
     return F.filter(F.transform(F.split(F.coalesce(urls, F.lit("")), ","), lambda u: F.trim(u)), lambda u: u != "")

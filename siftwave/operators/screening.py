@@ -9,18 +9,21 @@ from siftwave.functions import text as T
 
 
 def rule_check(message: Column, size: Column, min_bytes: int = 9, lookalike: float = 0.55) -> Column:
-    """is_spam (null: undecided), pattern, code and excluded of the ordered rules. `size`: bytes of the visible text."""
-    short = F.coalesce(message, F.lit("")) == ""
-    short = short | (size < min_bytes)
-    obfuscated, spaced, odd = T.has_unicode_obfuscation(message), T.spaced_hangul(message), T.lookalike_share(message) >= lookalike
-    pick = lambda *v: F.when(short, v[0]).when(obfuscated, v[1]).when(spaced.isNotNull(), v[2]).when(odd, v[3])
-    none, text = F.lit(None).cast("boolean"), lambda s: F.lit(s)
-    return F.struct(
-        pick(F.lit(False), none, none, F.lit(True)).alias("is_spam"),
-        pick(text("short_message"), text("unicode_obfuscation"), spaced, text("alphanumeric_obfuscation")).alias("pattern"),
-        pick(text("SKIP"), text(None), text(None), text("0")).alias("code"),
-        short.alias("excluded"),
+    """is_spam (null: undecided), pattern, code, excluded, decoded and decoded_urls of the ordered rules. `size`: bytes of the visible text.
+
+    Which rule fits is found once a row; the fields are read off its number."""
+    short = (F.coalesce(message, F.lit("")) == "") | (size < min_bytes)
+    rule = F.when(short, 0).when(T.has_unicode_obfuscation(message), 1).when(T.spaced_hangul(message).isNotNull(), 2).when(T.lookalike_share(message) >= lookalike, 3)
+    none = F.lit(None).cast("string")
+    fields = lambda r: F.struct(
+        F.when(r == 0, False).when(r == 3, True).alias("is_spam"),
+        F.when(r == 0, "short_message").when(r == 1, "unicode_obfuscation").when(r == 2, T.spaced_hangul(message)).when(r == 3, "alphanumeric_obfuscation").alias("pattern"),
+        F.when(r == 0, "SKIP").when(r == 3, "0").alias("code"),
+        F.coalesce(r == 0, F.lit(False)).alias("excluded"),
+        F.when(r == 1, T.deobfuscate(message)).otherwise(none).alias("decoded"),
+        F.when(r == 1, T.obfuscated_urls(message)).alias("decoded_urls"),
     )
+    return F.get(F.transform(F.array(rule), fields), F.lit(0))
 
 
 def band(label: Column, p: Column, code: Column) -> Column:

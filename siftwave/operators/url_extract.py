@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from siftwave.functions import text as T
 from siftwave.functions import urls as U
 
-#: Top-level domains that count without a scheme, and words that hang on to the end of URLs.
+#: Top-level domains that count without a scheme, words that hang on to the end of URLs, and words that count the digits before them.
 TOP_LEVEL = ["com", "net", "org", "edu", "gov", "mil", "int", "kr", "io", "ai", "me", "info", "biz", "shop", "site", "top", "xyz", "club", "online", "pro", "id", "vn", "jp", "cn", "us", "uk", "de", "fr", "tv", "cc", "li", "ly", "be", "it", "to", "gg", "ws", "mobi", "asia", "name", "store", "news", "app", "dev", "tech", "so"]
 TAIL_WORDS = ["code", "tel", "id", "kakao", "line", "best", "pw", "password", "상담", "문의"]
+COUNTERS = ["차", "번", "위", "일", "명", "원", "만", "억", "퍼", "개", "건", "달", "주", "배", "년", "월", "시", "분", "초", "등", "백", "천", "조", "탄", "기", "프로", "종목", "코드", "상담", "수익"]
 
 SPACE, HANGUL = r" \t\r\n\f\x0b", "가-힣ㄱ-ㅣ"
 LABEL = f"[A-Za-z0-9{HANGUL}-]"
@@ -19,16 +20,17 @@ DOMAIN = rf"(?:{LABEL}{{1,63}}\.)+{LABEL}{{2,63}}"
 REST = rf"[^{SPACE}\[\]<>\p{{So}}]"
 LINK_PATTERN = f"https?://{REST}+"
 BARE_PATTERN = f"{DOMAIN}(?:/{REST}*)?"
-SPACED_PATTERN = rf"(?:https?://)?{DOMAIN}(?:/[A-Za-z0-9/?=&%_.-]*)?"
+SPACED_PATTERN = rf"(?:https?://)?{DOMAIN}(?:/[A-Za-z0-9{HANGUL}/?=&%_.-]*)?"
 TAIL_PATTERN = rf"(?i)(?:{'|'.join(TAIL_WORDS)})[.,;:!?)\]}}\"'{SPACE}]*$"
 #: Pattern and group to keep: Hangul after the top-level domain, Hangul labels in front, a Hangul start of a
-#: two-label host, Hangul after letters or digits of the path.
+#: two-label host.
 GLUED = [
     rf"^((?:https?://)?(?:[^/.]+\.)+[A-Za-z]{{2,7}})[{HANGUL}][^/]*",
     rf"^(?:[^./]*[{HANGUL}][^./]*\.)+([A-Za-z0-9-]+\.[A-Za-z].*)$",
     rf"^[{HANGUL}]+([A-Za-z0-9-]+\.[A-Za-z]{{2,7}}(?:/.*)?)$",
-    rf"^((?:https?://)?[^/]*/[^{HANGUL}]*[A-Za-z0-9])[{HANGUL}].*$",
 ]
+#: What is cut from a path: Hangul right behind a letter or digit, with digits before it that it counts.
+GLUED_PATH = rf"(?s)[0-9]+(?:{'|'.join(COUNTERS)}).*$|(?<=[A-Za-z0-9])[{HANGUL}].*$"
 ACCEPT_PATTERN = rf"^(?:https?://)?(?:[^/]*\.)?[^/.]*[^/.0-9][^/.]*\.(?:(?i:{'|'.join(TOP_LEVEL)})|xn--[A-Za-z0-9-]+)(?:/.*)?$"
 
 
@@ -39,7 +41,9 @@ def cleaned(u: Column) -> Column:
 def unglued(u: Column) -> Column:
     for pattern in GLUED:
         u = F.regexp_replace(u, pattern, "$1")
-    return u
+    head = F.regexp_extract(u, "^(?:https?://)?[^/]*", 0)
+    path = F.substring(u, F.char_length(head) + 1, F.char_length(u))
+    return F.when(F.octet_length(u) == F.char_length(u), u).otherwise(F.concat(head, F.regexp_replace(path, GLUED_PATH, "")))
 
 
 def without_scheme(u: Column) -> Column:
@@ -50,21 +54,34 @@ def with_scheme(u: Column) -> Column:
     return F.when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit("http://"), u))
 
 
-def extract_urls(df: DataFrame, text: str, given: str | None = None, cap: int = 3, least: int = 10) -> DataFrame:
-    """Adds `urls`: at most `cap` different URLs, a given one first among its kind, ordinary domains before user content.
+def has_potential_url(c: Column) -> Column:
+    """Something like a URL in a text or in its compatible normal form; null has none."""
+    return U.has_url(c) | U.has_url(T.nfkc(c))
 
-    Links count as they are; domains without a scheme need a known top-level domain and a name that isn't a
-    number. Spaced-out URLs count where nothing found before lies within them. Null texts give no URLs."""
+
+def extract_urls(df: DataFrame, text: str, given: str | None = None, models: str | None = None, cap: int = 3, least: int = 10) -> DataFrame:
+    """Adds `urls`: at most `cap` different URLs, ordinary domains before user content and shorteners.
+
+    First come those of `models` (an array that a model proposed; in reverse where one is given) and the `given` one.
+    Texts are read as they are and in their compatible normal form. Links count as they are; domains without a scheme
+    need a known top-level domain and a name that isn't a number. Spaced-out URLs count where nothing found before lies
+    within them. Shortened URLs lose decoration behind them, hosts become Punycode. Null texts give no URLs."""
     body, every = F.coalesce(F.col(text), F.lit("")), lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
-    decoded = T.deobfuscate(body)
+    decoded = F.col("_decoded")
     more = lambda p: F.when(decoded != body, F.concat(every(body, p), every(decoded, p))).otherwise(every(body, p))
     links = F.filter(F.transform(more(LINK_PATTERN), lambda u: unglued(cleaned(u))), lambda u: F.char_length(u) > 7)
     bare = F.filter(F.transform(more(BARE_PATTERN), lambda u: unglued(cleaned(u))), lambda u: u.rlike(ACCEPT_PATTERN))
     spaced = F.filter(F.transform(every(T.strip_ascii_space(body), SPACED_PATTERN), lambda u: unglued(cleaned(u))), lambda u: u.rlike(ACCEPT_PATTERN))
-    first = F.when(F.coalesce(F.col(given), F.lit("")) != "", F.array(with_scheme(F.col(given)))).otherwise(F.array().cast("array<string>")) if given else F.array().cast("array<string>")
-    steps = df.withColumns({"_links": F.concat(first, links), "_bare": bare, "_spaced": spaced})
+    none = F.array().cast("array<string>")
+    first = F.when(F.coalesce(F.col(given), F.lit("")) != "", F.array(with_scheme(F.col(given)))).otherwise(none) if given else none
+    if models:
+        proposed = F.transform(F.filter(F.coalesce(F.col(models), none), lambda u: F.char_length(u) > 3), lambda u: with_scheme(F.trim(u)))
+        first = F.concat(F.when(F.size(first) > 0, F.reverse(proposed)).otherwise(proposed), first)
+    steps = df.withColumn("_decoded", T.deobfuscate(T.nfkc(body)))
+    steps = steps.withColumns({"_links": F.concat(first, links), "_bare": bare, "_spaced": spaced})
     alone = F.filter("_bare", lambda u: ~F.exists("_links", lambda known: F.contains(known, u)))
     steps = steps.withColumn("_found", F.concat("_links", F.transform(alone, with_scheme)))
     late = F.filter("_spaced", lambda u: ~F.exists("_found", lambda known: F.contains(u, without_scheme(known))))
-    steps = steps.withColumn("_all", F.array_distinct(F.filter(F.concat("_found", F.transform(late, with_scheme)), lambda u: F.char_length(u) >= least)))
-    return steps.withColumn("urls", U.order_and_cap(F.col("_all"), cap)).drop("_links", "_bare", "_spaced", "_found", "_all")
+    whole = F.filter(F.transform(F.concat("_found", F.transform(late, with_scheme)), U.without_tail), lambda u: u.isNotNull() & (F.char_length(u) >= least))
+    steps = steps.withColumn("_all", F.array_distinct(F.transform(whole, U.to_ascii)))
+    return steps.withColumn("urls", U.order_and_cap(F.col("_all"), cap)).drop("_decoded", "_links", "_bare", "_spaced", "_found", "_all")
