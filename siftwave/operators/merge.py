@@ -45,7 +45,8 @@ def url_evidence(df: DataFrame) -> DataFrame:
     """Which URLs of a verdict stand in the message. Reads message, decoded, given_url, extracted (comma list), model_urls.
 
     Adds valid_urls (the model's always, others if they stand in the texts), rejected_urls, and drop_reason: fake_ip
-    or hidden_url where no URL is left."""
+    or hidden_url where no URL is left. Once a page was visited, ends of other URLs are no URLs; a given one that is
+    such an end is dropped as fragment_artifact."""
     listed, model = U.split_list(F.col("extracted")), F.coalesce("model_urls", F.array().cast("array<string>"))
     stands = lambda u: U.in_message(u, F.col("message"), F.col("decoded"), F.col("given_url"))
     steps = df.withColumns({"_listed": F.filter(listed, lambda u: F.lower(u) != "none"), "_model": model})
@@ -53,7 +54,13 @@ def url_evidence(df: DataFrame) -> DataFrame:
     steps = steps.withColumn("valid_urls", valid).withColumn("rejected_urls", F.array_distinct(F.concat("_listed", "_model")))
     none = F.size("valid_urls") == 0
     reason = F.when(none & F.exists("_listed", U.is_ip), "fake_ip").when(none & (F.size("rejected_urls") > 0), "hidden_url")
-    return steps.withColumns({"drop_reason": reason, "rejected_urls": F.when(none, F.col("rejected_urls")).otherwise(F.array().cast("array<string>"))}).drop("_listed", "_model")
+    visited = ~F.coalesce(F.lower(F.trim("extracted")), F.lit("")).isin("", "none")
+    whole = F.when(visited, U.drop_fragments(F.col("valid_urls"))).otherwise(F.col("valid_urls"))
+    bare = lambda u: F.regexp_replace(u, "^(?:https?://)?[w.]*|/+$", "")
+    cut_off = F.exists(F.array_except("valid_urls", "_whole"), lambda u: bare(u) == bare(F.coalesce("given_url", F.lit(""))))
+    reason = F.when(cut_off, "fragment_artifact").otherwise(reason)
+    steps = steps.withColumn("_whole", whole).withColumn("drop_reason", reason).withColumn("valid_urls", F.col("_whole")).drop("_whole")
+    return steps.withColumns({"rejected_urls": F.when(none, F.col("rejected_urls")).otherwise(F.array().cast("array<string>"))}).drop("_listed", "_model")
 
 
 def kept_urls(df: DataFrame) -> Column:

@@ -64,24 +64,25 @@ def extract_urls(df: DataFrame, text: str, given: str | None = None, models: str
 
     First come those of `models` (an array that a model proposed; in reverse where one is given) and the `given` one.
     Texts are read as they are and in their compatible normal form. Links count as they are; domains without a scheme
-    need a known top-level domain and a name that isn't a number. Spaced-out URLs count where nothing found before lies
+    need a known top-level domain and a name that isn't a number. Spaced-out URLs count where nothing read before lies
     within them. Shortened URLs lose decoration behind them, hosts become Punycode. Null texts give no URLs."""
     body, every = F.coalesce(F.col(text), F.lit("")), lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
     decoded = F.col("_decoded")
     more = lambda p: F.when(decoded != body, F.concat(every(body, p), every(decoded, p))).otherwise(every(body, p))
-    links = F.filter(F.transform(more(LINK_PATTERN), lambda u: unglued(cleaned(u))), lambda u: F.char_length(u) > 7)
-    bare = F.filter(F.transform(more(BARE_PATTERN), lambda u: unglued(cleaned(u))), lambda u: u.rlike(ACCEPT_PATTERN))
-    spaced = F.filter(F.transform(every(T.strip_ascii_space(body), SPACED_PATTERN), lambda u: unglued(cleaned(u))), lambda u: u.rlike(ACCEPT_PATTERN))
     none = F.array().cast("array<string>")
     first = F.when(F.coalesce(F.col(given), F.lit("")) != "", F.array(with_scheme(F.col(given)))).otherwise(none) if given else none
     if models:
         proposed = F.transform(F.filter(F.coalesce(F.col(models), none), lambda u: F.char_length(u) > 3), lambda u: with_scheme(F.trim(u)))
         first = F.concat(F.when(F.size(first) > 0, F.reverse(proposed)).otherwise(proposed), first)
     steps = df.withColumn("_decoded", T.deobfuscate(T.nfkc(body)))
-    steps = steps.withColumns({"_links": F.concat(first, links), "_bare": bare, "_spaced": spaced})
-    alone = F.filter("_bare", lambda u: ~F.exists("_links", lambda known: F.contains(known, u)))
+    steps = steps.withColumns({"_raw": more(LINK_PATTERN), "_names": more(BARE_PATTERN), "_spaced": every(T.strip_ascii_space(body), SPACED_PATTERN)})
+    known = F.transform(F.concat(first, "_raw", "_names"), without_scheme)
+    tidy = lambda c: F.transform(c, lambda u: unglued(cleaned(u)))
+    links = F.concat(first, F.filter(tidy(F.col("_raw")), lambda u: F.char_length(u) > 7))
+    new = F.filter("_spaced", lambda u: ~F.exists("_known", lambda k: F.contains(u, k)))
+    steps = steps.withColumn("_known", known).withColumns({"_links": links, "_bare": F.filter(tidy(F.col("_names")), lambda u: u.rlike(ACCEPT_PATTERN)), "_late": F.filter(tidy(new), lambda u: u.rlike(ACCEPT_PATTERN))})
+    alone = F.filter("_bare", lambda u: ~F.exists("_links", lambda k: F.contains(k, u)))
     steps = steps.withColumn("_found", F.concat("_links", F.transform(alone, with_scheme)))
-    late = F.filter("_spaced", lambda u: ~F.exists("_found", lambda known: F.contains(u, without_scheme(known))))
-    whole = F.filter(F.transform(F.concat("_found", F.transform(late, with_scheme)), U.without_tail), lambda u: u.isNotNull() & (F.char_length(u) >= least))
+    whole = F.filter(F.transform(F.concat("_found", F.transform("_late", with_scheme)), U.without_tail), lambda u: u.isNotNull() & (F.char_length(u) >= least))
     steps = steps.withColumn("_all", F.array_distinct(F.transform(whole, U.to_ascii)))
-    return steps.withColumn("urls", U.order_and_cap(F.col("_all"), cap)).drop("_decoded", "_links", "_bare", "_spaced", "_found", "_all")
+    return steps.withColumn("urls", U.order_and_cap(F.col("_all"), cap)).drop("_decoded", "_raw", "_names", "_spaced", "_known", "_links", "_bare", "_late", "_found", "_all")

@@ -178,13 +178,23 @@ def obfuscation_features(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(T.lookalike_share(c), 6).alias("lookalike"), T.masked(c).alias("masked"), T.masked_domain(c).alias("masked_domain"), T.broken(c).alias("broken"))
 
 
-CASCADE_SQL = rf"""r AS (SELECT doc_id, CASE WHEN {APPROX.format(f"translate(text, {SPACES}, '')")} < 9 THEN 'short_message' WHEN {RATIO_SQL} >= 0.55 THEN 'alphanumeric_obfuscation' END AS pattern FROM documents)"""
+#: Messages that hide their letters, made from the documents: German ones with a full-width e, French ones with Hangul for
+#: vowels, Spanish ones with little left but letters that look like digits.
+DISGUISED_SQL = r"""CASE lang WHEN 'de' THEN translate(text, 'e', 'ｅ') WHEN 'fr' THEN translate(text, 'aeiou ', '가나다라마-') WHEN 'es' THEN translate(text, 'acdefhijkmnprstuvwxyéíóúñ', '') ELSE text END"""
+CASCADE_SQL = rf"""m AS (SELECT doc_id, {DISGUISED_SQL} AS text FROM documents),
+s AS (SELECT *, coalesce(nullif(regexp_extract(text, '[가-힣][^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}][가-힣][^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}][가-힣]', 0), ''), nullif(regexp_extract(text, '[가-힣][ \t\r\n\f\v]*[./,_-][ \t\r\n\f\v]*[가-힣]', 0), '')) AS spaced,
+  regexp_replace(text, '[^\p{{L}}\p{{N}}]|[가-힣]', '', 'g') AS own FROM m),
+r AS (SELECT *, CASE WHEN {APPROX.format(f"translate(text, {SPACES}, '')")} < 9 THEN 'short_message' WHEN regexp_matches(text, '[ⓐ-ⓩⒶ-Ⓩａ-ｚＡ-Ｚ０-９．／：？＆＝＠－＿𝐀-𝐳₀-₉⁰¹²³⁴-⁹]') THEN 'unicode_obfuscation' WHEN spaced IS NOT NULL THEN spaced
+  WHEN length(own) > 0 AND length(regexp_replace(own, '[^0-9OoIlBSZbqgz]', '', 'g')) * 1.0 / length(own) >= 0.55 THEN 'alphanumeric_obfuscation' END AS pattern FROM s)"""
 
 
-@query(f"WITH {CASCADE_SQL} SELECT doc_id, pattern, CASE pattern WHEN 'short_message' THEN false WHEN 'alphanumeric_obfuscation' THEN true END AS is_spam, CASE pattern WHEN 'short_message' THEN 'SKIP' WHEN 'alphanumeric_obfuscation' THEN '0' END AS code, coalesce(pattern = 'short_message', false) AS excluded FROM r")
+@query(f"WITH {CASCADE_SQL} SELECT doc_id, pattern, CASE pattern WHEN 'short_message' THEN false WHEN 'alphanumeric_obfuscation' THEN true END AS is_spam, CASE pattern WHEN 'short_message' THEN 'SKIP' WHEN 'alphanumeric_obfuscation' THEN '0' END AS code, coalesce(pattern = 'short_message', false) AS excluded, CASE WHEN pattern = 'unicode_obfuscation' THEN sha256(translate(text, 'ｅ', 'e')) END AS decoded FROM r")
 def rule_cascade(spark, d):
+    lang, text = F.col("lang"), F.col("text")
+    hidden = F.when(lang == "de", F.translate(text, "e", "ｅ")).when(lang == "fr", F.translate(text, "aeiou ", "가나다라마-")).when(lang == "es", F.translate(text, "acdefhijkmnprstuvwxyéíóúñ", "")).otherwise(text)
     c = F.col("text")
-    return table(spark, d, "documents").select("doc_id", S.rule_check(c, T.approx_bytes(T.strip_ascii_space(c))).alias("r")).select("doc_id", "r.*")
+    rows = table(spark, d, "documents").select("doc_id", hidden.alias("text")).select("doc_id", S.rule_check(c, T.approx_bytes(T.strip_ascii_space(c))).alias("r"))
+    return rows.select("doc_id", "r.pattern", "r.is_spam", "r.code", "r.excluded", F.sha2("r.decoded", 256).alias("decoded"))
 
 
 @query(
@@ -535,31 +545,26 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _tidy_sql(u: str) -> str:
-    out = f"regexp_replace(regexp_replace({u}, {_q(E.TAIL_PATTERN)}, ''), {_q(chr(91) + '.,;:!?)' + chr(92) + ']}' + chr(34) + chr(39) + ']+$')}, '')"
-    for pattern in E.GLUED:
-        out = f"regexp_replace({out}, {_q(pattern)}, '\\1')"
-    return out
-
-
-def _every_sql(c: str, pattern: str, keep: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all({c}, {_q(pattern)}), lambda u: {_tidy_sql('u')}), lambda u: {keep})"
-
-
-_ACCEPT = f"regexp_matches(u, {_q(E.ACCEPT_PATTERN)})"
-_JOINED = f"translate(body, {SPACES}, '')"
-_SCHEME = "CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'http://' || u END"
-_LOW = rf"regexp_matches(regexp_replace(regexp_extract(lower(trim(u)), '^(?:https?://)?([^/?#:]*)', 1), '^www\.', ''), '(^|\.)({'|'.join(x.replace('.', chr(92) + '.') for x in [*U.USER_CONTENT, *U.SHORTENERS])})$')"
+# The twin has its own patterns, for texts without Hangul.
+_TIDY = r"regexp_replace(regexp_replace(u, '(?i)(code|tel|id|kakao|line|best|pw|password)[.,;:!?)\]}\x22\x27 \t\r\n\f\v]*$', ''), '[.,;:!?)\]}\x22\x27]+$', '')"
+_TLD = "com|net|org|edu|gov|mil|int|kr|io|ai|me|info|biz|shop|site|top|xyz|club|online|pro|id|vn|jp|cn|us|uk|de|fr|tv|cc|li|ly|be|it|to|gg|ws|mobi|asia|name|store|news|app|dev|tech|so"
+_ACCEPT = rf"regexp_matches(split_part(regexp_replace(u, '^https?://', ''), '/', 1), '(?i)(^|\.)[^.]*[^.0-9][^.]*\.({_TLD}|xn--[a-z0-9-]+)$')"
+_NAME = r"([A-Za-z0-9-]{1,63}\.)+[A-Za-z0-9-]{2,63}"
+_REST = r"[^ \t\r\n\f\v\[\]<>\p{So}]"
+_PLAIN = "regexp_replace(k, '^https?://', '')"
+_ENCODED = "array_to_string(list_transform(string_split(u, ''), lambda c: CASE WHEN strlen(c) > 1 THEN url_encode(c) ELSE c END), '')"
 
 
 @query(
     rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
-a AS (SELECT doc_id, {_every_sql('body', E.LINK_PATTERN, 'length(u) > 7')} AS links, {_every_sql('body', E.BARE_PATTERN, _ACCEPT)} AS bare, {_every_sql(_JOINED, E.SPACED_PATTERN, _ACCEPT)} AS spaced FROM t),
-b AS (SELECT *, list_concat(links, list_transform(list_filter(bare, lambda u: len(list_filter(links, lambda k: contains(k, u))) = 0), lambda u: {_SCHEME})) AS found FROM a),
-c AS (SELECT *, list_filter(list_concat(found, list_transform(list_filter(spaced, lambda u: len(list_filter(found, lambda k: contains(u, regexp_replace(k, '^https?://', '')))) = 0), lambda u: {_SCHEME})), lambda u: length(u) >= 10) AS urls FROM b),
-e AS (SELECT doc_id, urls, unnest(urls) AS u, unnest(range(len(urls))) AS i FROM c),
+r AS (SELECT doc_id, regexp_extract_all(body, 'https?://{_REST}+') AS raw, regexp_extract_all(body, '{_NAME}(/{_REST}*)?') AS names, regexp_extract_all(translate(body, {SPACES}, ''), '(https?://)?{_NAME}(/[A-Za-z0-9/?=&%_.-]*)?') AS spaced FROM t),
+a AS (SELECT doc_id, list_filter(list_transform(raw, lambda u: {_TIDY}), lambda u: length(u) > 7) AS links, list_filter(list_transform(names, lambda u: {_TIDY}), lambda u: {_ACCEPT}) AS bare,
+  list_filter(list_transform(list_filter(spaced, lambda u: len(list_filter(list_concat(raw, names), lambda k: contains(u, {_PLAIN}))) = 0), lambda u: {_TIDY}), lambda u: {_ACCEPT}) AS late FROM r),
+b AS (SELECT doc_id, list_concat(links, list_transform(list_concat(list_filter(bare, lambda u: len(list_filter(links, lambda k: contains(k, u))) = 0), late), lambda u: CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'http://' || u END)) AS found FROM a),
+c AS (SELECT doc_id, list_transform(list_filter(found, lambda u: length(u) >= 10), lambda u: {_ENCODED}) AS urls FROM b),
+e AS (SELECT doc_id, unnest(urls) AS u, unnest(range(len(urls))) AS i FROM c),
 f AS (SELECT doc_id, u, min(i) AS i FROM e GROUP BY doc_id, u),
-g AS (SELECT doc_id, u, row_number() OVER (PARTITION BY doc_id ORDER BY {_LOW}, i) AS rn FROM f)
+g AS (SELECT doc_id, u, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f)
 SELECT t.doc_id, coalesce(string_agg(u, ' ' ORDER BY rn), '') AS urls, count(u) AS n FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND rn <= 3 GROUP BY t.doc_id"""
 )
 def extracted_urls(spark, d):

@@ -10,11 +10,13 @@ CASES = [
     ("무료abcde.com/p 참고", ["http://abcde.com/p"]),
     ("오징어.오뎅탕", []),
     ("1.TV 2등", []),
-    ("1.TV 2.net", ["http://1.TV2.net"]),  # the form without spaces joins neighbours
+    ("1.TV 2.net", []),  # the form without spaces holds a name that was read before
     ("b i t . l y / 1 2 3", ["http://bit.ly/123"]),
     ("bit.ly/abc then www.site.kr/q", ["http://www.site.kr/q", "http://bit.ly/abc"]),
     ("a1.com/1 a2.com/2 a3.com/3 a4.com/4", ["http://a1.com/1", "http://a2.com/2", "http://a3.com/3"]),
+    ("see http://ab.kr/x9가나 now", ["http://ab.kr/x9"]),
     ("see http://ab.kr/x9상담 now", ["http://ab.kr/x9"]),
+    ("see http://ab.kr/x9상담가 now", ["http://ab.kr/x"]),  # 상담 counts the digits before it
     ("https://ko.gl/1VP2차상담", ["https://ko.gl/1VP"]),
     ("https://ab.kr/AI-강은정 문의", ["https://ab.kr/AI-%EA%B0%95%EC%9D%80%EC%A0%95"]),
     ("bit.ly/오픈채팅방 입장", ["http://bit.ly/%EC%98%A4%ED%94%88%EC%B1%84%ED%8C%85%EB%B0%A9"]),
