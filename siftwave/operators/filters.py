@@ -109,3 +109,49 @@ def filter_diffs(df: DataFrame, kind: str | None = None, source: str | None = No
     for column, value in (("kind", kind), ("source", source)):
         df = df.filter(F.col(column) == value) if value else df
     return df.filter(F.contains(F.lower("message"), F.lit(q.lower())) | F.contains(F.lower("reason"), F.lit(q.lower()))) if q else df
+
+
+def by_family(df: DataFrame, tab: str = "ALL") -> DataFrame:
+    """ALL rows, those of TRAP or those of MAIN."""
+    return df if tab == "ALL" else df.filter(yes("is_trap") if tab == "TRAP" else ~yes("is_trap"))
+
+
+def by_status(df: DataFrame, status: str, category: str | None = None) -> DataFrame:
+    """SPAM, HAM, RED_GROUP, FLAGGED or REVIEW rows (of one review category); other names keep all. Reads is_spam, red_group, flagged, category."""
+    review = F.col("category").isNotNull() if category is None else F.coalesce(F.col("category") == category, F.lit(False))
+    tests = {"SPAM": yes("is_spam") & ~yes("red_group"), "HAM": ~yes("is_spam") & ~yes("red_group"), "RED_GROUP": yes("red_group"), "FLAGGED": yes("flagged"), "REVIEW": review}
+    return df.filter(tests[status]) if status in tests else df
+
+
+def advanced(df: DataFrame, size=None, bytes_: tuple[int, int] | None = None, codes: list[str] | None = None, url: bool | None = None, signature: bool | None = None, p: tuple[float, float] | None = None, cache: str | None = None) -> DataFrame:
+    """Rows that meet all given tests: byte length, code, with or without URL and signature, probability, a tag of the reason."""
+    named = ~F.lower(F.trim(F.coalesce("signature", F.lit("")))).isin("", "none", "unextractable")
+    linked = F.trim(F.coalesce("url", F.lit(""))) != ""
+    tests = [
+        bytes_ and size(F.col("message")).between(*bytes_), codes and F.col("code").isin(*codes), None if url is None else linked == url,
+        None if signature is None else named == signature, p and F.col("p").between(*p), cache and F.contains("reason", F.lit(cache)),
+    ]
+    for test in tests:
+        if test is not None:
+            df = df.filter(test)
+    return df
+
+
+def search_logs(df: DataFrame, q: str, *columns: str) -> DataFrame:
+    """Rows that hold a text in one of the columns, whatever its case."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(q.lower())), F.lit(False))
+    return df.filter(hit)
+
+
+def examples(df: DataFrame, label: str | None = None, q: str | None = None) -> DataFrame:
+    """Examples of one label that hold a text in message or reason."""
+    df = df.filter(F.col("label") == label) if label else df
+    return search_logs(df, q, "message", "reason") if q else df
+
+
+def keyword_cases(df: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+    """Rows that hold a word of some family, with its name; a row of two families comes twice."""
+    tests = [F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains("message", w)), name) for name, words in families.items()]
+    return df.withColumn("family", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())))

@@ -26,12 +26,26 @@ def rule_check(message: Column, size: Column, min_bytes: int = 9, lookalike: flo
     return F.get(F.transform(F.array(rule), fields), F.lit(0))
 
 
-def band(label: Column, p: Column, code: Column) -> Column:
-    """is_spam and code of a model's label and probability: spam from 0.6, undecided (code 30) from 0.4."""
-    spam = label == "SPAM"
+#: Codes of spam, which ham can't have.
+SPAM_CODES = ("0", "1", "2", "3", "10")
+
+
+def band(label: Column, p: Column, code: Column, reason: Column | None = None) -> Column:
+    """verdict (SPAM, HITL, HAM or HOLD_SHORT), is_spam, code and reason of a model's label and probability.
+
+    Spam counts from 0.6, is undecided (code 30) from 0.4, and ham below; held short messages stay held."""
+    spam, label = F.upper(label) == "SPAM", F.upper(label)
+    reason = F.coalesce(reason, F.lit("")) if reason is not None else F.lit("")
+    verdict = F.when(spam & (p >= 0.6), "SPAM").when(spam & (p >= 0.4), "HITL").when(label == "HOLD_SHORT", "HOLD_SHORT").otherwise("HAM")
+    ham_code = F.when(~F.coalesce(code.isin(*SPAM_CODES), F.lit(False)), code)
+    shown = F.format_string("%.2f", p)
+    tagged = F.when((verdict == "HITL") & ~reason.startswith("[HITL]"), F.concat(F.lit("[HITL] Probability ("), shown, F.lit(") is ambiguous. Requesting user feedback. | "), reason))
+    tagged = tagged.when(spam & (verdict == "HAM"), F.concat(F.lit("[Override] LLM output SPAM but probability is too low ("), shown, F.lit("). Forced HAM. | "), reason)).otherwise(reason)
     return F.struct(
-        F.when(spam & (p >= 0.6), True).when(spam & (p >= 0.4), None).otherwise(False).alias("is_spam"),
-        F.when(spam & (p >= 0.6), code).when(spam & (p >= 0.4), "30").otherwise(F.when(code.startswith("HAM"), code)).alias("code"),
+        verdict.alias("verdict"),
+        F.when(verdict == "SPAM", True).when(verdict == "HAM", False).alias("is_spam"),
+        F.when(verdict == "HITL", "30").when(verdict == "HAM", ham_code).otherwise(code).alias("code"),
+        tagged.alias("reason"),
     )
 
 
@@ -56,7 +70,7 @@ def merge_url(df: DataFrame) -> DataFrame:
     spam = F.when(flip_in, ~yes("transactional")).when(settled & url, True).when(to_ham, False).otherwise(content)
     p = F.when(settled & url & ~(flip_in & yes("transactional")), F.greatest(F.coalesce("content_p", F.lit(0.0)), F.coalesce("url_p", F.lit(0.95)))).otherwise(F.col("content_p"))
     code = F.when(settled & url & (F.coalesce("url_code", F.lit("0")) != "0"), F.col("url_code")).otherwise(F.col("content_code"))
-    reason = F.when(decoy, "safe_injection").when(clean & yes("mismatched"), F.lit(None).cast("string"))
+    reason = F.when(decoy, "safe_injection")
     return df.withColumns({"final_spam": spam, "final_p": p, "final_code": F.when(spam, code), "red_group": red, "drop_reason": reason})
 
 
@@ -70,7 +84,7 @@ def review_category(df: DataFrame) -> Column:
 
 
 def policy_class(df: DataFrame) -> Column:
-    """Documented ladder: safe pages are ham; spam with a soft signal is Type_B, other spam Type_A."""
-    soft = F.exists(F.array(*[F.coalesce(F.col(c), F.lit(False)) for c in ("impersonation", "vague_cta", "lure", "garbage")]), lambda x: x)
-    spam = F.coalesce(F.col("final_spam"), F.lit(False))
-    return F.when(F.coalesce(F.col("confirmed_safe"), F.lit(False)), "Ham").when(spam & soft, "Type_B").when(spam, "Type_A").otherwise("Ham")
+    """Documented ladder: confirmed safe pages are ham; spam with a soft signal, or by its URL alone on a clean text, is Type_B; other spam Type_A; the rest ham."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    soft = F.exists(F.array(*map(yes, ("impersonation", "vague_cta", "lure", "garbage"))), lambda x: x)
+    return F.when(yes("confirmed_safe"), "Ham").when(yes("final_spam") & (soft | (yes("url_spam") & ~yes("content_spam"))), "Type_B").when(yes("final_spam"), "Type_A").otherwise("Ham")

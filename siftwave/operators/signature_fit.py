@@ -31,14 +31,22 @@ def anchor_tags(c: Column) -> Column:
 
 def anchored_score(c: Column, size: Column) -> Column:
     """Weights of the tags; short texts, digits alone and advertising marks without a concrete anchor lose."""
-    tags = anchor_tags(c)
-    has = lambda t: F.array_contains(tags, t)
+    has = lambda t: c.rlike(ANCHORS[t])
     score = F.when(size <= 8, -3.0).otherwise(0.0) + F.when(c.rlike("^[0-9]+$"), -2.0).otherwise(0.0)
     for tag, weight in WEIGHTS.items():
         score = score + F.when(has(tag), weight).otherwise(0.0)
     return score - F.when(has("AD_MARK") & ~has("PHONE") & ~has("CODE") & ~has("SYMBOLS"), 15.0).otherwise(0.0)
 
 
+def best_anchor(body: Column, size) -> Column:
+    """n, text and score of the candidates around the concrete anchors of a text without white space: their matches, each once; the best, ties by text.
+
+    They stay an array of the row, so nothing is shuffled."""
+    every = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(body, F.lit(ANCHORS[t]), F.lit(0)) for t in ("PHONE", "OPT_OUT", "SYMBOLS", "CODE")])))
+    best = F.array_max(F.transform(every, lambda c: F.struct(anchored_score(c, size(c)).alias("score"), c.alias("text"))))
+    return F.struct(F.size(every).cast("long").alias("n"), best["text"].alias("text"), best["score"].alias("score"))
+
+
 def byte_size(s: str) -> int:
     return len(s.encode("cp949", errors="replace"))
 

@@ -93,7 +93,8 @@ n3 AS (SELECT *, CASE WHEN pe < 1 THEN (accuracy - pe) / (1 - pe) ELSE 0.0 END A
 n4 AS (SELECT *, 0.4 * recall + 0.3 * (1 - fn_rate) + 0.3 * kappa AS hei FROM n3)
 SELECT {keys} tp, fn, fp, tn, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, round(accuracy, 4) AS accuracy, round(kappa, 4) AS kappa,
   round(mcc, 4) AS mcc, round(disagreement, 4) AS disagreement, round(fn_rate, 4) AS fn_rate, round(fp_rate, 4) AS fp_rate, round(hei, 4) AS hei,
-  CASE WHEN kappa >= 0.75 THEN 'cooperate' WHEN kappa >= 0.65 THEN 'watch' ELSE 'improve' END AS status,
+  CASE WHEN kappa >= 0.75 THEN '협업 가능' WHEN kappa >= 0.65 THEN '모니터링 필요' ELSE '개선 필요' END AS status, CASE WHEN kappa >= 0.75 THEN '우수한 일치' WHEN kappa >= 0.60 THEN '상당한 일치' WHEN kappa >= 0.40 THEN '중간 수준' ELSE '미흡' END AS kappa_status,
+  CASE WHEN hei >= 0.85 THEN '인간 대체 가능' WHEN hei >= 0.75 THEN '보조적 대체' ELSE '검토 필요' END AS hei_status,
   fp_rate < 0.01 AND recall >= 0.95 AND accuracy >= 0.90 AND kappa >= 0.8 AS kpi_pass
 FROM n4"""
 
@@ -140,8 +141,8 @@ def day_detail(spark, d):
     rf"""WITH {JOIN_SQL}, x AS (SELECT human_id, machine_id, CASE WHEN human_spam THEN 'FN' ELSE 'FP' END AS kind, d.text AS reason FROM j JOIN documents d ON d.doc_id = human_id
     WHERE side = 'both' AND human_spam <> coalesce(machine_spam, false))
 SELECT md5(CAST(human_id AS VARCHAR) || '_' || CAST(machine_id AS VARCHAR)) AS diff_id, kind, left(reason, 80) || CASE WHEN length(reason) > 80 THEN '...' ELSE '' END AS preview,
-  CASE WHEN kind = 'FN' THEN CASE WHEN regexp_matches(lower(reason), 'ambiguous') THEN 'ambiguous_human' ELSE 'policy_difference' END
-       ELSE CASE WHEN regexp_matches(lower(reason), 'suspicious|promotional|commercial') THEN 'over_blocking' ELSE 'keyword_false_alarm' END END AS tag FROM x"""
+  CASE WHEN kind = 'FN' THEN CASE WHEN regexp_matches(lower(reason), 'ambiguous') THEN '애매한 사람 판단' ELSE '정책 차이' END
+       ELSE CASE WHEN regexp_matches(lower(reason), 'suspicious|promotional|commercial') THEN '과차단 (보수적 정책)' ELSE '키워드 기반 오탐' END END AS tag FROM x"""
 )
 def policy_tags(spark, d):
     j = joined(spark, d).filter(F.col("side") == "both").filter(F.col("human_spam") != F.coalesce("machine_spam", F.lit(False)))
@@ -204,7 +205,7 @@ SELECT doc_id, CASE WHEN label = 'SPAM' AND p >= 0.6 THEN 'SPAM' WHEN label = 'S
 )
 def verdict_bands(spark, d):
     log = verdict_log(spark, d).withColumn("b", S.band(F.when(F.col("is_spam"), "SPAM").otherwise("HAM"), F.col("p"), F.col("code")))
-    return log.select("doc_id", T.verdict_text(F.col("b.is_spam")).alias("verdict"), "b.code", T.percent(F.col("p")).alias("percent"))
+    return log.select("doc_id", "b.verdict", "b.code", T.percent(F.col("p")).alias("percent"))
 
 
 @query(
@@ -570,16 +571,3 @@ SELECT t.doc_id, coalesce(string_agg(u, ' ' ORDER BY rn), '') AS urls, count(u)
 def extracted_urls(spark, d):
     rows = E.extract_urls(table(spark, d, "documents").select("doc_id", "text"), "text")
     return rows.select("doc_id", F.array_join("urls", " ").alias("urls"), F.size("urls").cast("long").alias("n"))
-
-
-@query(
-    rf"""WITH {ITEM_SQL}, sheet AS (SELECT md5(bare) AS key, arg_max({{'spam': doc_id % 3 = 0, 'sig': sig}}, doc_id) AS s FROM sized WHERE doc_id % 2 = 0 GROUP BY 1)
-SELECT doc_id AS id, concat_ws(',', CASE WHEN s IS NULL THEN 'unmatched' END, CASE WHEN spam AND sig = '' AND coalesce(url, '') = '' THEN 'signature_missing' END,
-  CASE WHEN sig <> '' AND NOT (bytes BETWEEN 9 AND 20 OR bytes BETWEEN 39 AND 40) THEN 'signature_length' END, CASE WHEN regexp_matches({HOST_SQL}, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') THEN 'url_ip' END,
-  CASE WHEN s IS NOT NULL AND spam <> s.spam THEN 'verdict' END, CASE WHEN s IS NOT NULL AND sized.sig <> s.sig THEN 'signature' END) AS errors FROM sized LEFT JOIN sheet ON key = md5(bare)"""
-)
-def report_validation(spark, d):
-    rows = output_rows(spark, d).withColumn("key", F.md5("bare"))
-    logs = rows.select(F.col("doc_id").alias("id"), "key", F.col("spam").alias("is_spam"), "sig", "bytes", "url")
-    sheet = rows.filter(F.col("doc_id") % 2 == 0).select("key", F.col("doc_id").alias("pos"), (F.col("doc_id") % 3 == 0).alias("sheet_spam"), F.col("sig").alias("sheet_sig"))
-    return C.validate_report(logs, sheet)

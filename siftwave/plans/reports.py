@@ -118,14 +118,14 @@ def merge_single(spark, d):
 
 
 @query(
-    rf"""WITH r AS (SELECT doc_id, left(coalesce(text, ''), 40) || CASE doc_id % 3 WHEN 0 THEN ' [Reviewer Note: see ' || doc_id || ']' WHEN 1 THEN ' [Manually Marked as SPAM] (Prob: 90%)' ELSE '' END AS reason FROM documents)
+    rf"""WITH r AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' [Reviewer Note: see ' || doc_id || ']' WHEN 1 THEN ' [Manually Marked as SPAM] (Prob: 90%)' ELSE '' END AS reason FROM documents)
 SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(reason, '\[Reviewer Note: .*?\]', '', 'g'), '\[Manually Marked as .*?\]', '', 'g'), '\(Prob: .*?\)', '', 'g')) AS clean,
   CASE WHEN regexp_matches(reason, '\[Reviewer Note: .*?\]') THEN regexp_extract(reason, '\[Reviewer Note: (.*?)\]', 1) END AS note, contains(reason, '[Manually Marked') AS manual FROM r"""
 )
 def reason_parts(spark, d):
     i = F.col("doc_id")
     tail = F.when(i % 3 == 0, F.concat(F.lit(" [Reviewer Note: see "), i.cast("string"), F.lit("]"))).when(i % 3 == 1, " [Manually Marked as SPAM] (Prob: 90%)").otherwise("")
-    reason = F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(40)), tail)
+    reason = F.concat(F.coalesce("text", F.lit("")), tail)
     return table(spark, d, "documents").select("doc_id", R.reason_parts(reason).alias("r")).select("doc_id", "r.*")
 
 
@@ -184,22 +184,6 @@ def short_urls(spark, d):
 
 # ---- signatures and clusters
 
-TAGS_SQL = "list_filter([" + ", ".join("CASE WHEN regexp_matches(c, '" + p.replace("'", "''") + f"') THEN '{t}' END" for t, p in G.ANCHORS.items()) + "], lambda x: x IS NOT NULL)"
-
-
-@query(
-    rf"""WITH c AS (SELECT doc_id, left({BARE_SQL}, 20) || CASE doc_id % 5 WHEN 0 THEN '(광고)' WHEN 1 THEN '010-1234-5678' WHEN 2 THEN '무료거부' WHEN 3 THEN '상a담★' ELSE '' END AS c FROM documents WHERE text IS NOT NULL),
-t AS (SELECT *, {TAGS_SQL} AS tags, CAST({APPROX.format('c')} AS INT) AS bytes FROM c)
-SELECT doc_id, array_to_string(tags, ',') AS tags, CAST(CASE WHEN bytes <= 8 THEN -3.0 ELSE 0.0 END + CASE WHEN regexp_matches(c, '^[0-9]+$') THEN -2.0 ELSE 0.0 END + {' + '.join(f"CASE WHEN list_contains(tags, '{t}') THEN {w} ELSE 0.0 END" for t, w in G.WEIGHTS.items())}
-  - CASE WHEN list_contains(tags, 'AD_MARK') AND NOT list_contains(tags, 'PHONE') AND NOT list_contains(tags, 'CODE') AND NOT list_contains(tags, 'SYMBOLS') THEN 15.0 ELSE 0.0 END AS DOUBLE) AS score FROM t"""
-)
-def signature_scores(spark, d):
-    i = F.col("doc_id")
-    tail = F.when(i % 5 == 0, "(광고)").when(i % 5 == 1, "010-1234-5678").when(i % 5 == 2, "무료거부").when(i % 5 == 3, "상a담★").otherwise("")
-    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", F.concat(F.left(T.strip_ascii_space(F.col("text")), F.lit(20)), tail).alias("c"))
-    return rows.select("doc_id", F.array_join(G.anchor_tags(F.col("c")), ",").alias("tags"), G.anchored_score(F.col("c"), T.approx_bytes(F.col("c"))).alias("score"))
-
-
 @query()
 def fitted_signatures(spark, d):
     """Proposals of 3 to 60 characters, some that their text doesn't hold, fitted to the policy."""
