@@ -49,16 +49,22 @@ def compare_key(c: Column) -> Column:
 
 def approx_bytes(c: Column) -> Column:
     """Two bytes for each non-ASCII character, one for others."""
-    return _size(c) + _size(F.regexp_replace(c, r"[\x00-\x7F]", ""))
+    return _size(c) + F.when(F.octet_length(c) == _size(c), 0).otherwise(F.regexp_count(c, F.lit(r"[^\x00-\x7F]")))
+
+
+def visible_bytes(c: Column) -> Column:
+    """approx_bytes() of a text without ASCII white space, which is never built."""
+    return approx_bytes(c) - count_of(c, r" \t\r\n\f\x0b")
 
 
 def share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    """Part over whole, 0 of nothing; both are evaluated once."""
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
 def count_of(c: Column, chars: str) -> Column:
-    """How many characters of a set a text has."""
-    return _size(c) - _size(F.translate(c, chars, ""))
+    """How many characters of a class (as in a pattern's brackets) a text has; counting matches is much faster than removing them."""
+    return F.regexp_count(c, F.lit(f"[{chars}]"))
 
 
 def beyond_ascii(c: Column) -> Column:
@@ -69,14 +75,14 @@ def beyond_ascii(c: Column) -> Column:
 def hangul_share(c: Column) -> Column:
     """Hangul among letters."""
     rest = beyond_ascii(c)
-    return share(_size(F.regexp_replace(rest, f"[^{HANGUL}]", "")), count_of(c, LETTERS) + _size(F.regexp_replace(rest, r"\P{L}", "")))
+    return share(_size(F.regexp_replace(rest, f"[^{HANGUL}]", "")), _size(c) - count_of(c, "^A-Za-z") + _size(F.regexp_replace(rest, r"\P{L}", "")))
 
 
 def lookalike_share(c: Column) -> Column:
     """Digits and letters like digits among letters and digits that aren't Hangul."""
     rest = beyond_ascii(c)
     digits = _size(F.regexp_replace(rest, r"\P{Nd}", ""))
-    return share(count_of(c, DIGITS + LOOKALIKES) + digits, count_of(c, DIGITS + LETTERS) + _size(F.regexp_replace(rest, rf"[^\p{{L}}\p{{N}}]|[{HANGUL}]", "")))
+    return share(count_of(c, "0-9" + LOOKALIKES) + digits, _size(c) - count_of(c, "^A-Za-z0-9") + _size(F.regexp_replace(rest, rf"[^\p{{L}}\p{{N}}]|[{HANGUL}]", "")))
 
 
 def masked(c: Column, at_least: float = 0.15, min_chars: int = 10) -> Column:
@@ -89,10 +95,11 @@ def masked_domain(c: Column) -> Column:
 
 
 def broken(c: Column) -> Column:
-    """Text lost to a wrong encoding: ten question or replacement marks in a row, or over 0.4 of them."""
-    bare, marks = strip_ascii_space(c), count_of(c, "?\ufffd")
-    run = F.when(marks >= 10, bare.rlike("[?\ufffd]{10}")).otherwise(F.lit(False))
-    return F.coalesce(run | (share(marks, _size(bare)) > 0.4), F.lit(False))
+    """Text lost to a wrong encoding: ten question or replacement marks in a row, or over 0.4 of them, white space aside."""
+    marks = count_of(c, "?\ufffd")
+    run = F.when(marks >= 10, strip_ascii_space(c).rlike("[?\ufffd]{10}")).otherwise(F.lit(False))
+    many = F.when(marks > 0, share(marks, _size(c) - count_of(c, r" \t\r\n\f\x0b")) > 0.4).otherwise(F.lit(False))
+    return F.coalesce(run | many, F.lit(False))
 
 
 def spaced_hangul(c: Column) -> Column:

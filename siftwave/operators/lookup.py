@@ -8,18 +8,31 @@ from pyspark.sql import functions as F
 MAX_BROADCAST = 200_000
 
 
+def grams_of(df: DataFrame, body: str, gram: int, block: int = 64) -> DataFrame:
+    """id, at (from 0) and gram of each place of a text with `gram` characters from there on.
+
+    Texts are cut in blocks first, so that a place isn't sought from the start of a long text."""
+    size = F.char_length(body)
+    blocks = df.filter(size >= gram).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), size - gram, F.lit(block)), lambda b: F.substring(F.col(body), b + 1, F.lit(block + gram - 1)))).alias("nth", "part"))
+    places = blocks.select("id", "nth", "part", F.explode(F.sequence(F.lit(1), F.char_length("part") - gram + 1)).alias("i"))
+    return places.select("id", (F.col("nth") * block + F.col("i") - 1).alias("at"), F.expr(f"substring(part, i, {gram})").alias("gram"))
+
+
 def match_signature(messages: DataFrame, signatures: DataFrame, gram: int = 4) -> DataFrame:
     """The newest, then longest signature (at least `gram` characters) that each message holds.
 
-    Messages: id, body (without white space). Signatures: signature, created_at. A signature is found by
-    its first `gram` characters among the grams of the message, then compared; so the join is on equal grams
-    and either side may be large.
-    """
+    Messages: id, body (without white space). Signatures: signature, created_at. A signature is found by its first
+    `gram` characters among the grams of the message, then compared. Up to MAX_BROADCAST signatures are broadcast; of
+    more, only the grams that are a first one of some signature (at most as many, and told apart by 4 characters) are,
+    so a row is shuffled for each place where a signature may start and not for each character."""
     sig = signatures.filter(F.char_length("signature") >= gram).select("signature", "created_at", F.substring("signature", 1, gram).alias("gram"))
-    few = sig.count() <= MAX_BROADCAST
-    rows = messages.select("id", F.split("body", "").alias("chars")).select("id", "chars", F.posexplode_outer("chars").alias("at", "first"))
-    grams = rows.select("id", "at", F.concat(*[F.get("chars", F.col("at") + i) for i in range(gram)]).alias("gram"))
-    found = grams.join(F.broadcast(sig) if few else sig, "gram").select("id", "at", "signature", "created_at")
+    grams = grams_of(messages, "body", gram)
+    if sig.count() <= MAX_BROADCAST:
+        found = grams.join(F.broadcast(sig), "gram").select("id", "at", "signature", "created_at")
+    else:
+        firsts = sig.select("gram").distinct()
+        some = grams.join(F.broadcast(firsts) if firsts.count() <= 10 * MAX_BROADCAST else firsts, "gram", "left_semi")
+        found = some.join(sig, "gram").select("id", "at", "signature", "created_at")
     hits = found.join(messages.select("id", "body"), "id").filter(F.expr("substring(body, at + 1, char_length(signature)) = signature"))
     best = hits.groupBy("id").agg(F.max(F.struct("created_at", F.char_length("signature").alias("size"), "signature")).alias("best"))
     return messages.select("id").join(best, "id", "left").select("id", "best.signature")
@@ -86,7 +99,7 @@ def runtime_signatures(messages: DataFrame, gram: int = 4) -> DataFrame:
     Messages: id, body, minted (the signature it gave, or null; at least `gram` characters count)."""
     minted = messages.filter(F.char_length("minted") >= gram).groupBy(F.col("minted").alias("signature")).agg(F.min("id").alias("seq"))
     sig = minted.select("signature", "seq", F.substring("signature", 1, gram).alias("gram"))
-    starts = messages.filter(F.char_length("body") >= gram).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("body") - gram + 1), lambda i: F.substring(F.col("body"), i, F.lit(gram))))).alias("gram"))
+    starts = grams_of(messages, "body", gram).select("id", "gram").distinct()
     near = starts.join(sig, "gram").filter("seq < id").select("id", "signature", "seq")
     hits = near.join(messages.select("id", "body"), "id").filter(F.contains("body", "signature"))
     return messages.select("id").join(hits.groupBy("id").agg(F.min_by("signature", "seq").alias("reused")), "id", "left")

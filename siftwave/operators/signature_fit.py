@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,13 +38,15 @@ def anchored_score(c: Column, size: Column) -> Column:
     return score - F.when(has("AD_MARK") & ~has("PHONE") & ~has("CODE") & ~has("SYMBOLS"), 15.0).otherwise(0.0)
 
 
-def best_anchor(body: Column, size) -> Column:
-    """n, text and score of the candidates around the concrete anchors of a text without white space: their matches, each once; the best, ties by text.
+def best_anchors(df: DataFrame, id: str, body: str, size) -> DataFrame:
+    """id, n, text and score: the candidates around the concrete anchors of a text without white space are their matches, each
+    once; the best by score, then text; null where there is none. `id` must be unique.
 
-    They stay an array of the row, so nothing is shuffled."""
+    Candidates are scored where their text is, and one row a text and task goes into the shuffle."""
     every = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(body, F.lit(ANCHORS[t]), F.lit(0)) for t in ("PHONE", "OPT_OUT", "SYMBOLS", "CODE")])))
-    best = F.array_max(F.transform(every, lambda c: F.struct(anchored_score(c, size(c)).alias("score"), c.alias("text"))))
-    return F.struct(F.size(every).cast("long").alias("n"), best["text"].alias("text"), best["score"].alias("score"))
+    rows = df.select(id, F.explode_outer(every).alias("c"))
+    scored = rows.select(id, "c", F.when(F.col("c").isNotNull(), F.struct(anchored_score(F.col("c"), size(F.col("c"))).alias("score"), F.col("c").alias("text"))).alias("s"))
+    return scored.groupBy(id).agg(F.count("c").alias("n"), F.max("s").alias("s")).select(id, "n", "s.text", "s.score")
 
 
 def byte_size(s: str) -> int:

@@ -194,7 +194,7 @@ def rule_cascade(spark, d):
     lang, text = F.col("lang"), F.col("text")
     hidden = F.when(lang == "de", F.translate(text, "e", "ｅ")).when(lang == "fr", F.translate(text, "aeiou ", "가나다라마-")).when(lang == "es", F.translate(text, "acdefhijkmnprstuvwxyéíóúñ", "")).otherwise(text)
     c = F.col("text")
-    rows = table(spark, d, "documents").select("doc_id", hidden.alias("text")).select("doc_id", S.rule_check(c, T.approx_bytes(T.strip_ascii_space(c))).alias("r"))
+    rows = table(spark, d, "documents").select("doc_id", hidden.alias("text")).select("doc_id", S.rule_check(c, T.visible_bytes(c)).alias("r"))
     return rows.select("doc_id", "r.pattern", "r.is_spam", "r.code", "r.excluded", F.sha2("r.decoded", 256).alias("decoded"))
 
 

@@ -397,5 +397,5 @@ SELECT doc_id, coalesce(n, 0) AS n, text, score FROM b LEFT JOIN g USING (doc_id
 )
 def signature_scores(spark, d):
     """The best candidate among the anchors of each whole text."""
-    body = T.strip_ascii_space(F.coalesce("text", F.lit("")))
-    return table(spark, d, "documents").select("doc_id", G.best_anchor(body, T.approx_bytes).alias("b")).select("doc_id", "b.*")
+    bare = table(spark, d, "documents").select("doc_id", T.strip_ascii_space(F.coalesce("text", F.lit(""))).alias("bare"))
+    return G.best_anchors(bare, "doc_id", "bare", T.approx_bytes)
