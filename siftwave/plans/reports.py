@@ -203,10 +203,11 @@ def title_clusters(spark, d):
 @query(
     rf"""WITH k AS (SELECT left(regexp_replace(text, '[^가-힣a-zA-Z]', '', 'g'), 30) AS cluster, {BARE_SQL} AS body FROM documents WHERE text IS NOT NULL),
 m AS (SELECT DISTINCT * FROM k), b AS (SELECT cluster, arg_min(body, (length(body), body)) AS least, count(*) AS n FROM m GROUP BY cluster),
-w AS (SELECT DISTINCT cluster, substr(least, i, j) AS w FROM (SELECT cluster, least, i, unnest(range(1, 21)) AS j FROM (SELECT cluster, least, unnest(range(1, length(least) + 1)) AS i FROM b))),
-z AS (SELECT cluster, w, {APPROX.format('w')} AS bytes FROM w), v AS (SELECT z.cluster, w, bytes, count(*) AS votes FROM z JOIN m ON m.cluster = z.cluster AND contains(body, w) WHERE bytes BETWEEN 9 AND 20 GROUP BY ALL),
-r AS (SELECT v.cluster, arg_max(w, (bytes, w)) AS signature FROM v JOIN b ON b.cluster = v.cluster AND votes = n GROUP BY v.cluster)
-SELECT b.cluster, signature FROM b LEFT JOIN r USING (cluster)"""
+o AS (SELECT cluster, least, n, unnest(range(0, length(least), 64)) AS o FROM b), t AS (SELECT cluster, n, substr(least, o + 1, 83) AS least FROM o), i AS (SELECT cluster, least, n, unnest(range(1, 65)) AS i FROM t), w20 AS (SELECT DISTINCT cluster, n, substr(least, i, j) AS w FROM (SELECT *, unnest(CASE WHEN strlen(least) = length(least) THEN [20] ELSE range(10, 21) END) AS j FROM i) WHERE {APPROX.format('substr(least, i, j)')} = 20),
+v20 AS (SELECT w20.cluster, w FROM w20 JOIN m ON m.cluster = w20.cluster AND contains(body, w) WHERE n > 1 GROUP BY w20.cluster, w, n HAVING count(*) = n), r20 AS (SELECT cluster, max(w) AS signature FROM (SELECT cluster, w FROM v20 UNION ALL SELECT cluster, w FROM w20 WHERE n = 1) GROUP BY cluster),
+w9 AS (SELECT DISTINCT cluster, n, substr(least, i, j) AS w FROM (SELECT *, unnest(range(5, 20)) AS j FROM i WHERE cluster NOT IN (SELECT cluster FROM r20)) WHERE {APPROX.format('substr(least, i, j)')} BETWEEN 9 AND 19),
+v9 AS (SELECT w9.cluster, w FROM w9 JOIN m ON m.cluster = w9.cluster AND contains(body, w) WHERE n > 1 GROUP BY w9.cluster, w, n HAVING count(*) = n), r9 AS (SELECT cluster, arg_max(w, ({APPROX.format('w')}, w)) AS signature FROM (SELECT cluster, w FROM v9 UNION ALL SELECT cluster, w FROM w9 WHERE n = 1) GROUP BY cluster)
+SELECT b.cluster, coalesce(r20.signature, r9.signature) AS signature FROM b LEFT JOIN r20 USING (cluster) LEFT JOIN r9 USING (cluster)"""
 )
 def cluster_signatures(spark, d):
     rows = table(spark, d, "documents").filter("text is not null").select(T.similarity_key(F.col("text")).alias("cluster"), T.strip_ascii_space(F.col("text")).alias("body"))
