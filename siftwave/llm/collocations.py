@@ -34,7 +34,7 @@ from siftwave.llm.common import scratch_table
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bits of a bitmap for each frequent group, and at most (16 MB).
 BITS_EACH, MOST_BITS = 32, 1 << 27
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, np.uint8)
@@ -104,17 +104,20 @@ def relation(pos: np.ndarray, group: np.ndarray, cut: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(gap)), pa.ListArray.from_arrays(offsets, pa.array(group.view(np.int64)))], names=["gap", "grp"])
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions and groups of a batch, and its rows' borders. Gaps between batches are made up, so that nothing joins over them."""
+def unpacked(batches: Iterator[pa.RecordBatch], together: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions and groups of some rows of a batch (about `together` occurrences), and the rows' borders. A gap of 2 or more starts each row, so that nothing joins over it."""
     for batch in batches:
         gap, group = batch.column(0), batch.column(1)
-        if batch.num_rows:
-            cut = gap.offsets.to_numpy()
-            values = lambda c: c.values.to_numpy(zero_copy_only=False)[cut[0] : cut[-1]]
-            pos = values(gap).astype(np.int64)
+        offsets = gap.offsets.to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(offsets, offsets[at] + together, side="right")) - 1, at + 1)
+            cut = offsets[at : end + 1]
+            pos = gap.values.slice(cut[0], cut[-1] - cut[0]).to_numpy().astype(np.int64)
             heads = (cut - cut[0])[:-1][np.diff(cut) > 0]
             pos[heads] = np.abs(pos[heads]) + 2
-            yield np.cumsum(pos), values(group).astype(np.int64).view(np.uint64), cut - cut[0]
+            yield np.cumsum(pos), group.values.slice(group.offsets[at].as_py(), cut[-1] - cut[0]).to_numpy().view(np.uint64), cut - cut[0]
+            at = end
 
 
 def counted(groups: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
