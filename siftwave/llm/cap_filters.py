@@ -2,9 +2,9 @@
 
 Filter directions are structured random product codes: the space is rotated at random and cut into blocks,
 each block has a small random code, and a direction is one codeword of each block. A vector's relevant
-directions, all whose inner product with it exceeds `reach`, are list-decoded by best-first pruning over the
-blocks, without looking at the rest of the code. Vectors of one label that share a direction are compared
-there in double precision, so nothing below `threshold` is linked.
+directions, those of its spherical cap, are list-decoded by pruning over the blocks, without looking at the rest of
+the code. The cap of each vector is as wide as it takes for a fixed number of directions, so no vector is without
+filters. Vectors of one label that share a direction are compared there in double precision, so nothing below `threshold` is linked.
 
 Vectors are scaled by a power of two, which is exact, so very large and very small ones compare like others;
 they travel as 4-byte floats where that loses nothing, else as doubles. Each carries its sorted directions: a
@@ -12,12 +12,13 @@ pair that meets in several filters counts in the first one they share. A filter
 vector (links counted there, least vector reached there), never its pairs, so a family of near copies costs
 rows in proportion to its members.
 
-The code grows with the number of vectors, so filters stay small; `reach` is set by quantile for about
-`relevant` directions a vector. Equal vectors of a label are one, with a count. A filter with many vectors is
+The code grows with the vectors of the largest label, so filters stay small. The number of directions is calibrated when
+the code is made: of planted pairs whose cosine is the threshold itself, the wanted share must meet, whatever the size of the code.
+Equal vectors of a label are one, with a count. A filter with many vectors is
 split into blocks of about `block` rows and each pair of blocks is compared on its own; small ones are packed, so
 no group grows with the data.
 
-Recall of links at 0.93 on the test tables is in the README; what is missed is a pair that shares no filter.
+Recall at the threshold is tested for several dimensions and sizes; what is missed is a pair that shares no filter.
 
 Defined cases: null labels, and vectors that are null, empty, zero or hold nulls, NaN or infinity are linked
 with nothing (n_links 0, their own component, kept); vectors of different lengths are not compared; labels of any
@@ -53,21 +54,48 @@ class ProductCode:
         norm = np.sqrt(len(self.words))
         self.words = [w / np.linalg.norm(w, axis=1, keepdims=True) / norm for w in self.words]
 
-    def reach(self, relevant: float, seed: int = 12) -> float:
-        """The inner product that about `relevant` directions exceed, for random unit vectors."""
+    @classmethod
+    def fitted(cls, dim: int, n: int, threshold: float, recall: float = 0.98, crowd: int = 64, seed: int = 12) -> tuple[ProductCode, int]:
+        """A code for `n` vectors and the number of directions for each: of planted pairs whose cosine is `threshold` itself, the share
+        `recall` has a common one. About `crowd` vectors share a direction.
+
+        Blocks have four dimensions at least, as a block of one has two codewords in all. In few dimensions a sizeable share of all pairs are
+        links, so more than 4,096 codewords a block would not make filters smaller than the families in them. A list has 1,024 directions at most."""
         rng = np.random.default_rng(seed)
-        x = rng.standard_normal((400, len(self.rotation)))
-        parts = self.parts(x / np.linalg.norm(x, axis=1, keepdims=True))
-        picks = np.array([sum(p[i, rng.integers(p.shape[1], size=5000)] for p in parts) for i in range(len(x))])
-        total = float(np.prod([p.shape[1] for p in parts]))
-        if relevant / total * picks.size >= 20:
-            return float(np.quantile(picks, max(0.0, 1 - relevant / total)))
-        lo, hi = 0.0, 1.0
-        few = [[q[i] for q in parts] for i in range(60)]
-        for _ in range(14):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if np.mean([len(self.decode(f, mid)) for f in few]) > relevant else (lo, mid)
-        return lo
+        x, z = rng.standard_normal((2, 500, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        y = threshold * x + np.sqrt(1 - threshold**2) * z
+        blocks, relevant = min(3, max(1, dim // 4)), 20
+        for _ in range(4):
+            words = int(np.ceil((n * relevant / crowd) ** (1 / blocks)))
+            code = cls(dim, min(max(8, words), 4096), blocks)
+            pairs = [list(zip(*code.parts(v), strict=True)) for v in (x, y)]
+            need = np.inf
+            for most in (64, 256, 1024):
+                # The list length from which on each pair meets: the place of its first common direction, in the list where it comes later.
+                firsts = []
+                for a, b in zip(*pairs, strict=True):
+                    _, i, j = np.intersect1d(code.best(a, most), code.best(b, most), assume_unique=True, return_indices=True)
+                    firsts.append(np.maximum(i, j).min() + 1 if len(i) else np.inf)
+                need = np.quantile(firsts, recall, method="higher")
+                if np.isfinite(need):
+                    break
+            found = int(min(max(need, 4), 1024))
+            if found <= 2 * relevant:
+                break
+            relevant = found
+        return code, found
+
+    def best(self, own: list[np.ndarray], most: int) -> np.ndarray:
+        """The `most` directions of a vector with the greatest inner products, greatest first (the whole code if that is smaller)."""
+        top, step = sum(p.max() for p in own), 0.04
+        number, total = self.decode(own, top - step)
+        while len(number) < most and step < 4:
+            step *= 1.3
+            number, total = self.decode(own, top - step)
+        return number[np.lexsort((number, -total))[:most]]
 
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         """Inner products with each block's codewords."""
@@ -75,15 +103,15 @@ class ProductCode:
         return [y[:, a:b] @ w.T for (a, b), w in zip(zip(self.edges, self.edges[1:], strict=False), self.words, strict=True)]
 
     @staticmethod
-    def decode(parts: list[np.ndarray], reach: float) -> np.ndarray:
-        """Numbers of all directions whose inner product is at least `reach`: a block's codewords go on only while the best of the rest could still reach it."""
+    def decode(parts: list[np.ndarray], reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and inner products of all directions whose inner product is at least `reach`: a block's codewords go on only while the best of the rest could still reach it."""
         rest = np.append(np.cumsum([p.max() for p in parts[::-1]])[::-1], 0.0)
         total, number = np.zeros(1), np.zeros(1, np.int64)
         for k, p in enumerate(parts):
             total = total[:, None] + p[None, :]
             i, j = np.nonzero(total >= reach - rest[k + 1])
             total, number = total[i, j], number[i] * len(p) + j
-        return number
+        return number, total
 
 
 def packed(v) -> bytes | None:
@@ -106,8 +134,8 @@ def as_bytes(v: pd.Series) -> pd.Series:
     return v.map(packed)
 
 
-def filters_of(dim: int, code: ProductCode | None, reach: float, relevant: int):
-    """id, v and filters, the sorted directions, of each vector; one with few directions takes its best by a lower reach."""
+def filters_of(dim: int, code: ProductCode | None, relevant: int):
+    """id, v and filters, the sorted directions, of each vector; none is without directions."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -116,12 +144,7 @@ def filters_of(dim: int, code: ProductCode | None, reach: float, relevant: int):
                 x = np.stack([unpacked(v.as_buffer(), dim) for v in part.column("v")])
                 inner = code.parts(x / np.linalg.norm(x, axis=1, keepdims=True))
                 for i in range(len(x)):
-                    own, low, k = [p[i] for p in inner], reach, 0
-                    got = code.decode(own, low)
-                    while len(got) < relevant / 3 and k < 8:
-                        low, k = low - 0.02, k + 1
-                        got = code.decode(own, low)
-                    found[i] = np.sort(got)
+                    found[i] = np.sort(code.best([p[i] for p in inner], relevant))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "label", "copies", "v")), pa.array(found, pa.list_(pa.int64()))], names=["id", "label", "copies", "v", "filters"])
 
     return run
@@ -190,7 +213,7 @@ def links_in_groups(threshold: float, dim: int, step: int = 100_000):
     return run
 
 
-def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, relevant: int = 20, block: int = 1024) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = 0.98, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of `vectors`. A code is made for each length of vectors, of which there should be few."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), as_bytes("embedding").alias("v"), F.size("embedding").alias("dim"))
     rows = scratch_table(rows.withColumn("h", F.when(F.col("label").isNotNull(), F.md5("v"))), "vectors")
@@ -199,10 +222,11 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, relevant: int
     classes = rows.filter("h is not null").groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.min("v").alias("v"))
     classes = scratch_table(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     seen = classes.select("id", F.col("copies").alias("n"), F.col("id").alias("least")).limit(0)
-    for dim, n in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
-        code = ProductCode(dim, max(8, int(np.ceil((n * relevant / 64) ** (1 / 3)))), min(3, dim)) if dim > 1 else None
+    per_label = classes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n"))
+    for dim, n, largest in per_label.groupBy("dim").agg(F.sum("n"), F.max("n")).collect():
+        code, relevant = ProductCode.fitted(dim, largest, threshold, recall) if dim > 1 else (None, 1)
         own = classes.filter(F.col("dim") == dim).select("id", "label", "copies", "v")
-        own = scratch_table(own.mapInArrow(filters_of(dim, code, code.reach(relevant) if code else 0.0, relevant), "id long, label string, copies long, v binary, filters array<long>"), "filters")
+        own = scratch_table(own.mapInArrow(filters_of(dim, code, relevant), "id long, label string, copies long, v binary, filters array<long>"), "filters")
         found = own.select("id", "label", F.explode("filters").alias("filter"))
         counts = found.groupBy("label", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         placed = found.join(counts, ["label", "filter"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
