@@ -13,6 +13,7 @@ from siftwave.llm.line_dedup import OP10_SQL, op10_line_dedup
 from siftwave.llm.periodic_runs import op13_periodic_runs
 from siftwave.llm.sharding import op9_sharding
 from siftwave.llm.shingle_join import OP6_SQL, op6_ngram_jaccard
+from siftwave.llm.suffix_dedup import OP12_SQL, op12_suffix_dedup
 from siftwave.llm.url_filter import op5_url_filter
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
     "op11_collocations": op11_collocations,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES = {"op3_decontamination": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_collocations": OP11_SQL}
+ORACLES = {"op3_decontamination": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op12_suffix_dedup": OP12_SQL}
