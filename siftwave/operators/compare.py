@@ -17,8 +17,15 @@ AMBIGUOUS_HUMAN, POLICY_DIFFERENCE, OVER_BLOCKING, FALSE_ALARM = "애매한 사
 
 
 def occurrence_index(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Adds occ, the place of a row among those of its key, from 1."""
-    return sums_before(df, key, order, _before=F.lit(1)).withColumn("occ", F.col("_before") + 1).drop("_before")
+    """Adds occ, the place of a row among those of its key, from 1.
+
+    Most keys stand once: one aggregate finds them, with their row, and only rows of repeated keys are ranked."""
+    rest = [c for c in df.columns if c != key]
+    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_row"))
+    single = groups.filter("_n = 1").select(key, "_row.*", F.lit(1).cast("long").alias("occ")).select(*df.columns, "occ")
+    repeated = groups.filter("_n > 1").select(F.col(key).alias("_key"))
+    several = df.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return single.unionByName(sums_before(several, key, order, _before=F.lit(1)).withColumn("occ", F.col("_before") + 1).drop("_before"))
 
 
 def occurrence_join(human: DataFrame, machine: DataFrame, key: str = "key", order: str = "id") -> DataFrame:

@@ -2,40 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST = 200_000
+from siftwave.functions.byte_hash import Spans, bitmap_of, blocks, mix, passes
+from siftwave.sources.files import scratch
+
+#: Bytes of texts that are hashed together.
+TOGETHER = 1 << 20
+
+
+def _prefix_size(size: np.ndarray) -> np.ndarray:
+    """The largest power of two that a signature of so many bytes has."""
+    return 1 << (np.frexp(size)[1] - 1)
+
+
+def keyed_signatures(signatures: DataFrame) -> DataFrame:
+    """The rows of `signatures` with size (a power of two), the hash of so many first bytes and the signature as bytes."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            lengths = np.array([len(t) for t in texts], np.int64)
+            start, size = np.cumsum(lengths) - lengths, _prefix_size(np.maximum(lengths, 1))
+            hashes = mix(Spans(np.frombuffer(b"".join(texts), np.uint8)).hash(start, start + size) + size.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(size.astype(np.int32)), pa.array(hashes.view(np.int64)), *batch.columns], names=["size", "hash", "sig", *rest])
+
+    rest = [c for c in signatures.columns if c != "signature"]
+    kinds = "".join(f", `{c}` {signatures.schema[c].dataType.simpleString()}" for c in rest)
+    return signatures.select(F.col("signature").cast("binary"), *rest).mapInArrow(tasks, f"size int, hash long, sig binary{kinds}")
+
+
+def signature_places(messages: DataFrame, sizes: list[int], bitmap) -> DataFrame:
+    """id, size, hash and part (the next 2 * size - 1 bytes) of each place of a message where a signature may start; and a row with nulls for each message."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            none = pa.nulls(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())], names=["id", "size", "hash", "part"])
+            for first, end in blocks(texts, TOGETHER):
+                whole = b"".join(texts[first:end])
+                bounds, spans = np.cumsum([0, *map(len, texts[first:end])]), Spans(np.frombuffer(whole, np.uint8))
+                for size in sizes:
+                    if len(whole) >= size:
+                        hashes = mix(spans.windows(size) + np.uint64(size))
+                        at = np.flatnonzero(passes(bitmap.value, hashes))
+                        text = np.searchsorted(bounds, at, side="right") - 1
+                        inside = at + size <= bounds[text + 1]
+                        at, text = at[inside], text[inside]
+                        parts = [whole[i:j] for i, j in zip(at.tolist(), np.minimum(at + 2 * size - 1, bounds[text + 1]).tolist(), strict=True)]
+                        columns = [batch.column(0).take(pa.array(text + first)), pa.array(np.full(len(at), size, np.int32)), pa.array(hashes[at].view(np.int64)), pa.array(parts, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "hash", "part"])
+
+    kind = messages.schema["id"].dataType.simpleString()
+    return messages.select("id", F.col("body").cast("binary").alias("body")).mapInArrow(tasks, f"id {kind}, size int, hash long, part binary")
 
 
-def grams_of(df: DataFrame, body: str, gram: int, block: int = 64) -> DataFrame:
-    """id, at (from 0) and gram of each place of a text with `gram` characters from there on.
+def found_signatures(messages: DataFrame, signatures: DataFrame, gram: int = 4) -> DataFrame:
+    """id, signature and the other columns of `signatures` for each place of a message (id, body) that holds one of at least `gram` characters;
+    and at least one row with nulls for a message without any.
 
-    Texts are cut in blocks first, so that a place isn't sought from the start of a long text."""
-    size = F.char_length(body)
-    blocks = df.filter(size >= gram).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), size - gram, F.lit(block)), lambda b: F.substring(F.col(body), b + 1, F.lit(block + gram - 1)))).alias("nth", "part"))
-    places = blocks.select("id", "nth", "part", F.explode(F.sequence(F.lit(1), F.char_length("part") - gram + 1)).alias("i"))
-    return places.select("id", (F.col("nth") * block + F.col("i") - 1).alias("at"), F.expr(f"substring(part, i, {gram})").alias("gram"))
+    A text is hashed at every byte, once for each power of two among the lengths of the signatures. Only places whose hash is in a
+    bitmap of the signatures' first bytes become rows, so what is shuffled are places where a signature starts, with few others, for a
+    dictionary of any size; a small one is broadcast by Spark. A signature shares half its bytes at least with what it is joined by."""
+    keyed = scratch(keyed_signatures(signatures.filter(F.char_length("signature") >= gram)), "signatures")
+    sizes = sorted(r["size"] for r in keyed.select("size").distinct().collect())  # powers of two
+    places = signature_places(messages, sizes, bitmap_of(keyed.select("hash")))
+    both = places.join(keyed, ["size", "hash"], "left")
+    hit = F.coalesce(F.startswith("part", "sig"), F.lit(False))
+    rest = [c for c in keyed.columns if c not in ("size", "hash", "sig")]
+    return both.select("id", F.when(hit, F.col("sig").cast("string")).alias("signature"), *[F.when(hit, F.col(c)).alias(c) for c in rest])
 
 
 def match_signature(messages: DataFrame, signatures: DataFrame, gram: int = 4) -> DataFrame:
     """The newest, then longest signature (at least `gram` characters) that each message holds.
 
-    Messages: id, body (without white space). Signatures: signature, created_at. A signature is found by its first
-    `gram` characters among the grams of the message, then compared. Up to MAX_BROADCAST signatures are broadcast; of
-    more, only the grams that are a first one of some signature (at most as many, and told apart by 4 characters) are,
-    so a row is shuffled for each place where a signature may start and not for each character."""
-    sig = signatures.filter(F.char_length("signature") >= gram).select("signature", "created_at", F.substring("signature", 1, gram).alias("gram"))
-    grams = grams_of(messages, "body", gram)
-    if sig.count() <= MAX_BROADCAST:
-        found = grams.join(F.broadcast(sig), "gram").select("id", "at", "signature", "created_at")
-    else:
-        firsts = sig.select("gram").distinct()
-        some = grams.join(F.broadcast(firsts) if firsts.count() <= 10 * MAX_BROADCAST else firsts, "gram", "left_semi")
-        found = some.join(sig, "gram").select("id", "at", "signature", "created_at")
-    hits = found.join(messages.select("id", "body"), "id").filter(F.expr("substring(body, at + 1, char_length(signature)) = signature"))
-    best = hits.groupBy("id").agg(F.max(F.struct("created_at", F.char_length("signature").alias("size"), "signature")).alias("best"))
-    return messages.select("id").join(best, "id", "left").select("id", "best.signature")
+    Messages: id, body (without white space). Signatures: signature, created_at. A message has one row, null without a match."""
+    found = found_signatures(messages, signatures.select("signature", "created_at"), gram)
+    order = F.when(F.col("signature").isNotNull(), F.struct("created_at", F.char_length("signature").alias("size"), "signature"))
+    return found.groupBy("id").agg(F.max(order).alias("best")).select("id", "best.signature")
 
 
 def suffix_match(urls: DataFrame, domains: DataFrame, host: str = "host") -> DataFrame:
@@ -98,11 +148,8 @@ def runtime_signatures(messages: DataFrame, gram: int = 4) -> DataFrame:
 
     Messages: id, body, minted (the signature it gave, or null; at least `gram` characters count)."""
     minted = messages.filter(F.char_length("minted") >= gram).groupBy(F.col("minted").alias("signature")).agg(F.min("id").alias("seq"))
-    sig = minted.select("signature", "seq", F.substring("signature", 1, gram).alias("gram"))
-    starts = grams_of(messages, "body", gram).select("id", "gram").distinct()
-    near = starts.join(sig, "gram").filter("seq < id").select("id", "signature", "seq")
-    hits = near.join(messages.select("id", "body"), "id").filter(F.contains("body", "signature"))
-    return messages.select("id").join(hits.groupBy("id").agg(F.min_by("signature", "seq").alias("reused")), "id", "left")
+    earlier = F.when(F.col("seq") < F.col("id"), F.struct("seq", "signature"))
+    return found_signatures(messages, minted, gram).groupBy("id").agg(F.min(earlier).alias("first")).select("id", F.col("first.signature").alias("reused"))
 
 
 def add_rows(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
