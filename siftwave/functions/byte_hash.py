@@ -80,10 +80,10 @@ def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bitmap_of(hashes: DataFrame, most_bits: int = MOST_BITS) -> Broadcast:
+def bitmap_of(hashes: DataFrame, most_bits: int = MOST_BITS, bits_each: int = BITS_EACH) -> Broadcast:
     """A broadcast bitmap of a column of longs. It grows with their number up to `most_bits`; more hashes share bits, so it stops less but never a hash of its own."""
     n = hashes.count()
-    bits = min(most_bits, max(1 << 16, 1 << (BITS_EACH * n - 1).bit_length())) if n else 1 << 16
+    bits = min(most_bits, max(1 << 16, 1 << (bits_each * n - 1).bit_length())) if n else 1 << 16
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(bits // 64, np.uint64)
