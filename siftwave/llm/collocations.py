@@ -2,19 +2,22 @@
 
 R1 is the relation of all word occurrences: a row for each document, its positions ascending (a piece border
 leaves a gap), with a hash of language and word. Level k merges R(k-1), after the semi-join with its frequent groups,
-with itself: two neighbouring positions give a phrase of one word more. The phrases are counted (in tasks first, then over
-hashes), those in fewer than `least` places go, and Rk, the occurrences of the rest, is written for the next level.
-Because R is sorted by document and position, the merge-join is a scan of neighbours and shuffles nothing.
+with itself: two neighbouring positions give a phrase of one word more, its group being the pair of theirs. The groups are counted (in
+tasks first, then over pairs of hashes), those in fewer than `least` places go, and Rk, the occurrences of the rest, is written
+for the next level. Because R is sorted by document and position, the merge-join is a scan of neighbours and shuffles nothing.
 
-The semi-join takes a bitmap of the frequent groups' hashes, of at most `MOST_BITS`, as the groups themselves may outgrow
-any broadcast. A bitmap lets some infrequent groups through, never stops a frequent one, so counts by hashes bound the real ones from
-above. A last pass counts the phrases that passed as strings; those counts are exact and decide.
+The semi-join takes a bitmap of the frequent groups' hashes, of 16 MB at most, as the groups themselves may outgrow
+any broadcast. A bitmap lets some infrequent groups through, which their count then stops, and never stops a frequent one.
 
 A candidate is a phrase of 2 to `longest` words with at least `least` occurrences. Its score is the smallest over all cuts of
 floor(2000000 * a / (l + r)), in integers of 38 digits; candidates inside longer ones of at least 80 % of
-their count go. The best `top` of each language are ranked in two steps, so no task gets all candidates of a language.
+their count go. Counts of all parts come from joining each level with the one below. The best `top` of each language are ranked in two
+steps, so no task gets all candidates of a language; a last pass over the texts spells those and the ones that tie with the last.
 
-Defined cases: null and empty texts have no words; a null language is `und`; a language without candidates has no row; repeated rows count each; ties go by occurrences, then by bytes; an empty table gives an empty result; other columns are ignored.
+Words are told apart by 64 bits of hash, phrases by the pair of their parts' hashes.
+
+Defined cases: null and empty texts have no words; a null language is `und`; a language without candidates has no row; repeated rows
+count each; ties go by occurrences, then by bytes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from siftwave.llm.byte_hash import Spans, blocks, mix
+from siftwave.functions.byte_hash import Spans, bitmap_of, blocks, mix, passes
 from siftwave.llm.common import scratch_table
 
 #: A piece ends at these bytes; words are split at the others.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-#: Bits of a bitmap for each frequent group, and at most (16 MB).
-BITS_EACH, MOST_BITS = 32, 1 << 27
 TOGETHER = 1 << 20
+#: Phrases that a task remembers to have spelled already; it forgets them all beyond that.
+MOST_KNOWN = 500_000
+RELATION = "lang binary, gap array<int>, grp array<long>"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, np.uint8)
@@ -57,8 +61,7 @@ class Words:
         self.pos = np.arange(len(self.start)) + np.cumsum(kind == 2)[self.start]
         spans = Spans(data)
         salt = mix(np.array([hash_text(x) for x in langs], np.uint64))[self.doc] if texts else np.zeros(0, np.uint64)
-        self.full = mix(spans.hash(self.start, self.end) ^ salt)
-        self.group = self.full & np.uint64(0xFFFFFFFF)
+        self.group = mix(spans.hash(self.start, self.end) ^ salt)
 
 
 def hash_text(text: bytes) -> int:
@@ -70,44 +73,42 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(3) + mix(right))
 
 
-def passes(bitmap: np.ndarray, group: np.ndarray) -> np.ndarray:
-    bit = mix(group) & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-
-
-def merged(pos: np.ndarray, group: np.ndarray, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Semi-join with the frequent groups, then the merge-join of neighbouring positions: which rows start one, their positions and groups."""
+def merged(pos: np.ndarray, group: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Semi-join with the frequent groups, then the merge-join of neighbouring positions: which rows start a phrase, where, and its two groups."""
     at = np.flatnonzero(passes(bitmap, group))
     pos, group = pos[at], group[at]
     first = np.flatnonzero(np.diff(pos) == 1)
-    return at[first], pos[first], joined(group[first], group[first + 1])
+    return at[first], pos[first], group[first], group[first + 1]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """R1: gap (to the position before, over all documents of a batch) and group of each word, a row for each document."""
+    """R1: lang, and gap (to the position before, over all documents of a block) and group of each word; a row for each document."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = ([x or b"" for x in batch.column(i).to_pylist()] for i in (0, 1))
             for a, b in blocks(texts, TOGETHER):
                 words = Words(texts[a:b], langs[a:b])
-                yield relation(words.pos, words.group, np.searchsorted(words.doc, np.arange(b - a + 1)))
+                yield relation(batch.column(1).slice(a, b - a), words.pos, words.group, np.searchsorted(words.doc, np.arange(b - a + 1)))
+
+    return texts_of(docs).mapInArrow(tasks, RELATION)
 
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    return docs.select(F.col("text").cast("binary"), lang.cast("binary")).mapInArrow(tasks, "gap array<int>, grp array<long>")
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang"))
 
-def relation(pos: np.ndarray, group: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
+
+def relation(lang: pa.Array, pos: np.ndarray, group: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
     """One row for each slice of positions; gaps are small numbers, which files store in few bits."""
     offsets = pa.array(cut, pa.int32())
     gap = np.diff(pos, prepend=0).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(gap)), pa.ListArray.from_arrays(offsets, pa.array(group.view(np.int64)))], names=["gap", "grp"])
+    return pa.RecordBatch.from_arrays([lang, pa.ListArray.from_arrays(offsets, pa.array(gap)), pa.ListArray.from_arrays(offsets, pa.array(group.view(np.int64)))], names=["lang", "gap", "grp"])
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], together: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions and groups of some rows of a batch (about `together` occurrences), and the rows' borders. A gap of 2 or more starts each row, so that nothing joins over it."""
+def unpacked(batches: Iterator[pa.RecordBatch], together: int = 1 << 19) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Languages of some rows of a batch, their positions and groups (about `together`), and the rows' borders. A gap of 2 or more starts each row, so that nothing joins over it."""
     for batch in batches:
-        gap, group = batch.column(0), batch.column(1)
+        lang, gap, group = batch.columns
         offsets = gap.offsets.to_numpy()
         at = 0
         while at < batch.num_rows:
@@ -116,173 +117,161 @@ def unpacked(batches: Iterator[pa.RecordBatch], together: int = 1 << 19) -> Iter
             pos = gap.values.slice(cut[0], cut[-1] - cut[0]).to_numpy().astype(np.int64)
             heads = (cut - cut[0])[:-1][np.diff(cut) > 0]
             pos[heads] = np.abs(pos[heads]) + 2
-            yield np.cumsum(pos), group.values.slice(group.offsets[at].as_py(), cut[-1] - cut[0]).to_numpy().view(np.uint64), cut - cut[0]
+            yield lang.slice(at, end - at), np.cumsum(pos), group.values.slice(group.offsets[at].as_py(), cut[-1] - cut[0]).to_numpy().view(np.uint64), cut - cut[0]
             at = end
 
 
-def counted(groups: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """grp and n, summed inside the task; at most about twice `most` groups wait in memory."""
+def counted(pairs: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Different pairs (rows of two numbers) and how often each came, summed inside the task; at most about twice `most` wait in memory."""
     held: list[np.ndarray] = []
-    known, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    times: list[np.ndarray] = []
 
     def settle() -> None:
-        nonlocal known, sums
-        u, n = np.unique(np.concatenate(held), return_counts=True)
-        both, which = np.unique(np.concatenate([known, u]), return_inverse=True)
-        total = np.zeros(len(both), np.int64)
-        np.add.at(total, which, np.concatenate([sums, n]))
-        known, sums = both, total
-        held.clear()
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(sums)], names=["grp", "n"])
-
-    for g in groups:
-        held.append(g)
-        if sum(map(len, held)) > most:
+        all_, n = np.concatenate(held), np.concatenate(times)
+        order = np.lexsort((all_[:, 1], all_[:, 0]))
+        all_, n = all_[order], n[order]
+        head = np.flatnonzero(np.r_[True, (all_[1:] != all_[:-1]).any(axis=1)]) if len(all_) else np.zeros(0, np.int64)
+        held[:], times[:] = [all_[head]], [np.add.reduceat(n, head) if len(head) else n]
+
+    for p in pairs:
+        held.append(p)
+        times.append(np.ones(len(p), np.int64))
+        if sum(map(len, held[1:])) > most:
             settle()
-            if len(known) > most:
-                yield batch()
-                known, sums = known[:0], sums[:0]
+            if len(held[0]) > most:
+                yield held[0], times[0]
+                held.clear()
+                times.clear()
     if held:
         settle()
-    yield batch()
+        yield held[0], times[0]
+
+
+def frequent_words(occurring: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """lang, grp and n of words in at least `least` places, written; and lang and n of all words."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[bytes, int] = {}
+
+        def pairs() -> Iterator[np.ndarray]:
+            for lang, _, group, cut in unpacked(batches):
+                own = np.array([names.setdefault(x, len(names)) for x in lang.to_pylist()], np.int64)
+                yield np.stack([np.repeat(own, np.diff(cut)).view(np.uint64), group], axis=1)
+
+        for found, n in counted(pairs()):
+            langs = pa.DictionaryArray.from_arrays(pa.array(found[:, 0].astype(np.int32)), pa.array(list(names) or [b""], pa.binary())).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([langs, pa.array(np.ascontiguousarray(found[:, 1]).view(np.int64)), pa.array(n)], names=["lang", "grp", "n"])
+            sums = np.bincount(found[:, 0].astype(np.int64), weights=n, minlength=len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.binary()), pa.nulls(len(names), pa.int64()), pa.array(sums)], names=["lang", "grp", "n"])
+
+    counts = occurring.mapInArrow(tasks, "lang binary, grp long, n long").groupBy("lang", "grp").agg(F.sum("n").alias("n"))
+    both = scratch_table(counts.filter(F.col("grp").isNull() | (F.col("n") >= least)).withColumn("lang", F.col("lang").cast("string")), "frequent-words")
+    return both.filter(F.col("grp").isNotNull()), both.filter(F.col("grp").isNull()).select("lang", "n")
 
 
-def frequent(occurring: DataFrame, bitmap, least: int) -> DataFrame:
-    """grp and n of the groups of the next level (of the same one without a bitmap) in at least `least` places, written."""
+def frequent_pairs(occurring: DataFrame, bitmap, least: int) -> DataFrame:
+    """left, right, grp and n of the phrases of the next level in at least `least` places, written."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from counted(merged(p, g, bitmap.value)[2] if bitmap else g for p, g, _ in unpacked(batches))
+        for found, n in counted(np.stack(merged(pos, group, bitmap.value)[2:], axis=1) for _, pos, group, _ in unpacked(batches)):
+            left, right = (np.ascontiguousarray(found[:, i]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(n)], names=["left", "right", "n"])
 
-    sums = occurring.mapInArrow(tasks, "grp long, n long").groupBy("grp").agg(F.sum("n").alias("n"))
-    return scratch_table(sums.filter(F.col("n") >= least), "frequent-groups")
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(joined(left, right).view(np.int64))], names=["left", "right", "n", "grp"])
+
+    sums = occurring.mapInArrow(tasks, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return scratch_table(sums.mapInArrow(named, "left long, right long, n long, grp long"), "frequent-pairs")
 
 
 def next_relation(occurring: DataFrame, before, now) -> DataFrame:
     """Rk: the occurrences of frequent groups, written as sorted as R(k-1) was."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pos, group, cut in unpacked(batches):
-            at, pos, group = merged(pos, group, before.value)
+        for lang, pos, group, cut in unpacked(batches):
+            at, pos, left, right = merged(pos, group, before.value)
+            group = joined(left, right)
             keep = passes(now.value, group)
-            yield relation(pos[keep], group[keep], np.searchsorted(at[keep], cut))
-
-    return scratch_table(occurring.mapInArrow(tasks, "gap array<int>, grp array<long>"), "occurrences")
+            yield relation(lang, pos[keep], group[keep], np.searchsorted(at[keep], cut))
 
+    return scratch_table(occurring.mapInArrow(tasks, RELATION), "occurrences", compression="zstd")
 
-def bitmap_of(groups: DataFrame):
-    """A broadcast bitmap of the groups' hashes: its size follows their number up to MOST_BITS, beyond which more groups share bits."""
-    n = groups.count()
-    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * n - 1).bit_length())) if n else 1 << 16
-
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(bits // 64, np.uint64)
-        for batch in batches:
-            bit = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)
-            np.bitwise_or.at(mine, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
-        at = np.flatnonzero(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mine[at].view(np.int64))], names=["at", "word"])
 
-    words = groups.select("grp").mapInArrow(folded, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[words["at"].to_numpy()] = words["word"].to_numpy().view(np.uint64)
-    return groups.sparkSession.sparkContext.broadcast(out)
+def mine_phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[list[DataFrame], DataFrame]:
+    """A table for each number of words, of the phrases with at least `least` occurrences: lang, grp, n and, from two words on, the groups left and right
+    of its first and last part of one word less, and pre and suf, the counts of its beginnings and ends of 1, 2, ... words; and the words of each language (lang, n)."""
+    occurring = scratch_table(occurrences(docs), "occurrences", compression="zstd")
+    words, totals = frequent_words(occurring, least)
+    levels, bitmap = [words.withColumns({c: F.array().cast("array<long>") for c in ("pre", "suf")})], bitmap_of(words.select("grp"))
+    for k in range(2, longest + 1):
+        pairs, below = frequent_pairs(occurring, bitmap, least), levels[-1]
+        left = below.select(F.col("grp").alias("left"), "lang", F.concat("pre", F.array("n")).alias("pre"))
+        right = below.select(F.col("grp").alias("right"), F.concat("suf", F.array("n")).alias("suf"))
+        levels.append(scratch_table(pairs.join(left, "left").join(right, "right").select("lang", "grp", "n", "left", "right", "pre", "suf"), "phrases"))
+        if k < longest:
+            now = bitmap_of(levels[-1].select("grp"))
+            occurring, bitmap = next_relation(occurring, bitmap, now), now
+    return levels, totals
 
 
-def exact_counts(docs: DataFrame, bitmaps: list, most: int = 300_000) -> DataFrame:
-    """lang, phrase, n_words and a of the phrases that pass the bitmaps; phrase null: all words of the language."""
+def spelled(docs: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
+    """`phrases` (k, grp, ...) with their text: one pass over the texts, of which only phrases in a bitmap of the wanted ones become rows."""
+    bitmap = bitmap_of(phrases.select(F.col("grp").bitwiseXOR(F.col("k")).alias("grp")), bits_each=1024)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [b.value for b in bitmaps]
-        held: dict[tuple[int, int, int], list] = {}
+        known: set[tuple[int, int]] = set()
         for batch in batches:
             texts, langs = ([x or b"" for x in batch.column(i).to_pylist()] for i in (0, 1))
             for a, b in blocks(texts, TOGETHER):
-                add_phrases(Words(texts[a:b], langs[a:b]), langs[a:b], maps, held)
-                if len(held) > most:
-                    yield phrase_rows(held)
-                    held.clear()
-        yield phrase_rows(held)
-
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    counts = docs.select(F.col("text").cast("binary"), lang.cast("binary")).mapInArrow(tasks, "lang binary, phrase binary, n_words int, a long")
-    text = lambda c: F.col(c).cast("string").alias(c)
-    return counts.select(text("lang"), text("phrase"), "n_words", "a").groupBy("lang", "phrase", "n_words").agg(F.sum("a").alias("a"))
-
-
-def add_phrases(words: Words, langs: list[bytes], maps: list[np.ndarray], held: dict) -> None:
-    """Adds the block's phrases to `held`, by number of words and two hashes of 64 bits: [language, phrase, count]."""
-    for d, n in enumerate(np.bincount(words.doc, minlength=len(langs)).tolist()):
-        if n:
-            held.setdefault((0, langs[d], 0), [langs[d], None, 0])[2] += n
-    at, pos, group = np.arange(len(words.start)), words.pos, words.group
-    one, two = words.full, mix(words.full + np.uint64(7))
-    for k, bitmap in enumerate(maps, 1):
-        if k > 1:
-            first, pos, group = merged(pos, group, maps[k - 2])
-            at, one, two = at[first], joined(one[first], words.full[at[first] + k - 1]), mix(two[first] * np.uint64(5) ^ words.full[at[first] + k - 1])
-        keep = passes(bitmap, group)
-        order = np.lexsort((two[keep], one[keep]))
-        a, b, where = one[keep][order], two[keep][order], at[keep][order]
-        heads = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[heads, len(a)])
-        for x, y, i, n in zip(a[heads].tolist(), b[heads].tolist(), where[heads].tolist(), sizes.tolist(), strict=True):
-            known = held.get((k, x, y))
-            if known:
-                known[2] += n
-            else:
-                phrase = b" ".join([words.raw[words.start[j] : words.end[j]] for j in range(i, i + k)])
-                held[(k, x, y)] = [langs[words.doc[i]], phrase, n]
-
-
-def phrase_rows(held: dict) -> pa.RecordBatch:
-    langs, phrases, counts = zip(*held.values(), strict=True) if held else ((), (), ())
-    columns = [pa.array(langs, pa.binary()), pa.array(phrases, pa.binary()), pa.array([k[0] for k in held], pa.int32()), pa.array(counts, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n_words", "a"])
-
-
-def mine_phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> DataFrame:
-    """lang, phrase, n_words and a of all phrases of 1 to `longest` words with at least `least` occurrences; phrase null and n_words 0: all words."""
-    occurring, bitmaps = scratch_table(occurrences(docs), "occurrences"), []
-    for k in range(1, longest + 1):
-        bitmaps.append(bitmap_of(frequent(occurring, bitmaps[-1] if bitmaps else None, least)))
-        if 1 < k < longest:
-            occurring = next_relation(occurring, bitmaps[-2], bitmaps[-1])
-    counts = exact_counts(docs, bitmaps).filter(F.col("phrase").isNull() | (F.col("a") >= least))
-    return scratch_table(counts, "phrases")
-
-
-def part(first, n) -> Column:
-    """`n` words from word `first` (from 1) of the array `words`, as a phrase."""
-    return F.array_join(F.slice("words", first, n), " ")
+                words, out = Words(texts[a:b], langs[a:b]), []
+                at, group = np.arange(len(words.start)), words.group
+                for k in range(2, longest + 1):
+                    both = np.flatnonzero((np.diff(at) == 1) & (np.diff(words.pos[at]) == 1))
+                    at, group = at[both], joined(group[both], group[both + 1])
+                    hit = np.flatnonzero(passes(bitmap.value, group ^ np.uint64(k)))
+                    for g, i in zip(group[hit].view(np.int64).tolist(), at[hit].tolist(), strict=True):
+                        if (k, g) not in known:
+                            known.add((k, g))
+                            out.append((k, g, b" ".join([words.raw[words.start[j] : words.end[j]] for j in range(i, i + k)])))
+                if len(known) > MOST_KNOWN:
+                    known.clear()
+                ks, gs, phrases_ = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(gs, pa.int64()), pa.array(phrases_, pa.binary())], names=["k", "grp", "phrase"])
+
+    found = texts_of(docs).mapInArrow(tasks, "k int, grp long, phrase binary").groupBy("k", "grp").agg(F.min(F.col("phrase").cast("string")).alias("phrase"))
+    return phrases.join(found, ["k", "grp"])
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, salts: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the best `top` candidates of each language."""
-    phrases = mine_phrases(docs, least, longest)
-    known = phrases.filter(F.col("phrase").isNotNull()).select("lang", "phrase", "a")
-    found = phrases.filter(F.col("n_words") > 1).withColumn("words", F.split("phrase", " "))
-    # Every part of a candidate is as frequent as itself, so it is in `known`.
-    cuts = found.select("lang", "phrase", "a", "n_words", "words", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("cut"))
-    cuts = cuts.select("lang", "phrase", "a", "cut", part(F.lit(1), F.col("cut")).alias("head"), part(F.col("cut") + 1, F.col("n_words") - F.col("cut")).alias("tail"))
-    heads, tails = known.toDF("lang", "head", "l"), known.toDF("lang", "tail", "r")
-    scored = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"])
-    score = F.expr("cast(2000000 as decimal(18,0)) * cast(a as decimal(19,0)) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
-    best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("best"))
-    # Parts of longer candidates, with the greatest count of those.
-    inner = found.filter(F.col("n_words") > 2).select("lang", "a", "words", "n_words", F.explode(F.expr("sequence(2, n_words - 1)")).alias("size"))
-    inner = inner.select("lang", "a", "words", "size", F.explode(F.expr("sequence(1, n_words - size + 1)")).alias("at"))
-    longer = inner.groupBy("lang", part(F.col("at"), F.col("size")).alias("phrase")).agg(F.max("a").alias("longer"))
-    wide = lambda c, f: F.col(c).cast("decimal(19,0)") * F.lit(f).cast("decimal(9,0)")
-    left = best.join(longer, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (wide("longer", 100) < wide("a", covered)))
-    left = left.select("lang", "phrase", "a", "best.score", "best.l", "best.r")
-    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    some = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
-    some = some.withColumn("rank", F.row_number().over(W.Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top)
-    ranked = some.withColumn("rank", F.row_number().over(W.Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
-    words = phrases.filter(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
-    return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    levels, totals = mine_phrases(docs, least, longest)
+    wide = lambda c, f=1: c.cast("decimal(19,0)") * F.lit(f).cast("decimal(9,0)")
+    # From the longest phrases down: `longer`, the greatest count of a longer phrase that holds this one.
+    above, kept = None, []
+    for k in range(longest, 1, -1):
+        own = levels[k - 1]
+        own = own.join(above, "grp", "left") if above is not None else own.withColumn("longer", F.lit(None).cast("long"))
+        own = scratch_table(own, "longer")
+        most = F.greatest("n", F.coalesce("longer", F.lit(0)))
+        above = own.select(F.explode(F.array_distinct(F.array("left", "right"))).alias("grp"), most.alias("m")).groupBy("grp").agg(F.max("m").alias("longer"))
+        kept.append(own.filter(F.col("longer").isNull() | (wide(F.col("longer"), 100) < wide(F.col("n"), covered))).select(F.lit(k).alias("k"), "lang", "grp", F.col("n").alias("a"), "pre", "suf"))
+    found = kept[0]
+    for more in kept[1:]:
+        found = found.union(more)
+    # A cut after `cut` words: the beginning of so many words, and the end of the rest.
+    score = "cast(2000000 as decimal(18,0)) * cast(a as decimal(19,0)) div (cast(pre[cut - 1] as decimal(19,0)) + cast(suf[k - cut - 1] as decimal(19,0)))"
+    cuts = F.expr(f"array_min(transform(sequence(1, k - 1), cut -> struct({score} as score, cut, pre[cut - 1] as l, suf[k - cut - 1] as r)))")
+    scored = found.withColumn("best", cuts).select("k", "lang", "grp", "a", "best.score", "best.l", "best.r")
+    order = (F.desc("score"), F.desc("a"))
+    some = scored.withColumn("salt", F.pmod(F.xxhash64("grp"), F.lit(salts)))
+    some = some.withColumn("rank", F.rank().over(W.Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top)
+    some = some.withColumn("rank", F.rank().over(W.Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+    named = spelled(docs, scratch_table(some.drop("rank", "salt"), "best-phrases"), longest)
+    place = F.row_number().over(W.Window.partitionBy("lang").orderBy(*order, "phrase"))
+    ranked = named.withColumn("rank", place).filter(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op11_collocations(spark, sf_dir: str) -> DataFrame:

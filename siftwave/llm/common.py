@@ -54,11 +54,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
+def scratch_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cuts lineage: writes a table into the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siftwave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwave.llm.byte_hash import Spans, blocks, mix
+from siftwave.functions.byte_hash import Spans, blocks, mix
 from siftwave.llm.common import scratch_table, text_hash
 
 SIZE, GRAM = 200, 40

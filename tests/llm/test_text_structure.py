@@ -50,8 +50,9 @@ def test_collocations_with_small_parts(spark, monkeypatch):
     want = sorted(map(tuple, c.collocations(frame(spark, rows)).collect()))
     assert want and len(want) == len({r[2] for r in want})
     monkeypatch.setattr(c, "TOGETHER", 100)
-    monkeypatch.setattr(c, "MOST_BITS", 64)
-    monkeypatch.setattr(c, "BITS_EACH", 1)
+    monkeypatch.setattr(c, "MOST_KNOWN", 1)
+    whole = c.bitmap_of
+    monkeypatch.setattr(c, "bitmap_of", lambda df, **_: whole(df, most_bits=64))
     assert sorted(map(tuple, c.collocations(frame(spark, rows)).collect())) == want
     assert sorted(map(tuple, c.collocations(frame(spark, rows), salts=1).collect())) == want
 
