@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from siftwave.sources.files import scratch
 
 
+def order_keys(order: tuple[Column | str, ...]) -> dict[str, Column]:
+    return {f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+
+
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """`df` in a global order, written once: _part (its range) and _row (from 0 inside it).
 
     Sizes and ranks must come from one written table: a plan that deals the rows twice may sample other bounds."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = {f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    keys = order_keys(order)
     dealt = df.withColumns(keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys)
     rows = scratch(dealt.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     return rows.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")

@@ -143,15 +143,19 @@ def chunks(df: DataFrame, text: str, size: int = 1000, overlap: int = 200) -> Da
     return rows.withColumn(text, F.substring(F.col(text), F.col("chunk") * step + 1, F.lit(size)))
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: a table in the shared folder of spark.checkpoint.dir. Local sessions without one (tests) get a temporary folder; on a cluster that is an error."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """The library's folder below the shared one of spark.checkpoint.dir. Local sessions without one (tests) get a temporary folder; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+        if not (spark.conf.get("spark.master", "") or "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-siftwave-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/siftwave/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/siftwave"
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: a table in the shared folder."""
+    spark, path = df.sparkSession, f"{scratch_path(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -168,3 +168,48 @@ def counts_with_expiry(df: DataFrame, key: str, ttl_ms: int) -> DataFrame:
     Run it with a trigger of processing time: an availableNow query doesn't end, as time goes on without rows."""
     kind = f"{key} {df.schema[key].dataType.simpleString()}, n long"
     return df.select(key).groupBy(key).transformWithStateInPandas(Expiring(key, ttl_ms), kind, "Update", "ProcessingTime")
+
+
+class Claims(StatefulProcessor):
+    """Rows of one message that wait for a result, and the reasons of the results it had."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getListState("waiting", "log long")
+        self.reasons = handle.getMapState("reasons", "reason string", "n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        waiting = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
+        changed: dict[int, tuple] = {}
+        events = sorted((s, r) for part in rows for s, r in zip(part["seq"].tolist(), part["reason"].tolist(), strict=True))
+        for seq, reason in events:
+            if reason is None or reason != reason:
+                waiting.append(seq)
+                changed[seq] = (None, None)
+            else:
+                again = self.reasons.containsKey((reason,))
+                if waiting:
+                    changed[waiting.pop(0)] = (seq, reason)
+                elif not again:
+                    changed[seq] = (seq, reason)
+                if not again:
+                    self.reasons.updateValue((reason,), (1,))
+        if waiting:
+            self.waiting.put([(w,) for w in waiting])
+        else:
+            self.waiting.clear()
+        if changed:
+            out = [(key[0], log, *v) for log, v in changed.items()]
+            yield pd.DataFrame({self.key: [r[0] for r in out], "log": [r[1] for r in out], "result": pd.array([r[2] for r in out], "Int64"), "reason": [r[3] for r in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def progress_stream(events: DataFrame, key: str = "message") -> DataFrame:
+    """message, log, result, reason of every log row that a micro-batch makes or fills (update mode); events of a message count in order of `seq` inside a batch and
+    of arrival over batches. The last row of each log is what operators.progress.merge_progress gives for all events at once."""
+    rows = events.selectExpr(f"coalesce({key}, '') AS {key}", "cast(seq AS long) AS seq", "reason")
+    return rows.groupBy(key).transformWithStateInPandas(Claims(key), f"{key} string, log long, result long, reason string", "Update", "None")
