@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwave.functions.urls import is_ip
 from siftwave.operators.windows import global_position, sums_before
+from siftwave.sources.files import scratch
 
 
 #: Fixed names of the bands of agreement, from the top, with their lower bounds; and of the tags of disagreements.
@@ -16,16 +17,23 @@ HEI = ((0.85, "인간 대체 가능"), (0.75, "보조적 대체"), (-9.0, "검
 AMBIGUOUS_HUMAN, POLICY_DIFFERENCE, OVER_BLOCKING, FALSE_ALARM = "애매한 사람 판단", "정책 차이", "과차단 (보수적 정책)", "키워드 기반 오탐"
 
 
-def occurrence_index(df: DataFrame, key: str, order: str) -> DataFrame:
+def occurrence_index(df: DataFrame, key: str, order: str, large: int = 100_000) -> DataFrame:
     """Adds occ, the place of a row among those of its key, from 1.
 
-    Most keys stand once: one aggregate finds them, with their row, and only rows of repeated keys are ranked."""
+    Most keys stand once: one aggregate finds them, with their row, and only rows of repeated keys are ranked. A key of up to `large` rows is
+    ranked in one task; larger ones are cut by range partitions (see sums_before)."""
     rest = [c for c in df.columns if c != key]
-    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_row"))
+    groups = scratch(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_row")), "key-groups")
     single = groups.filter("_n = 1").select(key, "_row.*", F.lit(1).cast("long").alias("occ")).select(*df.columns, "occ")
-    repeated = groups.filter("_n > 1").select(F.col(key).alias("_key"))
-    several = df.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return single.unionByName(sums_before(several, key, order, _before=F.lit(1)).withColumn("occ", F.col("_before") + 1).drop("_before"))
+
+    def rows_of(repeated: DataFrame) -> DataFrame:
+        return df.join(repeated.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long")
+    out = single.unionByName(rows_of(groups.filter(F.col("_n").between(2, large))).withColumn("occ", place))
+    if groups.filter(F.col("_n") > large).take(1):
+        out = out.unionByName(sums_before(rows_of(groups.filter(F.col("_n") > large)), key, order, _before=F.lit(1)).withColumn("occ", F.col("_before") + 1).drop("_before"))
+    return out
 
 
 def occurrence_join(human: DataFrame, machine: DataFrame, key: str = "key", order: str = "id") -> DataFrame:

@@ -34,6 +34,7 @@ def test_running_state_of_hot_keys(spark):
         seen[k], fails[k], good[k] = seen.get(k, 0) + 1, f + bool(bad), good.get(k) or not bad
     hold = {r["o"]: (r["seen"], r["locked"]) for r in running_hold(df, "key", "o").collect()}
     strike = {r["o"]: (r["fails"], r["state"]) for r in three_strike(df, "key", "o", "bad").collect()}
-    occ = {r["o"]: r["occ"] for r in occurrence_index(df, "key", "o").collect()}
+    occ, far = ({r["o"]: r["occ"] for r in occurrence_index(df, "key", "o", large).collect()} for large in (100_000, 3))
+    assert occ == far
     for o, (n, f, state) in want.items():
         assert hold[o] == (n, n >= 10) and strike[o] == (f, state) and occ[o] == n
