@@ -77,6 +77,13 @@ def daily_trend(files: DataFrame) -> DataFrame:
     return agreement(sums)
 
 
+def day_totals(files: DataFrame) -> DataFrame:
+    """Matrices of each date and source, and of each date with the source `all`."""
+    sets = [[F.col("date"), F.col("source")], [F.col("date")]]
+    sums = files.groupingSets(sets, "date", "source").agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp", "tn")])
+    return sums.withColumn("source", F.coalesce("source", F.lit("all")))
+
+
 def policy_tag(kind: Column, machine_reason: Column, human_reason: Column) -> Column:
     vague = F.lower(human_reason).rlike("애매|모호|불명확|ambiguous")
     careful = F.lower(machine_reason).rlike("suspicious|promotional|commercial|의심|홍보|광고")

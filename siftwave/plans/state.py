@@ -1,4 +1,4 @@
-"""Queries over versioned tables, re-delivered days, progress events and long tables, and their SQL twins."""
+"""Queries over versioned tables, re-delivered days, progress events, long tables and spans, and their SQL twins."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from siftwave.operators import lookup as L
+from siftwave.operators import compare as C
 from siftwave.operators.progress import Pages, merge_progress
+from siftwave.operators.spans import candidate_spans as spans_of
 from siftwave.plans.registry import DAY_SQL, JOIN_SQL, daily_files, metrics_sql, query, table
 from siftwave.sources.files import scratch_path
 from siftwave.sources.snapshots import SnapshotTable
@@ -81,3 +83,18 @@ def deep_page(spark, d):
     """The page in the middle of all line items by price, forty to a page."""
     pages = Pages(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), -F.col("l_extendedprice"), "l_orderkey", "l_linenumber")
     return pages.page(pages.total // 80 + 1, 40)
+
+
+@query(
+    f"""WITH {JOIN_SQL}, {DAY_SQL}, s AS (SELECT date, coalesce(source, 'all') AS source, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(tn) AS BIGINT) AS tn
+FROM g GROUP BY GROUPING SETS ((date, source), (date))), {metrics_sql('s', 'date, source,')}"""
+)
+def day_metrics(spark, d):
+    """Agreement of each day by source, and of the day as a whole."""
+    return C.agreement(C.day_totals(daily_files(spark, d)))
+
+
+@query()
+def candidate_spans(spark, d):
+    """The five best candidates of every document with their original spans, through the table function."""
+    return spans_of(table(spark, d, "documents"), "doc_id", "text")

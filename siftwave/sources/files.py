@@ -120,6 +120,17 @@ def write_tables(frames: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def find_table(names: list[str], token: str, marker: str = "") -> str | None:
+    """The first name that holds `token`, else the first one that holds `marker`, else the first of all (none: None)."""
+    holding = lambda part: next((n for n in names if part and part in n), None)
+    return holding(token) or holding(marker) or (names[0] if names else None)
+
+
+def dump_csv(df: DataFrame, path: str) -> None:
+    """A table as CSV with a header; line breaks and quotes inside cells are kept."""
+    df.write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+
+
 def export_text(diffs: DataFrame, path: str, kind: str | None = None) -> None:
     """The messages of disagreements (of one kind) as lines."""
     rows = diffs.filter(F.col("kind") == kind) if kind else diffs

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siftwave.operators.windows import global_position
 from siftwave.sources.files import date_and_source, file_name
 
 
@@ -24,6 +25,16 @@ def emit(results: DataFrame, path: str, checkpoint: str, available_now: bool = F
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
+def parts_of(batch: DataFrame, order: str, most: int = 2000) -> Iterator[DataFrame]:
+    """A batch in parts of at most `most` rows, in order of a unique column."""
+    placed = global_position(batch, order, name="_pos").persist()
+    try:
+        for first in range(0, placed.count(), most):
+            yield placed.filter(F.col("_pos").between(first + 1, first + most)).drop("_pos")
+    finally:
+        placed.unpersist()
+
+
 def in_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Hands each micro-batch and its number to `handle`; what a batch caches is let go when it ends. A batch may come again after a failure, so handlers should be keyed by its number."""
 

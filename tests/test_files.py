@@ -94,3 +94,27 @@ def test_three_strikes_stream(spark, tmp_path):
     df = stream(spark, tmp_path, "k string, seq long, failed boolean", [first, [row("a", 3, True), row("a", 4, False), row("b", 3, True), row("b", 4, True)]])
     rows = final(K.three_strikes(df, "k", "failed"), spark, tmp_path, "strikes", "k")
     assert {k: v[-1] for k, v in rows.items()} == {"a": ("a", 4, 3, "blocked"), "b": ("b", 4, 1, "open"), "c": ("c", 1, 1, "trying")}
+
+
+def test_tables_by_name_and_csv(spark, tmp_path):
+    from siftwave.sources.files import dump_csv, find_table
+
+    names = ["Sheet1", "URL 중복", "육안분석_1"]
+    assert find_table(names, "육안분석") == "육안분석_1" and find_table(names, "x", "URL") == "URL 중복" and find_table(names, "x") == "Sheet1" and find_table([], "x") is None
+    rows = [(1, 'a "b", c'), (2, "x\ny"), (3, None)]
+    dump_csv(spark.createDataFrame(rows, "id int, t string"), f"{tmp_path}/csv")
+    back = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(f"{tmp_path}/csv", schema="id int, t string")
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_parts_of_a_batch(spark):
+    from siftwave.streaming.sinks import parts_of
+
+    df = spark.range(4501).withColumnRenamed("id", "seq").repartition(7)
+    sizes, seen = [], []
+    for part in parts_of(df, "seq"):
+        own = sorted(r["seq"] for r in part.collect())
+        sizes.append(len(own))
+        seen += own
+    assert sizes == [2000, 2000, 501] and seen == list(range(4501))
+    assert list(parts_of(df.limit(0), "seq")) == []
