@@ -120,10 +120,11 @@ def write_tables(frames: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def find_table(names: list[str], token: str, marker: str = "") -> str | None:
-    """The first name that holds `token`, else the first one that holds `marker`, else the first of all (none: None)."""
-    holding = lambda part: next((n for n in names if part and part in n), None)
-    return holding(token) or holding(marker) or (names[0] if names else None)
+def find_table(tables: dict[str, list[str]], token: str, marker: str) -> str | None:
+    """Of named tables with their columns: the first whose name holds `token`, else the first with the column `marker`, else the second, else the only one."""
+    names = list(tables)
+    by_name = next((n for n in names if token in n), None)
+    return by_name or next((n for n in names if marker in tables[n]), None) or (names[1] if len(names) > 1 else next(iter(names), None))
 
 
 def dump_csv(df: DataFrame, path: str) -> None:

@@ -99,8 +99,9 @@ def test_three_strikes_stream(spark, tmp_path):
 def test_tables_by_name_and_csv(spark, tmp_path):
     from siftwave.sources.files import dump_csv, find_table
 
-    names = ["Sheet1", "URL 중복", "육안분석_1"]
-    assert find_table(names, "육안분석") == "육안분석_1" and find_table(names, "x", "URL") == "URL 중복" and find_table(names, "x") == "Sheet1" and find_table([], "x") is None
+    tables = {"Sheet1": ["a"], "Sheet2": ["b"], "Result": ["message", "gubun"]}
+    assert find_table(tables, "Result", "x") == "Result" and find_table(tables, "none", "gubun") == "Result" and find_table(tables, "none", "x") == "Sheet2"
+    assert find_table({"Sheet1": ["a"]}, "none", "x") == "Sheet1" and find_table({}, "none", "x") is None
     rows = [(1, 'a "b", c'), (2, "x\ny"), (3, None)]
     dump_csv(spark.createDataFrame(rows, "id int, t string"), f"{tmp_path}/csv")
     back = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(f"{tmp_path}/csv", schema="id int, t string")
