@@ -46,9 +46,12 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only in local sessions where that is unset (tests), an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-siftwave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
