@@ -38,6 +38,8 @@ BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 TOGETHER = 1 << 20
 #: Phrases that a task remembers to have spelled already; it forgets them all beyond that.
 MOST_KNOWN = 500_000
+#: Up to so many frequent groups of a level are broadcast by name (32 MB); pairs of more travel as hashes.
+MOST_NAMED = 4 << 20
 RELATION = "lang binary, gap array<int>, grp array<long>"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -169,18 +171,38 @@ def frequent_words(occurring: DataFrame, least: int) -> tuple[DataFrame, DataFra
     return both.filter(F.col("grp").isNotNull()), both.filter(F.col("grp").isNull()).select("lang", "n")
 
 
-def frequent_pairs(occurring: DataFrame, bitmap, least: int) -> DataFrame:
-    """left, right, grp and n of the phrases of the next level in at least `least` places, written."""
+def names_of(groups: DataFrame):
+    """A broadcast sorted array of the groups' hashes, so that a group can be named by its place in it; None for more than `MOST_NAMED` groups."""
+    if groups.count() > MOST_NAMED:
+        return None
+    return groups.sparkSession.sparkContext.broadcast(np.sort(groups.select("grp").toArrow()["grp"].to_numpy().view(np.uint64)))
+
+
+def frequent_pairs(occurring: DataFrame, bitmap, names, least: int) -> DataFrame:
+    """left, right, grp and n of the phrases of the next level in at least `least` places, written.
+
+    With `names`, pairs are shuffled as pairs of places in it, which take half the bytes of hashes; the result is the same."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, pos, group, _ in unpacked(batches):
+            both = np.stack(merged(pos, group, bitmap.value)[2:], axis=1)
+            if names:
+                place = np.searchsorted(names.value, both)
+                known = (names.value[np.minimum(place, len(names.value) - 1)] == both).all(axis=1) if len(names.value) else np.zeros(len(both), bool)
+                both = place[known].astype(np.uint64)
+            yield both
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, n in counted(np.stack(merged(pos, group, bitmap.value)[2:], axis=1) for _, pos, group, _ in unpacked(batches)):
+        for found, n in counted(pairs(batches)):
             left, right = (np.ascontiguousarray(found[:, i]) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(n)], names=["left", "right", "n"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(joined(left, right).view(np.int64))], names=["left", "right", "n", "grp"])
+            if names:
+                left, right = (names.value[x.astype(np.int64)] for x in (left, right))
+            yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), b.column(2), pa.array(joined(left, right).view(np.int64))], names=["left", "right", "n", "grp"])
 
     sums = occurring.mapInArrow(tasks, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return scratch_table(sums.mapInArrow(named, "left long, right long, n long, grp long"), "frequent-pairs")
@@ -206,7 +228,8 @@ def mine_phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[li
     words, totals = frequent_words(occurring, least)
     levels, bitmap = [words.withColumns({c: F.array().cast("array<long>") for c in ("pre", "suf")})], bitmap_of(words.select("grp"))
     for k in range(2, longest + 1):
-        pairs, below = frequent_pairs(occurring, bitmap, least), levels[-1]
+        below = levels[-1]
+        pairs = frequent_pairs(occurring, bitmap, names_of(below), least)
         left = below.select(F.col("grp").alias("left"), "lang", F.concat("pre", F.array("n")).alias("pre"))
         right = below.select(F.col("grp").alias("right"), F.concat("suf", F.array("n")).alias("suf"))
         levels.append(scratch_table(pairs.join(left, "left").join(right, "right").select("lang", "grp", "n", "left", "right", "pre", "suf"), "phrases"))

@@ -51,6 +51,7 @@ def test_collocations_with_small_parts(spark, monkeypatch):
     assert want and len(want) == len({r[2] for r in want})
     monkeypatch.setattr(c, "TOGETHER", 100)
     monkeypatch.setattr(c, "MOST_KNOWN", 1)
+    monkeypatch.setattr(c, "MOST_NAMED", 0)
     whole = c.bitmap_of
     monkeypatch.setattr(c, "bitmap_of", lambda df, **_: whole(df, most_bits=64))
     assert sorted(map(tuple, c.collocations(frame(spark, rows)).collect())) == want
