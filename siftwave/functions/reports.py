@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from siftwave.functions.text import strip_space
+from siftwave.functions.text import nfkc, strip_space
 
 #: Prefixes that carriers and senders put before messages, markers in reasons, code descriptions.
 PREFIXES = "web발신|웹발신|국제발신|로밍발신|광고|fw|fwd"
@@ -29,12 +25,6 @@ CODES = {
 ANCHORS = ("harm_anchor", "route_or_cta")
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(c: pd.Series) -> pd.Series:
-    """Compatibility normal form; Spark has no built-in for it."""
-    return c.map(lambda s: None if s is None or s.isascii() else unicodedata.normalize("NFKC", s)).fillna(c)
-
-
 def message_key(c: Column) -> Column:
     """Comparison key: normal form, without leading carrier and advertising marks, letters and digits only."""
     bare = strip_space(F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), rf"(?iU)^(?:\W*(?:{PREFIXES})\W*)+", ""))

@@ -40,13 +40,6 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(F.when(F.octet_length(c) != _size(c), c)), c)
 
 
-def compare_key(c: Column) -> Column:
-    """Letters, digits and underscores only; a text of none keeps what is left without white space."""
-    bare = strip_space(c)
-    words = F.regexp_replace(bare, r"(?U)[^\w]", "")
-    return F.when(words == "", bare).otherwise(words)
-
-
 def approx_bytes(c: Column) -> Column:
     """Two bytes for each non-ASCII character, one for others."""
     return _size(c) + F.when(F.octet_length(c) == _size(c), 0).otherwise(F.regexp_count(c, F.lit(r"[^\x00-\x7F]")))
