@@ -26,16 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from siftwave.functions.byte_hash import Spans, bitmap_of, blocks, mix, passes
+from siftwave.functions.byte_hash import Spans, bitmap_of, mix, passes
 from siftwave.llm.common import scratch_table
 
 #: A piece ends at these bytes; words are split at the others.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 #: Phrases that a task remembers to have spelled already; it forgets them all beyond that.
 MOST_KNOWN = 500_000
 #: Up to so many frequent groups of a level are broadcast by name (32 MB); pairs of more travel as hashes.
@@ -88,14 +89,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = ([x or b"" for x in batch.column(i).to_pylist()] for i in (0, 1))
-            for a, b in blocks(texts, TOGETHER):
-                words = Words(texts[a:b], langs[a:b])
-                yield relation(batch.column(1).slice(a, b - a), words.pos, words.group, np.searchsorted(words.doc, np.arange(b - a + 1)))
+            for part in parts_of(batch):
+                words, n = Words(*part_lists(part)), part.num_rows
+                yield relation(part.column(1), words.pos, words.group, np.searchsorted(words.doc, np.arange(n + 1)))
 
     return texts_of(docs).mapInArrow(tasks, RELATION)
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about TOGETHER bytes of text; only one at a time becomes Python objects."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        end = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def part_lists(part: pa.RecordBatch) -> list[list[bytes]]:
+    return [[x or b"" for x in c.to_pylist()] for c in part.columns]
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang"))
 
@@ -107,7 +122,7 @@ def relation(lang: pa.Array, pos: np.ndarray, group: np.ndarray, cut: np.ndarray
     return pa.RecordBatch.from_arrays([lang, pa.ListArray.from_arrays(offsets, pa.array(gap)), pa.ListArray.from_arrays(offsets, pa.array(group.view(np.int64)))], names=["lang", "gap", "grp"])
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], together: int = 1 << 19) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+def unpacked(batches: Iterator[pa.RecordBatch], together: int = 1 << 18) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """Languages of some rows of a batch, their positions and groups (about `together`), and the rows' borders. A gap of 2 or more starts each row, so that nothing joins over it."""
     for batch in batches:
         lang, gap, group = batch.columns
@@ -123,7 +138,7 @@ def unpacked(batches: Iterator[pa.RecordBatch], together: int = 1 << 19) -> Iter
             at = end
 
 
-def counted(pairs: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def counted(pairs: Iterator[np.ndarray], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Different pairs (rows of two numbers) and how often each came, summed inside the task; at most about twice `most` wait in memory."""
     held: list[np.ndarray] = []
     times: list[np.ndarray] = []
@@ -246,9 +261,8 @@ def spelled(docs: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[int, int]] = set()
         for batch in batches:
-            texts, langs = ([x or b"" for x in batch.column(i).to_pylist()] for i in (0, 1))
-            for a, b in blocks(texts, TOGETHER):
-                words, out = Words(texts[a:b], langs[a:b]), []
+            for part in parts_of(batch):
+                words, out = Words(*part_lists(part)), []
                 at, group = np.arange(len(words.start)), words.group
                 for k in range(2, longest + 1):
                     both = np.flatnonzero((np.diff(at) == 1) & (np.diff(words.pos[at]) == 1))
