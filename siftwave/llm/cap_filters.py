@@ -213,8 +213,8 @@ def links_in_groups(threshold: float, dim: int, step: int = 100_000):
     return run
 
 
-def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = 0.98, block: int = 1024) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row for each row of `vectors`. A code is made for each length of vectors, of which there should be few."""
+def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = 0.98, block: int = 1024, relevant: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row for each row of `vectors`. `relevant` sets the directions of a vector by hand. A code is made for each length of vectors, of which there should be few."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), as_bytes("embedding").alias("v"), F.size("embedding").alias("dim"))
     rows = scratch_table(rows.withColumn("h", F.when(F.col("label").isNotNull(), F.md5("v"))), "vectors")
     # Copies: one vector goes on for each label and value, under a number of its own, as ids may repeat.
@@ -224,15 +224,16 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     seen = classes.select("id", F.col("copies").alias("n"), F.col("id").alias("least")).limit(0)
     per_label = classes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n"))
     for dim, n, largest in per_label.groupBy("dim").agg(F.sum("n"), F.max("n")).collect():
-        code, relevant = ProductCode.fitted(dim, largest, threshold, recall) if dim > 1 else (None, 1)
+        code, fitted = ProductCode.fitted(dim, largest, threshold, recall) if dim > 1 else (None, 1)
+        each = relevant or fitted
         own = classes.filter(F.col("dim") == dim).select("id", "label", "copies", "v")
-        own = scratch_table(own.mapInArrow(filters_of(dim, code, relevant), "id long, label string, copies long, v binary, filters array<long>"), "filters")
+        own = scratch_table(own.mapInArrow(filters_of(dim, code, each), "id long, label string, copies long, v binary, filters array<long>"), "filters")
         found = own.select("id", "label", F.explode("filters").alias("filter"))
         counts = found.groupBy("label", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         placed = found.join(counts, ["label", "filter"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         meets = meets.select("label", "filter", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "id", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
-        groups = max(1, n * relevant // (4 * block))
+        groups = max(1, n * each // (4 * block))
         meets = meets.join(own.drop("label"), "id").withColumn("g", F.pmod(F.xxhash64("label", "filter", "p", "q"), F.lit(groups)))
         seen = seen.union(meets.groupBy("g").applyInArrow(links_in_groups(threshold, dim), "id long, n long, least long"))
     seen = scratch_table(seen, "vector-links")
