@@ -9,6 +9,7 @@ from siftwave.functions import reports as R
 from siftwave.functions import urls as U
 from siftwave.operators import clusters as K
 from siftwave.operators import signature_fit as G
+from siftwave.plans import texts
 
 
 def one(spark, f, *values):
@@ -64,7 +65,8 @@ def greedy(rows, share):
     for seq, norm in rows:
         if not norm:
             continue
-        own = next((lead for lead, text in leaders if text == norm or SequenceMatcher(None, text, norm).ratio() >= share), None)
+        able = [(lead, text) for lead, text in leaders if 2 * min(len(text), len(norm)) >= share * (len(text) + len(norm)) - 1e-9]
+        own = next((lead for lead, text in able if text == norm or SequenceMatcher(None, text, norm).ratio() >= share), None)
         if own is None:
             leaders.append((seq, norm))
             own = seq
@@ -92,6 +94,47 @@ def test_leader_clusters_equal_the_greedy_scan(spark):
     assert K.leader_clusters(df.limit(0), "id", "text").collect() == []
 
 
+def test_blocks_start_from_rare_characters():
+    r = random.Random(11)
+    for n in (199, 200, 350, 900):
+        for letters in ("ab", "etaoinshrdlu", "".join(map(chr, range(97, 123))) + "가나다라마바사0123456789"):
+            body = "".join(r.choice(letters) for _ in range(n))
+            other = "".join(r.choice([c, c, c, c, c, c, c, "", r.choice(letters)]) for c in body)
+            for x, y in ((body, other), (other, body), ("zz" + body, other)):
+                blocks = [b for b in SequenceMatcher(None, x, y).get_matching_blocks() if b.size]
+                assert len(blocks) <= 1 + (K.rare_places(K.codes_of(y)) if len(y) >= K.SEEDED else len(y))
+                matched = sum(b.size for b in blocks)
+                for q in (3, *K.LONG_GRAMS):
+                    assert K.common_grams(x, y, q) >= matched - (q - 1) * len(blocks)
+
+
+def test_leader_clusters_of_long_texts(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz가나다0123456789") for _ in range(r.randrange(2, 9))) for _ in range(150)]
+    rows = []
+    while len(rows) < 150:
+        t = r.choice(rows)[1] if rows and r.random() < 0.6 else "".join(r.choice(words) for _ in range(r.randrange(5, 90)))
+        s = list(t)
+        for _ in range(int(len(s) * r.choice([0, 0.01, 0.05, 0.08, 0.12]))):
+            at = r.randrange(len(s))
+            s[at : at + r.choice([0, 1])] = r.choice(["", "q", "가"])
+        rows.append((len(rows), "".join(s)))
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = greedy(rows, 0.85)
+    assert len(want) > 60
+    hot = K.HOT
+    for K.HOT in (hot, 3):  # frequent grams in slices
+        assert {tuple(x) for x in K.leader_clusters(df, "id", "text").collect()} == want
+    K.HOT = hot
+
+
+def test_message_clusters(spark):
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()
+    want = greedy([(x["doc_id"], "".join((x["text"] or "").split())) for x in rows], 0.85)
+    assert {tuple(x) for x in texts.message_clusters(spark, d).collect()} == want
+
+
 def test_fitted_signatures_keep_to_the_policy(spark):
     r = random.Random(5)
     for _ in range(500):
