@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwave.functions.text import strip_space
+from siftwave.operators.spans import character_bytes
 from siftwave.operators.tables import SENTENCE_BYTES, STRING_BYTES
 
 #: Patterns of anchors and what they are worth.
@@ -49,59 +52,75 @@ def best_anchors(df: DataFrame, id: str, body: str, size) -> DataFrame:
     return scored.groupBy(id).agg(F.count("c").alias("n"), F.max("s").alias("s")).select(id, "n", "s.text", "s.score")
 
 
-def byte_size(s: str) -> int:
-    return len(s.encode("cp949", errors="replace"))
-
-
-def cut_to(s: str, most: int) -> str:
-    """The longest start of at most so many bytes."""
-    end = len(s) if byte_size(s) <= most else next(i for i in range(len(s)) if byte_size(s[: i + 1]) > most)
-    return s[:end]
-
-
-def widened(body: str, at: int, s: str, least: int, most: int, full: int) -> str:
-    """Grows a part of the body by one character on the left and one on the right in turn, to `least` bytes.
-
-    The left may grow up to `most` bytes; the right, too, but only from parts of under `full`."""
-    lo, hi = at, at + len(s)
-    while byte_size(body[lo:hi]) < least:
-        before = lo, hi
-        if lo and byte_size(body[lo - 1 : hi]) <= most:
-            lo -= 1
-        if hi < len(body) and byte_size(body[lo:hi]) < full and byte_size(body[lo : hi + 1]) <= most:
-            hi += 1
-        if (lo, hi) == before:
-            break
-    return body[lo:hi]
-
-
-def fitted(body: str, signature: str, decision: str) -> tuple[str, str]:
-    """Decision and signature after the fallback block, fitting, and the check that the body holds it."""
-    string, sentence = STRING_BYTES[1], SENTENCE_BYTES[1]
-    if not signature or decision == "unextractable":
-        block = next((b for b in re.split(BLOCK_MARKS, body) if len(b.encode("cp949", errors="ignore")) >= SENTENCE_BYTES[0]), None)
-        if block is None:
-            return decision, signature
-        decision, signature = "use_sentence", cut_to(block, sentence)
-    if decision in ("use_string", "use_sentence"):
-        signature = "".join(signature.split())
-        at = body.find(signature)
-        if decision == "use_string":
-            if at >= 0:
-                signature = widened(body, at, signature, STRING_BYTES[0], string, STRING_BYTES[0])
-            signature = cut_to(signature, string)
-        else:
-            if at >= 0:
-                signature = widened(body, at, signature, SENTENCE_BYTES[0], sentence, sentence)
-            short = byte_size(signature) < SENTENCE_BYTES[0]
-            decision, signature = ("use_string", cut_to(signature, string)) if short else (decision, cut_to(signature, sentence))
-    if signature and signature not in body and decision != "unextractable":
-        return "unextractable", ""
-    return decision, signature
-
-
-@F.pandas_udf(T.StructType().add("decision", T.StringType()).add("signature", T.StringType()).add("bytes", T.IntegerType()))
-def fit_signature(body: pd.Series, signature: pd.Series, decision: pd.Series) -> pd.DataFrame:
-    """Decision, signature and bytes of a proposal for a text without white space; nulls count as empty and unextractable."""
-    rows = [fitted(b or "", s or "", d or "unextractable") for b, s, d in zip(body, signature, decision, strict=True)]
-    return pd.DataFrame([(d, s, byte_size(s)) for d, s in rows], columns=["decision", "signature", "bytes"])
+#: What a row of fit_spans() is: a text that stays, a string, a sentence, and a body whose first long block is wanted, with the text that stays behind it if there is none.
+KEEP, STRING, SENTENCE, BLOCK = range(4)
+LEASTS, MOSTS, ROOMS = (np.array(v) for v in ((0, STRING_BYTES[0], SENTENCE_BYTES[0], 0), (1 << 40, STRING_BYTES[1], SENTENCE_BYTES[1], SENTENCE_BYTES[1]), (0, STRING_BYTES[0], SENTENCE_BYTES[1], 0)))
+
+
+def first_blocks(text: str, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first block of a sentence's bytes begins in each part of a text, -1 if there is none, and where it ends: blocks lie between marks and ends of lines."""
+    marks = np.array([(0, 0), *(m.span() for m in re.finditer(rf"\n|{BLOCK_MARKS}", text)), (len(text), len(text))])
+    lo, hi = marks[:-1, 1], marks[1:, 0]
+    long = sums[hi] - sums[lo] >= SENTENCE_BYTES[0]
+    lo, hi = np.append(lo[long], len(text) + 1), np.append(hi[long], len(text) + 1)
+    at = np.searchsorted(lo, start)
+    return np.where(lo[at] < stop, lo[at], -1), hi[at]
+
+
+def fit_spans(texts: list[str], at: np.ndarray, n: np.ndarray, kind: np.ndarray, grow: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Kind, start, stop and bytes of the part of each text that keeps to the policy, from the part of n characters at `at`; all rows at once, on sums of bytes.
+
+    A part that may grow takes a character on the left, then one on the right, and so on, until it has the least bytes of its kind; a last one
+    on the right if the most allow it. Short sentences become strings. Longer parts are cut."""
+    text = "\n".join(texts)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = character_bytes(codes)
+    sums, known_sums = (np.cumsum(np.r_[0, v]) for v in (np.maximum(known, 1), known))
+    size = np.array([len(t) for t in texts])
+    start = np.cumsum(np.r_[0, size + 1])[:-1]
+    stop = start + size
+    wanted = kind == BLOCK
+    block, end = first_blocks(text, known_sums, start, stop - n) if wanted.any() else (start, stop)
+    some = wanted & (block >= 0)
+    lo = np.where(some, block, np.where(wanted, stop - n, start + at))
+    hi = np.where(some, end, lo + n)
+    kind = np.where(wanted, np.where(some, SENTENCE, KEEP), kind)
+    steps = np.arange(2 * SENTENCE_BYTES[0] + 2)
+    left = lo[:, None] - np.minimum((steps + 1) // 2, (lo - start)[:, None])
+    right = hi[:, None] + np.minimum(steps // 2, (stop - hi)[:, None])
+    grown = sums[right] - sums[left]
+    enough = grown >= LEASTS[kind][:, None]
+    h = np.where(enough.any(1), enough.argmax(1), len(steps) - 1)
+    row = np.arange(len(texts))
+    more = np.minimum(h + 1, len(steps) - 1)
+    h = np.where((h % 2 == 1) & (grown[row, more] <= ROOMS[kind]), more, h) * (grow & ~wanted)
+    lo, hi = left[row, h], right[row, h]
+    kind = np.where((kind == SENTENCE) & (sums[hi] - sums[lo] < SENTENCE_BYTES[0]), STRING, kind)
+    hi = np.minimum(hi, np.searchsorted(sums, sums[lo] + MOSTS[kind], side="right") - 1)
+    return kind, lo - start, hi - start, sums[hi] - sums[lo]
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("kind", "start", "stop", "bytes")]))
+def _spans(text: pd.Series, at: pd.Series, n: pd.Series, kind: pd.Series, grow: pd.Series) -> pd.DataFrame:
+    if not len(text):
+        return pd.DataFrame({c: pd.Series(dtype="int32") for c in ("kind", "start", "stop", "bytes")})
+    found = fit_spans(text.tolist(), at.to_numpy(), n.to_numpy(), kind.to_numpy(), grow.to_numpy())
+    return pd.DataFrame(dict(zip(("kind", "start", "stop", "bytes"), found, strict=True))).astype("int32")
+
+
+def fit_signatures(df: DataFrame, body: str, signature: str, decision: str) -> DataFrame:
+    """Adds fitted_decision, fitted_signature and fitted_bytes of a proposal for a text without white space; nulls count as empty and unextractable.
+
+    Without a proposal the text's first block of a sentence's bytes stands in. Proposals that aren't in the text, not even cut, are unextractable."""
+    c = F.col
+    own = df.select("*", F.coalesce(body, F.lit("")).alias("_b"), F.coalesce(signature, F.lit("")).alias("_s"), F.coalesce(decision, F.lit("unextractable")).alias("_d"))
+    kind = F.when((c("_s") == "") | (c("_d") == "unextractable"), BLOCK).when(c("_d") == "use_string", STRING).when(c("_d") == "use_sentence", SENTENCE).otherwise(KEEP)
+    bare = own.withColumn("_k", kind).withColumn("_s", F.when(c("_k").isin(STRING, SENTENCE), strip_space(c("_s"))).otherwise(c("_s")))
+    placed = bare.withColumn("_at", F.when(c("_k").isin(STRING, SENTENCE), F.expr("locate(_s, _b)")).otherwise(0))
+    text = F.when(c("_k") == BLOCK, F.concat("_b", F.lit("\n"), "_s")).when(c("_at") > 0, c("_b")).otherwise(c("_s"))
+    based = placed.withColumn("_t", text)
+    fit = based.withColumn("_f", _spans("_t", F.greatest(c("_at") - 1, F.lit(0)), F.char_length("_s"), "_k", c("_at") > 0))
+    cut = fit.withColumn("_v", F.expr("substring(_t, _f.start + 1, _f.stop - _f.start)"))
+    lost = (c("_v") != "") & ~F.contains(c("_b"), c("_v")) & (c("_k") != BLOCK)
+    named = F.when(lost, "unextractable").when(c("_f.kind") == STRING, "use_string").when(c("_f.kind") == SENTENCE, "use_sentence").otherwise(c("_d"))
+    return cut.select(*df.columns, named.alias("fitted_decision"), F.when(lost, "").otherwise(c("_v")).alias("fitted_signature"), F.when(lost, 0).otherwise(c("_f.bytes")).alias("fitted_bytes"))

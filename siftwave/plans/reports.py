@@ -184,14 +184,44 @@ def short_urls(spark, d):
 
 # ---- signatures and clusters
 
-@query()
+def _ranges(kept) -> str:
+    """The non-ASCII characters below the ideographs of which `kept` holds, as the inside of a pattern's brackets."""
+    at, out = [c for c in range(0x80, 0x3400) if kept(chr(c))], []
+    for c in at:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+#: SQL of bytes in code page 949 for texts without ideographs: characters that it lacks count once.
+CP949_SQL = "(length({0}) + length(regexp_replace({0}, '[^" + _ranges(lambda c: c.encode("cp949", "ignore")).replace("{", "{{").replace("}", "}}") + r"\x{{ac00}}-\x{{d7a3}}]', '', 'g')))"
+FIT_SQL = rf"""b AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\t-\r \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', '', 'g') AS body FROM documents),
+p AS (SELECT doc_id, body, CASE WHEN doc_id % 5 = 4 THEN 'not in the text' ELSE substr(body, doc_id % 17 + 1, doc_id % 58 + 3) END AS given, CASE doc_id % 3 WHEN 0 THEN 'use_string' WHEN 1 THEN 'use_sentence' ELSE 'unextractable' END AS asked FROM b),
+k AS (SELECT *, replace(given, ' ', '') AS s, CASE WHEN given = '' OR asked = 'unextractable' THEN 'block' ELSE asked END AS kind,
+  list_filter(string_split_regex(body, '\(광고\)|\[광고\]|무료거부|무료수신거부'), lambda x: length(x) >= 20 AND {CP949_SQL.format('left(x, 80)')} - length(regexp_replace(left(x, 80), '[^LACKING]', '', 'g')) >= 39)[1] AS block FROM p),
+g AS (SELECT *, instr(body, s) AS pos, CASE kind WHEN 'use_string' THEN 9 ELSE 39 END AS goal FROM k),
+w AS (SELECT *, list_transform(range(0, 81), lambda h: substr(body, pos - least((h + 1) // 2, pos - 1), length(s) + least((h + 1) // 2, pos - 1) + h // 2)) AS grown FROM g WHERE kind <> 'block' AND pos > 0),
+h AS (SELECT *, list_position(list_transform(grown, lambda x: {CP949_SQL.format('x')} > goal - 1), true) AS i FROM w),
+v AS (SELECT doc_id, CASE WHEN i IS NULL THEN grown[81] WHEN i % 2 = 0 AND {CP949_SQL.format('grown[i + 1]')} <= CASE kind WHEN 'use_string' THEN 9 ELSE 40 END THEN grown[i + 1] ELSE grown[i] END AS found FROM h),
+c AS (SELECT g.*, coalesce(found, s) AS part FROM g LEFT JOIN v USING (doc_id)),
+d AS (SELECT *, CASE WHEN kind = 'block' AND block IS NULL THEN asked WHEN kind = 'block' THEN 'use_sentence' WHEN kind = 'use_sentence' AND {CP949_SQL.format('part')} < 39 THEN 'use_string' ELSE kind END AS named FROM c),
+e AS (SELECT *, CASE WHEN kind = 'block' AND block IS NULL THEN given ELSE (SELECT max_by(x, length(x)) FROM (SELECT unnest(list_transform(range(0, 41), lambda n: left(CASE kind WHEN 'block' THEN block ELSE part END, n))) AS x) WHERE {CP949_SQL.format('x')} <= CASE named WHEN 'use_string' THEN 20 ELSE 40 END) END AS cut FROM d),
+f AS (SELECT *, kind <> 'block' AND cut <> '' AND NOT contains(body, cut) AS lost FROM e)
+SELECT doc_id, CASE WHEN lost THEN 'unextractable' ELSE named END AS decision, CASE WHEN lost THEN '' ELSE cut END AS signature, CASE WHEN lost THEN 0 ELSE CAST({CP949_SQL.format('cut')} AS INT) END AS bytes FROM f"""
+FIT_SQL = FIT_SQL.replace("LACKING", _ranges(lambda c: not c.encode("cp949", "ignore")))
+
+
+@query(f"WITH {FIT_SQL}")
 def fitted_signatures(spark, d):
     """Proposals of 3 to 60 characters, some that their text doesn't hold, fitted to the policy."""
     i = F.col("doc_id")
     rows = table(spark, d, "documents").select("doc_id", T.strip_space(F.coalesce("text", F.lit(""))).alias("body"))
     proposal = F.when(i % 5 == 4, "not in the text").otherwise(F.substring(F.col("body"), (i % 17).cast("int") + 1, (i % 58).cast("int") + 3))
     decision = F.when(i % 3 == 0, "use_string").when(i % 3 == 1, "use_sentence").otherwise("unextractable")
-    return rows.select("doc_id", G.fit_signature("body", proposal, decision).alias("s")).select("doc_id", "s.*")
+    fitted = G.fit_signatures(rows.withColumns({"signature": proposal, "decision": decision}), "body", "signature", "decision")
+    return fitted.select("doc_id", F.col("fitted_decision").alias("decision"), F.col("fitted_signature").alias("signature"), F.col("fitted_bytes").alias("bytes"))
 
 
 @query()

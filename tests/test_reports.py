@@ -137,18 +137,28 @@ def test_message_clusters(spark):
 
 def test_fitted_signatures_keep_to_the_policy(spark):
     r = random.Random(5)
-    for _ in range(500):
-        body = "".join(r.choice(["가", "나", "a", "b", "(광고)", "1"]) for _ in range(r.randrange(60)))
+    size = lambda t: len(t.encode("cp949", "replace"))
+    rows = []
+    for i in range(2000):
+        body = "".join(r.choice(["가", "나", "a", "b", "(광고)", "1", "é", "漢"]) for _ in range(r.randrange(90)))
         at = r.randrange(len(body) + 1)
-        given = r.choice([body[at : at + r.randrange(45)], "없는 글"])
-        decision, signature = G.fitted(body, given, r.choice(["use_string", "use_sentence", "unextractable"]))
-        n = G.byte_size(signature)
-        assert signature in body or decision == "unextractable"
+        rows.append((i, body, r.choice([body[at : at + r.randrange(45)], "없는 글", body[at : at + 44] + "Z"]), r.choice(["use_string", "use_sentence", "unextractable"])))
+    rows += [(2000, "abcdefghijklmnop", "f g", "use_string"), (2001, "짧은글", "", "unextractable"), (2002, None, None, None), (2003, "ab" * 30, "", "use_string"), (2004, "abcdef", "abc", "use_string"), (2005, "a" * 10 + "가" * 30, "a", "use_sentence")]
+    df = spark.createDataFrame(rows, "id long, body string, signature string, decision string").repartition(3)
+    got = {x["id"]: x for x in G.fit_signatures(df, "body", "signature", "decision").collect()}
+    assert len(got) == len(rows)
+    for i, body, given, asked in rows[:2000]:
+        x = got[i]
+        decision, signature = x["fitted_decision"], x["fitted_signature"]
+        assert size(signature) == x["fitted_bytes"] and (signature in body or signature == given)
         if decision == "use_sentence" and signature:
-            assert 39 <= n <= 40
-        if decision == "use_string" and G.byte_size(body) >= 20 and given and given in body:
-            assert n <= 20
-    assert G.fitted("abcdefghijklmnop", "fg", "use_string") == ("use_string", "bcdefghij")
-    assert G.fitted("짧은글", "", "unextractable") == ("unextractable", "")
-    df = spark.createDataFrame([(None, None, None), ("abcdefghijklmnop", "f g", "use_string")], "b string, s string, d string")
-    assert [tuple(x.r) for x in df.select(G.fit_signature("b", "s", "d").alias("r")).collect()] == [("unextractable", "", 0), ("use_string", "bcdefghij", 9)]
+            assert 39 <= size(signature) <= 40
+        if asked == "use_string" and given and given in body:
+            assert decision == "use_string" and size(signature) <= 20 and (size(signature) >= 9 or signature == body)
+            assert given in signature or signature in given
+        if decision == "unextractable":
+            assert signature in ("", given)
+    fit = lambda i: (got[i]["fitted_decision"], got[i]["fitted_signature"], got[i]["fitted_bytes"])
+    assert fit(2000) == ("use_string", "bcdefghij", 9) and fit(2001) == ("unextractable", "", 0) and fit(2002) == ("unextractable", "", 0)
+    assert fit(2003) == ("use_sentence", "ab" * 20, 40) and fit(2004) == ("use_string", "abcdef", 6) and fit(2005) == ("use_sentence", "a" * 10 + "가" * 15, 40)
+    assert G.fit_signatures(df.limit(0), "body", "signature", "decision").collect() == []
