@@ -15,14 +15,18 @@ from siftwave.operators import signature_fit as G
 from siftwave.operators import windows as W
 from siftwave.plans.registry import APPROX, BARE_SQL, HOST_SQL, ITEM_SQL, JOIN_SQL, LOG_SQL, PATH_SQL, joined, output_rows, query, table, verdict_log
 
-# ---- a wide row of content and URL verdicts: flags come from digits of doc_id, URLs from pages
+# ---- a wide row of content and URL verdicts: flags come from texts and URLs, URLs from pages
 
-BITS = {"content_spam": 2, "url_spam": 3, "confirmed_safe": 4, "broken_short": 9, "short_dropped": 11, "final_spam": 2, "red_group": 7, "separated": 5, "preserve": 6}
+#: What a text or URL holds where a flag is set.
+FLAGS = {
+    "content_spam": ("text", " the "), "url_spam": ("url", "spam|/fr/|/es/"), "confirmed_safe": ("url", "^https"), "broken_short": ("url", "/[0-9]{3}$"), "short_dropped": ("url", "#top"),
+    "final_spam": ("text", r"[^\x00-\x7F]|And "), "red_group": ("text", "[A-Z]{2}|[0-9]{2}"), "separated": ("text", "[?!]|Of "), "preserve": ("url", "utm_|/[0-9]{2}[/?#]"),
+}
 REASONS = ["clean page", "decoy link", "gambling site", "error: image only", "quota exhausted"]
 URLS = "CASE doc_id % 6 WHEN 0 THEN url WHEN 1 THEN url || ', http://10.0.0.7/x' WHEN 2 THEN 'http://10.0.0.7/x' WHEN 3 THEN 'http://bare.example.com' WHEN 4 THEN '' END"
 GIVEN = "CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'http://bare.example.com/' WHEN 2 THEN 'http://10.0.0.7' WHEN 3 THEN 'http://a.example.com/(x' WHEN 4 THEN NULL ELSE url END"
 WIDE_SQL = (
-    "wide AS (SELECT doc_id, text, url, " + ", ".join(f"(doc_id // {k + 2}) % {m} = 0 AS {c}" for k, (c, m) in enumerate(BITS.items()))
+    "wide AS (SELECT doc_id, text, url, " + ", ".join(f"coalesce(regexp_matches({t}, '{p}'), false) AS {c}" for c, (t, p) in FLAGS.items())
     + f", {URLS} AS extracted, {GIVEN} AS given_url, CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(REASONS))
     + " END AS url_reason, (doc_id % 101) / 100.0 AS content_p, (doc_id % 97) / 100.0 AS url_p, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'HAM-1' ELSE CAST(doc_id % 4 AS VARCHAR) END AS code, CAST((doc_id + 1) % 4 AS VARCHAR) AS url_code,"
     + " CASE WHEN doc_id % 8 = 0 THEN 'NONE' ELSE 'sig' || CAST(doc_id AS VARCHAR) END AS signature, 'use_string' AS category FROM documents LEFT JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages))"
@@ -33,7 +37,7 @@ def wide(spark, d):
     n, i = table(spark, d, "pages").count(), F.col("doc_id")
     rows = table(spark, d, "documents").select("doc_id", "text", (i % n).alias("page_id")).join(table(spark, d, "pages").select("page_id", "url"), "page_id", "left")
     sql = lambda s: F.expr(s.replace("VARCHAR", "STRING"))
-    flags = {c: F.floor(i / (k + 2)) % m == 0 for k, (c, m) in enumerate(BITS.items())}
+    flags = {c: F.coalesce(F.col(t).rlike(p), F.lit(False)) for c, (t, p) in FLAGS.items()}
     reason = F.get(F.array(*map(F.lit, REASONS)), (i % 5).cast("int"))
     code = F.when(i % 4 == 0, "").when(i % 4 == 1, "HAM-1").otherwise((i % 4).cast("string"))
     return rows.withColumns(flags).withColumns({"extracted": sql(URLS), "given_url": sql(GIVEN), "url_reason": reason, "content_p": (i % 101) / 100.0, "url_p": (i % 97) / 100.0, "code": code, "url_code": ((i + 1) % 4).cast("string"), "signature": F.when(i % 8 == 0, "NONE").otherwise(F.concat(F.lit("sig"), i.cast("string"))), "category": F.lit("use_string")})
