@@ -352,8 +352,15 @@ def three_strike(spark, d):
 
 # ---- merge
 
-FLAGS = {"content_spam": 2, "url_spam": 3, "url_inconclusive": 11, "transactional": 5, "mismatched": 7, "decoy": 4, "safe_domain": 3, "has_input_url": 2}
-FLAGS_SQL = "c AS (SELECT doc_id, doc_id // 2 AS i, (doc_id % 101) / 100.0 AS content_p, (doc_id % 97) / 100.0 AS url_p, CAST(doc_id % 4 AS VARCHAR) AS content_code, CAST((doc_id + 1) % 4 AS VARCHAR) AS url_code, " + ", ".join(f"(doc_id // {k + 1}) % {m} = 0 AS {c}" for k, (c, m) in enumerate(FLAGS.items())) + " FROM documents)"
+#: What a text, or the URL beside it, holds where a flag is set.
+FLAGS = {
+    "content_spam": ("text", " the "), "url_spam": ("url", "spam|/fr/|/es/|#top"), "url_inconclusive": ("url", "/[0-9]{3}$"), "transactional": ("text", "[A-Z]{2}|[0-9]{2}|Of "),
+    "mismatched": ("text", "[?!]|And "), "decoy": ("text", r"[^\x00-\x7F]|In "), "safe_domain": ("url", r"\.example\.(com|org)"), "has_input_url": ("url", "^https"),
+}
+FLAGS_SQL = (
+    "c AS (SELECT doc_id, (n_chars % 101) / 100.0 AS content_p, (n_chars % 97) / 100.0 AS url_p, CAST(n_chars % 4 AS VARCHAR) AS content_code, CAST((n_chars + 1) % 4 AS VARCHAR) AS url_code, "
+    + ", ".join(f"coalesce(regexp_matches({t}, '{p}'), false) AS {c}" for c, (t, p) in FLAGS.items()) + " FROM documents LEFT JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages))"
+)
 MERGE_SQL = """m AS (SELECT *, NOT url_inconclusive AS settled, NOT url_inconclusive AND has_input_url AND NOT content_spam AND url_spam AS flip_in, NOT url_inconclusive AND NOT url_spam AND content_spam AS clean FROM c),
 n AS (SELECT *, clean AND transactional AND NOT mismatched AS to_ham FROM m),
 o AS (SELECT *, CASE WHEN flip_in THEN NOT transactional WHEN settled AND url_spam THEN true WHEN to_ham THEN false ELSE content_spam END AS final_spam,
@@ -362,8 +369,10 @@ o AS (SELECT *, CASE WHEN flip_in THEN NOT transactional WHEN settled AND url_sp
 
 
 def merged(spark, d):
-    i = F.col("doc_id")
-    rows = table(spark, d, "documents").select("doc_id", ((i % 101) / 100.0).alias("content_p"), ((i % 97) / 100.0).alias("url_p"), (i % 4).cast("string").alias("content_code"), ((i + 1) % 4).cast("string").alias("url_code"), *[(F.floor(i / (k + 1)) % m == 0).alias(c) for k, (c, m) in enumerate(FLAGS.items())])
+    i, pages = F.col("n_chars"), table(spark, d, "pages")
+    beside = table(spark, d, "documents").withColumn("page_id", F.col("doc_id") % max(pages.count(), 1)).join(pages.select("page_id", "url"), "page_id", "left")
+    flags = [F.coalesce(F.col(t).rlike(p), F.lit(False)).alias(c) for c, (t, p) in FLAGS.items()]
+    rows = beside.select("doc_id", ((i % 101) / 100.0).alias("content_p"), ((i % 97) / 100.0).alias("url_p"), (i % 4).cast("string").alias("content_code"), ((i + 1) % 4).cast("string").alias("url_code"), *flags)
     return S.merge_url(rows)
 
 

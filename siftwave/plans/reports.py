@@ -34,7 +34,7 @@ WIDE_SQL = (
 
 
 def wide(spark, d):
-    n, i = table(spark, d, "pages").count(), F.col("doc_id")
+    n, i = max(table(spark, d, "pages").count(), 1), F.col("doc_id")
     rows = table(spark, d, "documents").select("doc_id", "text", (i % n).alias("page_id")).join(table(spark, d, "pages").select("page_id", "url"), "page_id", "left")
     sql = lambda s: F.expr(s.replace("VARCHAR", "STRING"))
     flags = {c: F.coalesce(F.col(t).rlike(p), F.lit(False)) for c, (t, p) in FLAGS.items()}
