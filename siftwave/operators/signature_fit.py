@@ -57,17 +57,19 @@ KEEP, STRING, SENTENCE, BLOCK = range(4)
 LEASTS, MOSTS, ROOMS = (np.array(v) for v in ((0, STRING_BYTES[0], SENTENCE_BYTES[0], 0), (1 << 40, STRING_BYTES[1], SENTENCE_BYTES[1], SENTENCE_BYTES[1]), (0, STRING_BYTES[0], SENTENCE_BYTES[1], 0)))
 
 
-def first_blocks(text: str, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the first block of a sentence's bytes begins in each part of a text, -1 if there is none, and where it ends: blocks lie between marks and ends of lines."""
+def first_blocks(text: str, sums: np.ndarray, start: np.ndarray, stop: np.ndarray, front: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first block of a sentence's bytes begins in each part of a text, -1 if there is none, and where it ends: blocks lie between marks and ends of lines.
+
+    With `front`, the bytes must be in the first so many characters of a block."""
     marks = np.array([(0, 0), *(m.span() for m in re.finditer(rf"\n|{BLOCK_MARKS}", text)), (len(text), len(text))])
     lo, hi = marks[:-1, 1], marks[1:, 0]
-    long = sums[hi] - sums[lo] >= SENTENCE_BYTES[0]
+    long = sums[hi if front is None else np.minimum(hi, lo + front)] - sums[lo] >= SENTENCE_BYTES[0]
     lo, hi = np.append(lo[long], len(text) + 1), np.append(hi[long], len(text) + 1)
     at = np.searchsorted(lo, start)
     return np.where(lo[at] < stop, lo[at], -1), hi[at]
 
 
-def fit_spans(texts: list[str], at: np.ndarray, n: np.ndarray, kind: np.ndarray, grow: np.ndarray) -> tuple[np.ndarray, ...]:
+def fit_spans(texts: list[str], at: np.ndarray, n: np.ndarray, kind: np.ndarray, grow: np.ndarray, front: int | None = None) -> tuple[np.ndarray, ...]:
     """Kind, start, stop and bytes of the part of each text that keeps to the policy, from the part of n characters at `at`; all rows at once, on sums of bytes.
 
     A part that may grow takes a character on the left, then one on the right, and so on, until it has the least bytes of its kind; a last one
@@ -80,7 +82,7 @@ def fit_spans(texts: list[str], at: np.ndarray, n: np.ndarray, kind: np.ndarray,
     start = np.cumsum(np.r_[0, size + 1])[:-1]
     stop = start + size
     wanted = kind == BLOCK
-    block, end = first_blocks(text, known_sums, start, stop - n) if wanted.any() else (start, stop)
+    block, end = first_blocks(text, known_sums, start, stop - n, front) if wanted.any() else (start, stop)
     some = wanted & (block >= 0)
     lo = np.where(some, block, np.where(wanted, stop - n, start + at))
     hi = np.where(some, end, lo + n)
@@ -100,18 +102,22 @@ def fit_spans(texts: list[str], at: np.ndarray, n: np.ndarray, kind: np.ndarray,
     return kind, lo - start, hi - start, sums[hi] - sums[lo]
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("kind", "start", "stop", "bytes")]))
-def _spans(text: pd.Series, at: pd.Series, n: pd.Series, kind: pd.Series, grow: pd.Series) -> pd.DataFrame:
-    if not len(text):
-        return pd.DataFrame({c: pd.Series(dtype="int32") for c in ("kind", "start", "stop", "bytes")})
-    found = fit_spans(text.tolist(), at.to_numpy(), n.to_numpy(), kind.to_numpy(), grow.to_numpy())
-    return pd.DataFrame(dict(zip(("kind", "start", "stop", "bytes"), found, strict=True))).astype("int32")
+def _spans(front: int | None):
+    @F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("kind", "start", "stop", "bytes")]))
+    def spans(text: pd.Series, at: pd.Series, n: pd.Series, kind: pd.Series, grow: pd.Series) -> pd.DataFrame:
+        if not len(text):
+            return pd.DataFrame({c: pd.Series(dtype="int32") for c in ("kind", "start", "stop", "bytes")})
+        found = fit_spans(text.tolist(), at.to_numpy(), n.to_numpy(), kind.to_numpy(), grow.to_numpy(), front)
+        return pd.DataFrame(dict(zip(("kind", "start", "stop", "bytes"), found, strict=True))).astype("int32")
+
+    return spans
 
 
-def fit_signatures(df: DataFrame, body: str, signature: str, decision: str) -> DataFrame:
+def fit_signatures(df: DataFrame, body: str, signature: str, decision: str, front: int | None = None) -> DataFrame:
     """Adds fitted_decision, fitted_signature and fitted_bytes of a proposal for a text without white space; nulls count as empty and unextractable.
 
-    Without a proposal the text's first block of a sentence's bytes stands in. Proposals that aren't in the text, not even cut, are unextractable."""
+    Without a proposal the text's first block of a sentence's bytes (in its first `front` characters, if given) stands in. Proposals that aren't in the
+    text, not even cut, are unextractable."""
     c = F.col
     own = df.select("*", F.coalesce(body, F.lit("")).alias("_b"), F.coalesce(signature, F.lit("")).alias("_s"), F.coalesce(decision, F.lit("unextractable")).alias("_d"))
     kind = F.when((c("_s") == "") | (c("_d") == "unextractable"), BLOCK).when(c("_d") == "use_string", STRING).when(c("_d") == "use_sentence", SENTENCE).otherwise(KEEP)
@@ -119,7 +125,7 @@ def fit_signatures(df: DataFrame, body: str, signature: str, decision: str) -> D
     placed = bare.withColumn("_at", F.when(c("_k").isin(STRING, SENTENCE), F.expr("locate(_s, _b)")).otherwise(0))
     text = F.when(c("_k") == BLOCK, F.concat("_b", F.lit("\n"), "_s")).when(c("_at") > 0, c("_b")).otherwise(c("_s"))
     based = placed.withColumn("_t", text)
-    fit = based.withColumn("_f", _spans("_t", F.greatest(c("_at") - 1, F.lit(0)), F.char_length("_s"), "_k", c("_at") > 0))
+    fit = based.withColumn("_f", _spans(front)("_t", F.greatest(c("_at") - 1, F.lit(0)), F.char_length("_s"), "_k", c("_at") > 0))
     cut = fit.withColumn("_v", F.expr("substring(_t, _f.start + 1, _f.stop - _f.start)"))
     lost = (c("_v") != "") & ~F.contains(c("_b"), c("_v")) & (c("_k") != BLOCK)
     named = F.when(lost, "unextractable").when(c("_f.kind") == STRING, "use_string").when(c("_f.kind") == SENTENCE, "use_sentence").otherwise(c("_d"))
