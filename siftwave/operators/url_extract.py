@@ -59,13 +59,13 @@ def has_potential_url(c: Column) -> Column:
     return U.has_url(c) | U.has_url(T.nfkc(c))
 
 
-def extract_urls(df: DataFrame, text: str, given: str | None = None, models: str | None = None, cap: int = 3, least: int = 10) -> DataFrame:
-    """Adds `urls`: at most `cap` different URLs, ordinary domains before user content and shorteners.
+def extract_urls(df: DataFrame, text: str, given: str | None = None, models: str | None = None, cap: int = 3, least: int = 10, ranked: bool = True) -> DataFrame:
+    """Adds `urls`: at most `cap` different URLs, ordinary domains before user content and shorteners; all in the order found if not `ranked`.
 
     First come those of `models` (an array that a model proposed; in reverse where one is given) and the `given` one.
     Texts are read as they are and in their compatible normal form. Links count as they are; domains without a scheme
     need a known top-level domain and a name that isn't a number. Spaced-out URLs count where nothing read before lies
-    within them. Shortened URLs lose decoration behind them, hosts become Punycode. Null texts give no URLs."""
+    within them. Shortened URLs lose decoration behind them if `ranked`, hosts become Punycode. Null texts give no URLs."""
     body, every = F.coalesce(F.col(text), F.lit("")), lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
     decoded = F.col("_decoded")
     more = lambda p: F.when(decoded != body, F.concat(every(body, p), every(decoded, p))).otherwise(every(body, p))
@@ -83,6 +83,7 @@ def extract_urls(df: DataFrame, text: str, given: str | None = None, models: str
     steps = steps.withColumn("_known", known).withColumns({"_links": links, "_bare": F.filter(tidy(F.col("_names")), lambda u: u.rlike(ACCEPT_PATTERN)), "_late": F.filter(tidy(new), lambda u: u.rlike(ACCEPT_PATTERN))})
     alone = F.filter("_bare", lambda u: ~F.exists("_links", lambda k: F.contains(k, u)))
     steps = steps.withColumn("_found", F.concat("_links", F.transform(alone, with_scheme)))
-    whole = F.filter(F.transform(F.concat("_found", F.transform("_late", with_scheme)), U.without_tail), lambda u: u.isNotNull() & (F.char_length(u) >= least))
+    every_one = F.concat("_found", F.transform("_late", with_scheme))
+    whole = F.filter(F.transform(every_one, U.without_tail) if ranked else every_one, lambda u: u.isNotNull() & (F.char_length(u) >= least))
     steps = steps.withColumn("_all", F.array_distinct(F.transform(whole, U.to_ascii)))
-    return steps.withColumn("urls", U.order_and_cap(F.col("_all"), cap)).drop("_decoded", "_raw", "_names", "_spaced", "_known", "_links", "_bare", "_late", "_found", "_all")
+    return steps.withColumn("urls", U.order_and_cap(F.col("_all"), cap) if ranked else F.slice("_all", 1, cap)).drop("_decoded", "_raw", "_names", "_spaced", "_known", "_links", "_bare", "_late", "_found", "_all")

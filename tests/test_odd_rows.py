@@ -28,3 +28,9 @@ def test_fitted_signatures_judge_blocks_by_their_front(spark, tmp_path):
     docs = documents((2, lacking), (5, "Ç" * 20 + "abc" * 30), (8, "short(광고)" + lacking), (11, "x" * 60), (14, None))
     got = same_rows(spark, tmp_path, "fitted_signatures", documents=docs)
     assert {r[2]: r[1] for r in got} == {2: "unextractable", 5: "use_sentence", 8: "unextractable", 11: "use_sentence", 14: "unextractable"}
+
+
+def test_extracted_urls_keep_the_order_of_shorteners(spark, tmp_path):
+    docs = documents((1, "streets a.\nTo the.\nTo an esea.\nTo here"), (2, "see bit.ly/abc then www.site.org/q"), (3, "go http://bit.ly/ or http://bit.ly/ab*c"), (4, None))
+    got = dict((r[0], r[2]) for r in same_rows(spark, tmp_path, "extracted_urls", documents=docs))
+    assert got[2] == "http://bit.ly/abc http://www.site.org/q"
