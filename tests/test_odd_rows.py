@@ -1,7 +1,12 @@
 """Registered queries over small tables of odd rows: the same rows as their SQL."""
 
+import random
+
 import duckdb
+import numpy as np
 
+from siftwave.functions import text as T
+from siftwave.operators import clusters as K
 from siftwave.plans import reports, sheets, state, texts  # noqa: F401  (add their queries)
 from siftwave.plans.registry import ORACLES, QUERIES
 
@@ -34,3 +39,34 @@ def test_extracted_urls_keep_the_order_of_shorteners(spark, tmp_path):
     docs = documents((1, "streets a.\nTo the.\nTo an esea.\nTo here"), (2, "see bit.ly/abc then www.site.org/q"), (3, "go http://bit.ly/ or http://bit.ly/ab*c"), (4, None))
     got = dict((r[0], r[2]) for r in same_rows(spark, tmp_path, "extracted_urls", documents=docs))
     assert got[2] == "http://bit.ly/abc http://www.site.org/q"
+
+
+def test_common_signature_by_reach(spark):
+    """Members only tell how far each place of the shortest one reaches in them; clusters in slices give the same."""
+    r, alphabet = random.Random(3), "ab1é가漢"
+    member = lambda core: "".join(r.choice(alphabet) for _ in range(r.randrange(30))) + core + "".join(r.choice(alphabet) for _ in range(r.randrange(30)))
+    rows = []
+    for c in range(60):
+        core = "".join(r.choice(alphabet) for _ in range(r.randrange(4, 40)))
+        rows += [(str(c), member(core)) for _ in range(r.randrange(1, 9))]
+    rows += [("", ""), ("", "x" * 50), ("same", "a" * 30), ("same", "a" * 30)]
+    groups = {}
+    for c, b in rows:
+        groups.setdefault(c, set()).add(b)
+    size = lambda t: sum(1 + (ord(x) > 127) for x in t)
+    want = {}
+    for c, texts_ in groups.items():
+        lead = min(texts_, key=len)
+        parts = {lead[i:j] for i in range(len(lead)) for j in range(i + 5, min(i + 20, len(lead)) + 1)}
+        good = [p for p in parts if 9 <= size(p) <= 20 and all(p in t for t in texts_)]
+        want[c] = max(good, key=lambda p: (size(p), p), default=None)
+    df = spark.createDataFrame(rows, "c string, b string")
+    hot = K.HOT
+    for K.HOT in (hot, 3):
+        assert {x["c"]: x["signature"] for x in K.common_signature(df, "c", "b", T.approx_bytes).collect()} == want
+    K.HOT = hot
+    for _ in range(200):
+        a, b = member("core of both"), member("core of both")
+        reach = np.minimum(np.arange(len(a), 0, -1), 20)
+        longest = [max((n for n in range(5, k + 1) if a[i : i + n] in b), default=0) for i, k in enumerate(reach)]
+        assert K.narrowed(K.codes_of(a), K.codes_of(b), reach, 5).tolist() == longest
