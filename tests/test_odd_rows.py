@@ -1,6 +1,7 @@
 """Registered queries over small tables of odd rows: the same rows as their SQL."""
 
 import random
+from difflib import SequenceMatcher
 
 import duckdb
 import numpy as np
@@ -70,3 +71,24 @@ def test_common_signature_by_reach(spark):
         reach = np.minimum(np.arange(len(a), 0, -1), 20)
         longest = [max((n for n in range(5, k + 1) if a[i : i + n] in b), default=0) for i, k in enumerate(reach)]
         assert K.narrowed(K.codes_of(a), K.codes_of(b), reach, 5).tolist() == longest
+
+
+def test_bitmaps_of_short_texts_spare_no_similar_pair():
+    """Bitmaps and bags bound what SequenceMatcher may find, and tell most unlike texts of one language apart."""
+    r = random.Random(11)
+    parts, spared, unlike = ["th", "e", "ing", "er", "on", "sta", "ha", "re", "."], 0, 0
+    text = lambda: "".join(r.choice(parts) for _ in range(r.randrange(8, 26)))
+    bits = lambda a, b, q: sum(int(v).bit_count() for v in (K.bitmap(K.codes_of(a), q) ^ K.bitmap(K.codes_of(b), q)).view(np.uint64))
+    for _ in range(3000):
+        a = text()
+        b = "".join(c if r.random() > 0.06 else r.choice("xyz") for c in a) if r.random() < 0.5 else text()
+        n, common, alike = len(a) + len(b), SequenceMatcher(None, a, b).ratio(), True
+        for q, need in ((1, 0.85 * n / 2), (2, 0.85 * n / 2 - 0.15 * n - 1)):
+            bound = (n - 2 * (q - 1) - bits(a, b, q)) / 2
+            assert K.common_grams(a, b, q) <= bound
+            alike = alike and bound >= need - 1e-9
+            if common >= 0.85:
+                assert K.common_grams(a, b, q) >= need - 1e-9
+        assert alike or common < 0.85
+        unlike, spared = unlike + (common < 0.85), spared + (not alike)
+    assert spared > 0.9 * unlike
