@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwave.functions import reports as R
 from siftwave.functions import urls as U
+from siftwave.operators.clusters import codes_of, window_hashes
 
 MAX_BROADCAST = 200_000
 
@@ -69,21 +75,77 @@ def history_source(df: DataFrame, least: int = 9, most: int = 30) -> DataFrame:
     return rows.select(bare.alias("text")).filter(F.char_length("text") <= most).distinct()
 
 
+#: Messages are searched in stretches of so many characters.
+STRETCH = 1 << 20
+
+
+def held_keys(keys: Broadcast):
+    """id and key of each of the shared keys that a message holds: grams are looked up by their hashes, then compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {n: {k for k in keys.value if len(k) == n} for n in {len(k) for k in keys.value}}
+        hashes = {n: np.sort(np.concatenate([window_hashes(codes_of(k), n) for k in some])) for n, some in known.items() if n}
+        marks = {}
+        for n, h in hashes.items():
+            marks[n] = np.zeros(1 << 22, bool)
+            marks[n][(h >> np.uint64(42)).astype(np.int64)] = True
+
+        def places(text: str, n: int) -> np.ndarray:
+            h = window_hashes(codes_of(text), n)
+            at = np.flatnonzero(marks[n][(h >> np.uint64(42)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(hashes[n], h[at]), len(hashes[n]) - 1)
+            return at[hashes[n][place] == h[at]]
+
+        for batch in batches:
+            rows, found = [], []
+            texts = batch.column(1).to_pylist()
+            ends = np.cumsum([len(t) for t in texts])
+            first = 0
+            while first < len(texts):  # messages together, up to a stretch
+                before = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + STRETCH, side="right")))
+                whole, own = "".join(texts[first:last]), ends[first:last] - before
+                for n, some in known.items():
+                    if not n:
+                        rows += range(first, last)
+                        found += [""] * (last - first)
+                        continue
+                    hits = set()
+                    for a in range(0, len(whole), STRETCH):
+                        for at in (places(whole[a : a + STRETCH + n - 1], n) + a).tolist():
+                            i = int(np.searchsorted(own, at, side="right"))
+                            if at + n <= own[i] and whole[at : at + n] in some:
+                                hits.add((first + i, whole[at : at + n]))
+                    rows += [i for i, _ in hits]
+                    found += [k for _, k in hits]
+                first = last
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["id", "key"])
+
+    return run
+
+
 def probe_logs(df: DataFrame, probes: DataFrame, gram: int = 12, max_broadcast: int = MAX_BROADCAST, block: int = 64) -> DataFrame:
     """The first log (id, message) that holds each probe (probe); null where none does.
 
     A probe is found by its first `gram` characters (all of a shorter one) among the grams of the messages; longer
-    ones are then compared whole. The join is on equal grams, so either side may be large. Messages are cut in blocks
-    first, so that the place of a gram isn't sought from the start of a long text."""
+    ones are then compared whole. Up to `max_broadcast` probes go to the messages, whose grams are looked up where they are. Else the
+    join is on equal grams, so either side may be large, and messages are cut in blocks first, so that the place of a gram isn't sought
+    from the start of a long text."""
     keyed = probes.select("probe").filter("probe is not null").distinct().withColumn("key", F.left("probe", F.lit(gram)))
     shapes = keyed.groupBy(F.char_length("key").alias("size"), (F.char_length("probe") > gram).alias("longer")).count().collect()
     few = sum(r["count"] for r in shapes) <= max_broadcast
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length("message") - 1, F.lit(0)), F.lit(block))
-    blocks = df.filter("message is not null").select("id", F.explode(F.transform(starts, lambda b: F.substring(F.col("message"), b + 1, F.lit(block + gram - 1)))).alias("part"))
-    places = blocks.select("id", "part", F.explode(F.sequence(F.lit(1), F.greatest(F.least(F.char_length("part"), F.lit(block)), F.lit(1)))).alias("at"))
-    keys = [F.expr(f"substring(part, at, {n})") for n in sorted({r["size"] for r in shapes})]
-    sized = [F.when(F.char_length(k) == n, k) for k, n in zip(keys, sorted({r["size"] for r in shapes}), strict=True)]
-    grams = places.select("id", F.explode(F.array(*sized)).alias("key") if len(sized) > 1 else (sized[0] if sized else F.lit(None).cast("string")).alias("key")).filter("key is not null")
+    sizes = sorted({r["size"] for r in shapes})
+    if few:
+        keys = [r["key"] for r in keyed.select("key").distinct().collect()]  # at most `max_broadcast` of `gram` characters
+        kind = df.schema["id"].dataType.simpleString()
+        grams = df.filter("message is not null").select("id", "message").mapInArrow(held_keys(df.sparkSession.sparkContext.broadcast(keys)), f"id {kind}, key string")
+    else:
+        starts = F.sequence(F.lit(0), F.greatest(F.char_length("message") - 1, F.lit(0)), F.lit(block))
+        blocks = df.filter("message is not null").select("id", F.explode(F.transform(starts, lambda b: F.substring(F.col("message"), b + 1, F.lit(block + gram - 1)))).alias("part"))
+        places = blocks.select("id", "part", F.explode(F.sequence(F.lit(1), F.greatest(F.least(F.char_length("part"), F.lit(block)), F.lit(1)))).alias("at"))
+        cut = [F.expr(f"substring(part, at, {n})") for n in sizes]
+        sized = [F.when(F.char_length(k) == n, k) for k, n in zip(cut, sizes, strict=True)]
+        grams = places.select("id", F.explode(F.array(*sized)).alias("key") if len(sized) > 1 else sized[0].alias("key")).filter("key is not null")
     whole = keyed.filter(F.char_length("probe") <= gram)
     # A long list meets each different gram once, with its first log.
     found = grams.join(F.broadcast(whole), "key") if few else grams.groupBy("key").agg(F.min("id").alias("id")).join(whole, "key")

@@ -2,12 +2,15 @@
 
 import random
 from difflib import SequenceMatcher
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from siftwave.functions import text as T
 from siftwave.operators import clusters as K
+from siftwave.operators import filters as X
 from siftwave.plans import reports, sheets, state, texts  # noqa: F401  (add their queries)
 from siftwave.plans.registry import ORACLES, QUERIES
 
@@ -92,3 +95,19 @@ def test_bitmaps_of_short_texts_spare_no_similar_pair():
         assert alike or common < 0.85
         unlike, spared = unlike + (common < 0.85), spared + (not alike)
     assert spared > 0.9 * unlike
+
+
+def test_few_probes_are_looked_up_in_messages(spark, monkeypatch):
+    """No row for each character of a message; stretches end anywhere."""
+    messages = ["", "abc가나다", "x" * 40 + "needle" + "y" * 9, "needle", "nee", "dle", None]
+    logs = spark.createDataFrame(list(enumerate(messages)), "id long, message string")
+    probes = spark.createDataFrame([("needle",), ("가나",), ("needley",), ("needledle",)], "probe string")
+    out = X.probe_logs(logs, probes)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {("needle", 2), ("가나", 1), ("needley", 2), ("needledle", None)}
+    batch = pa.RecordBatch.from_pydict({"id": list(range(6)), "message": messages[:6]})
+    for stretch in (1, 3, 7, 44, 1000):
+        monkeypatch.setattr(X, "STRETCH", stretch)
+        got = [tuple(r.values()) for b in X.held_keys(SimpleNamespace(value=["needle", "가나", "dle", ""]))(iter([batch])) for r in b.to_pylist()]
+        want = [(i, k) for i, t in enumerate(messages[:6]) for k in ("needle", "가나", "dle", "") if k in t]
+        assert sorted(got) == sorted(want)
