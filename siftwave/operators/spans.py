@@ -14,6 +14,11 @@ SHORT_BYTES, SHORT_LOSS, DIGITS_LOSS = 8, 3.0, 2.0
 FIELDS = "start int, stop int, origin int, origin_stop int, bytes int, score double, candidate string, original string"
 
 
+#: White space as str.split() takes it.
+WHITE = np.zeros(0x110000, bool)
+WHITE[[c for c in range(0x3001) if chr(c).isspace()]] = True
+
+
 def two_byte_characters() -> np.ndarray:
     """Bytes of every code point of the basic plane in CP949: 1, 2, or 0 where it has none."""
     sizes = np.zeros(0x10000, np.int8)
@@ -32,12 +37,12 @@ def character_bytes(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 0x10000, _sizes[0][np.minimum(codes, 0xFFFF)], 0)
 
 
-def windows(text: str, longest: int, least: int, span: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The text without white space, the original place of each of its characters, the sums of bytes before each, and per start the first and last stop of windows
+def windows(text: str, longest: int, least: int, span: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text without white space, its code points, the original place of each of its characters, the sums of bytes before each, and per start the first and last stop of windows
     of `least` to `longest` bytes whose original text has at most `span` characters. A character outside CP949 ends every window before it."""
-    place = np.array([i for i, c in enumerate(text) if not c.isspace()], np.int64)
-    dense = "".join(text.split())
-    codes = np.frombuffer(dense.encode("utf-32-le", "surrogatepass"), np.uint32)
+    all_codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    place = np.flatnonzero(~WHITE[all_codes])
+    dense, codes = "".join(text.split()), all_codes[place]
     size = character_bytes(codes)
     sums = np.cumsum(np.r_[0, size])
     n = len(dense)
@@ -46,35 +51,41 @@ def windows(text: str, longest: int, least: int, span: int) -> tuple[str, np.nda
     wall = wrong[np.searchsorted(wrong, start)]  # the next character without bytes
     last = np.minimum.reduce([np.searchsorted(sums, sums[:-1] + longest, side="right") - 1, np.searchsorted(place, place + span - 1, side="right"), wall])
     first = np.searchsorted(sums, sums[:-1] + least, side="left")
-    return dense, place, sums, first, last
+    return dense, codes, place, sums, first, last
 
 
 def best_windows(text: str, longest: int = LONGEST, k: int = 5, least: int = LEAST, span: int = SPAN, together: int = 20_000) -> list[tuple]:
     """The `k` different candidates of a text with the best score (then most bytes, then first in binary order), each at its first place.
 
-    Windows are compared for `together` starts at a time, of which only the best go on, so memory follows that and the text."""
-    dense, place, sums, first, last = windows(text, longest, least, span)
-    others = np.cumsum(np.r_[0, [not ("0" <= c <= "9") for c in dense]])
-    best: dict[tuple[float, int, bytes], tuple[int, int]] = {}
-    for a in range(0, len(dense), together):
-        count = np.maximum(last[a : a + together] - first[a : a + together] + 1, 0)
-        start = np.repeat(np.arange(a, a + len(count)), count)
-        stop = np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count) + first[start]
-        size = sums[stop] - sums[start]
-        score = 0.0 - SHORT_LOSS * (size <= SHORT_BYTES) - DIGITS_LOSS * (others[stop] == others[start])
-        order = np.lexsort((start, -size, -score))
-        # Windows of one score and size are taken together, as the binary order decides among them.
-        heads = np.flatnonzero(np.r_[True, (np.diff(score[order]) != 0) | (np.diff(size[order]) != 0), True]) if len(order) else np.zeros(1, int)
-        own: dict[tuple[float, int, bytes], tuple[int, int]] = {}
-        for h, e in zip(heads, heads[1:], strict=False):
-            if len(own) >= k:
-                break
-            for w in order[h:e].tolist():
-                own.setdefault((-score[w], -size[w], dense[start[w] : stop[w]].encode("utf-8", "surrogatepass")), (int(start[w]), int(stop[w])))
-        for key, at in own.items():
-            best.setdefault(key, at)
-        best = dict(sorted(best.items())[:k])
-    return [(a, b, int(place[a]), int(place[b - 1]) + 1, int(-size), float(-score), dense[a:b], text[place[a] : place[b - 1] + 1]) for (score, size, _), (a, b) in best.items()]
+    Windows of one score and size are looked for together, best ones first, for `together` starts at a time, until there are `k`. Of those whose
+    first three characters are among the `k` first ones, the binary order decides. So memory follows `together` and the text."""
+    dense, codes, place, sums, first, last = windows(text, longest, least, span)
+    others = np.cumsum(np.r_[0, (codes < ord("0")) | (codes > ord("9"))])
+    ahead = np.r_[codes, 0, 0].astype(np.int64)
+    scored = [(0.0 - SHORT_LOSS * (n <= SHORT_BYTES) - DIGITS_LOSS * digits, n, digits) for digits in (False, True) for n in range(least, longest + 1)]
+    best: list[tuple[float, int, int, int]] = []
+    for score, n, digits in sorted(scored, key=lambda c: (-c[0], -c[1])):
+        if len(best) >= k:
+            break
+        own: dict[str, tuple[int, int]] = {}
+        for a in range(0, len(dense), together):
+            start = np.arange(a, min(a + together, len(dense)))
+            stop = np.minimum(np.searchsorted(sums, sums[start] + n, side="left"), len(dense))
+            fits = (sums[stop] - sums[start] == n) & (stop >= first[start]) & (stop <= last[start]) & ((others[stop] == others[start]) == digits)
+            start, stop = start[fits], stop[fits]
+            head = (ahead[start] << 42) | (np.where(start + 1 < stop, ahead[start + 1], 0) << 21) | np.where(start + 2 < stop, ahead[start + 2], 0)
+            if len(head) > k:
+                # Copies of one head may fill the first places, so the different ones of more and more places are taken.
+                m = 8 * k
+                while len(heads := np.unique(np.partition(head, m - 1)[:m] if m < len(head) else head)) < k and m < len(head):
+                    m *= 8
+                near = head <= heads[min(k, len(heads)) - 1]
+                start, stop = start[near], stop[near]
+            for i, j in zip(start.tolist(), stop.tolist(), strict=True):
+                own.setdefault(dense[i:j], (i, j))
+            own = dict(sorted(own.items())[:k])
+        best += [(score, n, i, j) for i, j in list(own.values())[: k - len(best)]]
+    return [(a, b, int(place[a]), int(place[b - 1]) + 1, n, score, dense[a:b], text[place[a] : place[b - 1] + 1]) for score, n, a, b in best]
 
 
 @F.udtf(returnType=FIELDS, useArrow=True)
