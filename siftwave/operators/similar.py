@@ -30,6 +30,16 @@ def unit(column, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+#: Angles and distances are computed for so many pairs at a time, however many rows a batch or pivots a corpus has.
+TOGETHER = 1 << 20
+
+
+def row_slices(rows: int, others: int) -> Iterator[slice]:
+    """The rows in slices of which each has at most TOGETHER pairs with the others (at least one row)."""
+    step = max(1, TOGETHER // max(others, 1))
+    return (slice(a, min(a + step, rows)) for a in range(0, rows, step))
+
+
 def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
@@ -40,10 +50,11 @@ def cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                far = angles(unit(b.column(1), dim), shared.value)
+            for at in row_slices(b.num_rows, len(shared.value)):
+                rows = b.slice(at.start, at.stop - at.start)
+                far = angles(unit(rows.column(1), dim), shared.value)
                 near = far.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(far[np.arange(len(far)), near])], names=["id", "v", "cell", "angle"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(near.astype(np.int32)), pa.array(far[np.arange(len(far)), near])], names=["id", "v", "cell", "angle"])
 
     return corpus.select("id", "v").mapInArrow(tasks, "id long, v array<double>, cell int, angle double")
 
@@ -56,8 +67,9 @@ def visits(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radius: np
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, size, reach = shared.value
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            for part in row_slices(batch.num_rows, len(pivot)):
+                b = batch.slice(part.start, part.stop - part.start)
                 far = angles(unit(b.column(1), dim), pivot)
                 order = np.argsort(far, axis=1, kind="stable")
                 held = np.cumsum(size[order], axis=1)
@@ -68,8 +80,9 @@ def visits(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radius: np
                 limit = np.arccos(np.clip(1 - np.where(known, bound, 0), -1.0, 1.0)) + SLACK
                 later = ~first & (size > 0) & (far - reach <= limit[:, None])
                 query, cell = np.nonzero(np.where(known[:, None], later, first))
-                at = pa.array(query)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell.astype(np.int32))], names=["id", "v", "cell"])
+                for c in row_slices(len(query), dim):  # a row carries its vector
+                    at = pa.array(query[c])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell[c].astype(np.int32))], names=["id", "v", "cell"])
 
     return queries.select("id", "v", "bound").mapInArrow(tasks, "id long, v array<double>, cell int")
 
@@ -88,8 +101,9 @@ def hits_in_cells(looks: DataFrame, corpus: DataFrame, dim: int, k: int, block:
     def nearest(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if queries.num_rows and rows.num_rows:
-            ids, near = rows.column("id").to_numpy(), 1 - unit(queries.column("v"), dim) @ unit(rows.column("v"), dim).T
-            for row, own in zip(near, queries.column("id").to_numpy(), strict=True):
+            ids, asked, held = rows.column("id").to_numpy(), queries.column("id").to_numpy(), unit(rows.column("v"), dim)
+            mine = unit(queries.column("v"), dim)
+            for row, own in ((row, own) for at in row_slices(len(mine), len(held)) for row, own in zip(1 - mine[at] @ held.T, asked[at], strict=True)):
                 row[ids == own] = np.inf
                 at = np.argpartition(row, k - 1)[:k] if len(row) > k else np.arange(len(row))
                 at = np.flatnonzero(row <= row[at].max())  # ties with the k-th go by id

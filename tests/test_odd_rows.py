@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 from difflib import SequenceMatcher
 from types import SimpleNamespace
 
@@ -12,6 +13,7 @@ import pyarrow as pa
 from siftwave.functions import text as T
 from siftwave.operators import clusters as K
 from siftwave.operators import filters as X
+from siftwave.operators import similar as N
 from siftwave.operators.spans import best_windows
 from siftwave.plans import reports, sheets, state, texts  # noqa: F401  (add their queries)
 from siftwave.plans.registry import ORACLES, QUERIES
@@ -127,3 +129,24 @@ def test_best_windows_of_long_texts():
     size = lambda t: sum(1 + (ord(x) > 127) for x in t)
     every = {w for i in range(len(dense)) if dense[i] == "1" for j in range(i + 10, i + 21) if size(w := dense[i:j]) == 20 and not w.isdigit()}
     assert [f[6] for f in found] == sorted(every)[:5]
+
+
+def test_memory_of_neighbours_is_bounded_by_slices(spark):
+    """The cells of a large batch are computed in slices, however many pivots there are, and with the same rows."""
+    r = np.random.default_rng(1)
+    vectors, pivots = r.normal(size=(6000, 8)), N.unit(pa.array(r.normal(size=(1500, 8)).tolist()), 8)
+    made = []
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v))))
+    df.select = lambda *_: SimpleNamespace(mapInArrow=lambda f, _: made.append(f))
+    N.cells(df, pivots)
+    N.visits(df, pivots, np.full(1500, 4), np.full(1500, 0.2), 3)
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(6000), "v": vectors.tolist(), "bound": np.where(np.arange(6000) % 2, 0.05, np.nan)})
+    rows = []
+    for f in made:
+        tracemalloc.start()
+        rows.append([x for b in f(iter([batch])) for x in zip(b["id"].to_pylist(), b["cell"].to_pylist(), strict=True)])
+        assert tracemalloc.get_traced_memory()[1] < 110e6  # 72 MB for all angles alone, several times
+        tracemalloc.stop()
+    far = N.angles(N.unit(batch["v"], 8), pivots)
+    assert [c for _, c in rows[0]] == far.argmin(axis=1).tolist()
+    assert len({i for i, _ in rows[1]}) >= 3000
