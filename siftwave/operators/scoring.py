@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], fields: str, key: str = "seq", text: str = "message", reason: str = "reason", batch: int = 2000) -> DataFrame:
@@ -30,15 +33,18 @@ def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
         except Exception as e:  # noqa: BLE001 (whatever a callback raises becomes its row's reason)
             return pd.DataFrame([{n: f"{type(e).__name__}: {e}" if n == reason else None for n in names}])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {fields}"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, len(part), batch):
-                rows = part.iloc[at : at + batch].reset_index(drop=True)
+            for at in range(0, part.num_rows, batch):  # only the rows of a batch become Python objects
+                rows = part.slice(at, batch).to_pandas()
                 try:
                     got = ask(rows)
                 except Exception:  # noqa: BLE001
                     got = pd.concat([one(rows.iloc[i : i + 1].reset_index(drop=True)) for i in range(len(rows))], ignore_index=True)
                 got.insert(0, key, rows[key])
-                yield got
+                yield pa.RecordBatch.from_pandas(got, schema=kinds, preserve_index=False)
 
-    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {fields}")
+    return df.select(key, text).mapInArrow(run, schema)

@@ -8,12 +8,14 @@ from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from siftwave.functions import text as T
 from siftwave.operators import clusters as K
 from siftwave.operators import filters as X
 from siftwave.operators import similar as N
+from siftwave.operators.scoring import score_batches
 from siftwave.operators.spans import best_windows
 from siftwave.plans import reports, sheets, state, texts  # noqa: F401  (add their queries)
 from siftwave.plans.registry import ORACLES, QUERIES
@@ -150,3 +152,31 @@ def test_memory_of_neighbours_is_bounded_by_slices(spark):
     far = N.angles(N.unit(batch["v"], 8), pivots)
     assert [c for _, c in rows[0]] == far.argmin(axis=1).tolist()
     assert len({i for i, _ in rows[1]}) >= 3000
+
+
+def test_scorers_get_no_more_than_their_batch(spark, monkeypatch):
+    """A part of Arrow rows becomes Python objects a batch at a time."""
+    seen = []
+
+    class Rows:
+        def __init__(self, part):
+            self.part, self.schema = part, part.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return [r for b in run(iter([self.part])) for r in b.to_pylist()]
+
+    def scorer(rows):
+        seen.append(len(rows))
+        if (rows["message"] == "bad").any():
+            raise ValueError("unreadable")
+        return pd.DataFrame({"good": rows["message"].str.len() > 2, "reason": "scored"})
+
+    df = spark.createDataFrame([(i, "bad" if i == 7 else "x" * i) for i in range(10)], "seq long, message string")
+    rows = Rows(pa.RecordBatch.from_pylist([r.asDict() for r in df.collect()]))
+    rows.schema = df.schema
+    got = score_batches(rows, scorer, "good boolean, reason string", batch=4)
+    assert max(seen) == 4 and [r["seq"] for r in got] == list(range(10))
+    assert [r["good"] for r in got] == [None if i == 7 else i > 2 for i in range(10)] and got[7]["reason"] == "ValueError: unreadable"
