@@ -38,7 +38,11 @@ def top_candidates(df: DataFrame, key: str, k: int) -> DataFrame:
 
 def signature_error(body: Column, signature: Column, decision: Column, size: Column) -> Column:
     """Why a proposed signature is refused; null if it isn't."""
-    inside_url = F.exists(F.regexp_extract_all(body, F.lit(r"(?:https?://|www\.)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,6}[A-Za-z0-9@:%_+.~#?&/=-]*"), F.lit(0)), lambda u: F.contains(u, signature))
+    # URLs lie within stretches of their characters, so only stretches that hold the signature are searched for them.
+    held = F.filter(F.split(body, r"[^A-Za-z0-9@:%_+.~#?&/=-]+"), lambda s: F.contains(s, signature) & F.contains(s, F.lit(".")))
+    urls = lambda s: F.regexp_extract_all(s, F.lit(r"(?:https?://|www\.)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,6}[A-Za-z0-9@:%_+.~#?&/=-]*"), F.lit(0))
+    named = signature.rlike("^[A-Za-z0-9@:%_+.~#?&/=-]+$")
+    inside_url = named & F.exists(held, lambda s: F.exists(urls(s), lambda u: F.contains(u, signature)))
     holds = lambda word: F.contains(signature, F.lit(word))
     forbidden = holds(FORBIDDEN[0])
     for word in FORBIDDEN[1:]:

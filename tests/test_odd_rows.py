@@ -1,6 +1,7 @@
 """Registered queries over small tables of odd rows: the same rows as their SQL."""
 
 import random
+import re
 import time
 import tracemalloc
 from difflib import SequenceMatcher
@@ -10,11 +11,13 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from siftwave.functions import text as T
 from siftwave.operators import clusters as K
 from siftwave.operators import filters as X
 from siftwave.operators import similar as N
+from siftwave.operators import tables as B
 from siftwave.operators.scoring import score_batches
 from siftwave.operators.spans import best_windows
 from siftwave.plans import reports, sheets, state, texts  # noqa: F401  (add their queries)
@@ -180,3 +183,19 @@ def test_scorers_get_no_more_than_their_batch(spark, monkeypatch):
     got = score_batches(rows, scorer, "good boolean, reason string", batch=4)
     assert max(seen) == 4 and [r["seq"] for r in got] == list(range(10))
     assert [r["good"] for r in got] == [None if i == 7 else i > 2 for i in range(10)] and got[7]["reason"] == "ValueError: unreadable"
+
+
+def test_signature_errors_search_urls_near_the_signature(spark):
+    """Only stretches of a text that hold the signature are searched for URLs, so long ones cost little; the errors are those of whole texts."""
+    url = re.compile(r"(?:https?://|www\.)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,6}[A-Za-z0-9@:%_+.~#?&/=-]*")
+    r, rows = random.Random(8), []
+    for i in range(400):
+        body = "".join(r.choice(["abc", ".com", "http://", "www.", "/", "가", ",", "x-1", "?q=", ".k", "."]) for _ in range(r.randrange(1, 14)))
+        at = r.randrange(len(body))
+        rows.append((i, body, body[at : at + r.randrange(1, 12)]))
+    rows.append((400, ("x" * 62 + "." + "1" * 40 + ",") * 4000 + "win.example.com", "win.example.com"))
+    df = spark.createDataFrame(rows, "id long, body string, sig string")
+    error = B.signature_error(F.col("body"), F.col("sig"), F.lit("use_string"), T.approx_bytes(F.col("sig")))
+    got = {x["id"]: x["e"] == "bare_domain" for x in df.select("id", error.alias("e")).collect()}
+    want = {i: any(s in u for u in url.findall(b)) and bool(re.search("^(https?://)?[^/?#]+/?$", s)) for i, b, s in rows}
+    assert got == want and 20 < sum(want.values()) < 380
