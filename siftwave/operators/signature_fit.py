@@ -45,11 +45,11 @@ def best_anchors(df: DataFrame, id: str, body: str, size) -> DataFrame:
     """id, n, text and score: the candidates around the concrete anchors of a text without white space are their matches, each
     once; the best by score, then text; null where there is none. `id` must be unique.
 
-    Candidates are scored where their text is, and one row a text and task goes into the shuffle."""
+    Candidates are scored and compared where their text is, so nothing is shuffled or sorted."""
     every = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(body, F.lit(ANCHORS[t]), F.lit(0)) for t in ("PHONE", "OPT_OUT", "SYMBOLS", "CODE")])))
-    rows = df.select(id, F.explode_outer(every).alias("c"))
-    scored = rows.select(id, "c", F.when(F.col("c").isNotNull(), F.struct(anchored_score(F.col("c"), size(F.col("c"))).alias("score"), F.col("c").alias("text"))).alias("s"))
-    return scored.groupBy(id).agg(F.count("c").alias("n"), F.max("s").alias("s")).select(id, "n", "s.text", "s.score")
+    scored = F.transform("_every", lambda c: F.struct(anchored_score(c, size(c)).alias("score"), c.alias("text")))
+    best = df.select(id, every.alias("_every")).select(id, F.coalesce(F.size("_every"), F.lit(0)).cast("long").alias("n"), F.array_max(scored).alias("s"))
+    return best.select(id, "n", "s.text", "s.score")
 
 
 #: What a row of fit_spans() is: a text that stays, a string, a sentence, and a body whose first long block is wanted, with the text that stays behind it if there is none.

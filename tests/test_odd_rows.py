@@ -199,3 +199,10 @@ def test_signature_errors_search_urls_near_the_signature(spark):
     got = {x["id"]: x["e"] == "bare_domain" for x in df.select("id", error.alias("e")).collect()}
     want = {i: any(s in u for u in url.findall(b)) and bool(re.search("^(https?://)?[^/?#]+/?$", s)) for i, b, s in rows}
     assert got == want and 20 < sum(want.values()) < 380
+
+
+def test_signature_scores_shuffle_nothing(spark, tmp_path):
+    docs = documents((1, "call 010-1234-5678 or 080-123-4567 now"), (2, None), (3, ""), (4, "a b c"), (5, "code12 code12 ★ zzzzzz"), (6, "x" * 50_000))
+    got = {r[0]: r[1:] for r in same_rows(spark, tmp_path, "signature_scores", documents=docs)}
+    assert got[2][0] == got[4][0] == 0 and got[5][0] >= 2
+    assert "Exchange" not in QUERIES["signature_scores"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
