@@ -13,7 +13,7 @@ mostly share their anchor; such a stretch of window starts, with the bytes that
    and one row at each border between equal regions and others, are regions at the ends of shared passages.
 3. These fetch their bytes and go to a bucket by key. There the windows are sorted by key and hash, and
    neighbours of equal key and hash are compared byte by byte. Keys at a bucket's border in step 1 and keys with over `GROUP_ROWS` regions,
-   which one task must not get, are opened into windows instead, which are counted over the cluster by their leading bytes and hash.
+   which one task must not get, are opened into windows instead, which are sorted and compared with their neighbours as in step 1, by their leading bytes and hash.
 4. The repeated starts of a document become spans, and its bytes outside them are kept.
 
 The sort in a bucket compares columns of leading bytes and hashes in turn instead of single bytes. In steps 1 and 2, equality is that
@@ -141,12 +141,11 @@ def neighbours(sorted_regions: DataFrame) -> DataFrame:
     return sorted_regions.mapInArrow(tasks, kind)
 
 
-def compared(docs: DataFrame, size: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Steps 1 and 2: the judged regions, and the keys that lie on a border between buckets (as many as there are borders at most)."""
-    spark = docs.sparkSession
-    rows = scratch_table(regions(docs, size, gram), "regions")
+def compared(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Steps 1 and 2: the judged rows, and the keys that lie on a border between buckets (as many as there are borders at most)."""
+    spark = rows.sparkSession
     placed = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    near = scratch_table(neighbours(placed.withColumn("bucket", F.spark_partition_id())), "neighbours")
+    near = scratch_table(neighbours(placed.withColumn("bucket", F.spark_partition_id())), name)
     ends = sorted(near.filter("edge > 0").select("bucket", "edge", "grp", "body").collect())  # two rows for each bucket at most
     # What the rows on either side of a border are to each other.
     fixes: dict[tuple[int, int], list[bool]] = {}
@@ -288,14 +287,14 @@ def bucket_windows(rows: DataFrame, size: int) -> DataFrame:
 
 def repeated_starts(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """doc_id, th and stretches [a, b) of starts of repeated windows; stretches may overlap."""
-    near, border = compared(docs, size, gram)
+    near, border = compared(scratch_table(regions(docs, size, gram), "regions"), "neighbours")
     whole = near.filter("equal").select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("more") + 1).alias("b"))
     ends = near.filter("other").join(F.broadcast(border.withColumn("hot", F.lit(True))), "grp", "left")
     rows = with_bytes(docs, ends.select("doc_id", "th", "lo", "more", "grp", F.coalesce("hot", F.lit(False)).alias("hot")), size)
     found = scratch_table(bucket_windows(rows, size), "windows")
-    single = found.filter(F.col("hash").isNotNull())
-    often = single.groupBy("lead", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hot = single.join(often, ["lead", "hash"]).select("doc_id", "th", "a", "b")
+    # A window is a region of one start; sorted like those, it is next to its equals, however many.
+    single = found.filter(F.col("hash").isNotNull()).select("doc_id", "th", F.col("a").alias("lo"), F.lit(0).alias("more"), F.col("lead").alias("grp"), F.col("hash").alias("body"))
+    hot = compared(single, "window-neighbours")[0].filter("equal").select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + 1).alias("b"))
     return whole.union(found.filter(F.col("hash").isNull()).select("doc_id", "th", "a", "b")).union(hot)
 
 

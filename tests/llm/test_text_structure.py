@@ -105,6 +105,22 @@ def test_repeated_strings_over_borders(spark):
     assert [got[i] for i in range(120)] == removed([t.encode() for t in texts], 200)
 
 
+def test_hot_windows_meet_only_their_neighbours(spark, monkeypatch):
+    """Windows of keys that were opened are sorted over the cluster: no join by window, and one that all texts hold may cross borders."""
+    from siftwave.llm import suffix_dedup as s
+
+    monkeypatch.setattr(s, "GROUP_ROWS", 3)
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    common = own(230)
+    texts = [own(rng.randint(0, 150)) + common[: rng.randint(190, 230)] + own(rng.randint(0, 150)) for _ in range(150)]
+    docs = frame(spark, list(enumerate(texts)))
+    plan = s.repeated_starts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and ("lead" in x or "hash" in x)]
+    got = {r["doc_id"]: (r["n_bytes"], sum(x["len"] for x in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in s.drop_repeats(docs).collect()}
+    assert [got[i] for i in range(150)] == removed([t.encode() for t in texts], 200)
+
+
 def test_repeated_strings_like_sql(spark):
     from siftwave.llm.suffix_dedup import OP12_SQL, op12_suffix_dedup
 
