@@ -15,18 +15,26 @@ COUNTERS = ["차", "번", "위", "일", "명", "원", "만", "억", "퍼", "개"
 
 SPACE, HANGUL = r" \t\r\n\f\x0b", "가-힣ㄱ-ㅣ"
 LABEL = f"[A-Za-z0-9{HANGUL}-]"
-#: Labels end at 63 characters, as in host names, so that matching is linear in texts without spaces.
-DOMAIN = rf"(?:{LABEL}{{1,63}}\.)+{LABEL}{{2,63}}"
+#: Labels end at 63 characters, as in host names. A name goes on to its last label of two characters or more. Java repeats a group on its stack
+#: unless it never gives back, which overflowed in names of some thousand labels, so here it never does.
+START, NEXT = rf"{LABEL}{{1,63}}\.(?:{LABEL}\.)*+", rf"{LABEL}{{2,63}}"
+DOMAIN = rf"{START}{NEXT}(?:\.(?:{LABEL}\.)*+{NEXT})*+"
+#: Where no name starts: other characters, labels too long or without a dot or a last one. They are read over before a name or the end, as trying
+#: each place would take a label's length for each of its characters.
+NO_NAME = rf"[^{LABEL[1:]}++|{LABEL}+(?={LABEL}{{63}}\.)|{START}(?!{LABEL}{{2}})"
 REST = rf"[^{SPACE}\[\]<>\p{{So}}]"
 LINK_PATTERN = f"https?://{REST}+"
-BARE_PATTERN = f"{DOMAIN}(?:/{REST}*)?"
-SPACED_PATTERN = rf"(?:https?://)?{DOMAIN}(?:/[A-Za-z0-9{HANGUL}/?=&%_.-]*)?"
+#: The name is group 1, empty at the end of the text.
+BARE_PATTERN = rf"(?:{LABEL}++(?!\.)|{NO_NAME})*+(?:({DOMAIN}(?:/{REST}*)?)|\z)"
+SCHEME_LAST = rf"{LABEL}+(?=https?://)|https?://(?!{START}{LABEL}{{2}})"
+SPACED_PATTERN = rf"(?:{LABEL}++(?!\.)(?!(?<=https?)://)|{SCHEME_LAST}|{NO_NAME})*+(?:((?:https?://)?{DOMAIN}(?:/[A-Za-z0-9{HANGUL}/?=&%_.-]*)?)|\z)"
 TAIL_PATTERN = rf"(?i)(?:{'|'.join(TAIL_WORDS)})[.,;:!?)\]}}\"'{SPACE}]*$"
 #: Pattern and group to keep: Hangul after the top-level domain, Hangul labels in front, a Hangul start of a
-#: two-label host.
+#: two-label host. The first goes on to the last such domain.
+GLUED_TOP = f"[A-Za-z]{{2,7}}[{HANGUL}]"
 GLUED = [
-    rf"^((?:https?://)?(?:[^/.]+\.)+[A-Za-z]{{2,7}})[{HANGUL}][^/]*",
-    rf"^(?:[^./]*[{HANGUL}][^./]*\.)+([A-Za-z0-9-]+\.[A-Za-z].*)$",
+    rf"^((?:https?://)?(?:(?:[^/.]++\.(?!{GLUED_TOP}))*+[^/.]++\.(?={GLUED_TOP}))++[A-Za-z]{{2,7}})[{HANGUL}][^/]*",
+    rf"^(?:[^./]*[{HANGUL}][^./]*\.)++([A-Za-z0-9-]+\.[A-Za-z].*)$",
     rf"^[{HANGUL}]+([A-Za-z0-9-]+\.[A-Za-z]{{2,7}}(?:/.*)?)$",
 ]
 #: What is cut from a path: Hangul right behind a letter or digit, with digits before it that it counts.
@@ -67,15 +75,16 @@ def extract_urls(df: DataFrame, text: str, given: str | None = None, models: str
     need a known top-level domain and a name that isn't a number. Spaced-out URLs count where nothing read before lies
     within them. Shortened URLs lose decoration behind them if `ranked`, hosts become Punycode. Null texts give no URLs."""
     body, every = F.coalesce(F.col(text), F.lit("")), lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
+    names = lambda c, p: F.filter(F.regexp_extract_all(c, F.lit(p), F.lit(1)), lambda u: u != "")
     decoded = F.col("_decoded")
-    more = lambda p: F.when(decoded != body, F.concat(every(body, p), every(decoded, p))).otherwise(every(body, p))
+    more = lambda read, p: F.when(decoded != body, F.concat(read(body, p), read(decoded, p))).otherwise(read(body, p))
     none = F.array().cast("array<string>")
     first = F.when(F.coalesce(F.col(given), F.lit("")) != "", F.array(with_scheme(F.col(given)))).otherwise(none) if given else none
     if models:
         proposed = F.transform(F.filter(F.coalesce(F.col(models), none), lambda u: F.char_length(u) > 3), lambda u: with_scheme(F.trim(u)))
         first = F.concat(F.when(F.size(first) > 0, F.reverse(proposed)).otherwise(proposed), first)
     steps = df.withColumn("_decoded", T.deobfuscate(T.nfkc(body)))
-    steps = steps.withColumns({"_raw": more(LINK_PATTERN), "_names": more(BARE_PATTERN), "_spaced": every(T.strip_ascii_space(body), SPACED_PATTERN)})
+    steps = steps.withColumns({"_raw": more(every, LINK_PATTERN), "_names": more(names, BARE_PATTERN), "_spaced": names(T.strip_ascii_space(body), SPACED_PATTERN)})
     known = F.transform(F.concat(first, "_raw", "_names"), without_scheme)
     tidy = lambda c: F.transform(c, lambda u: unglued(cleaned(u)))
     links = F.concat(first, F.filter(tidy(F.col("_raw")), lambda u: F.char_length(u) > 7))

@@ -54,6 +54,13 @@ def test_extracted_urls_keep_the_order_of_shorteners(spark, tmp_path):
     assert got[2] == "http://bit.ly/abc http://www.site.org/q"
 
 
+def test_extracted_urls_of_names_of_many_labels(spark, tmp_path):
+    """Thousands of labels in a row, which took the stack of a task and with it the executor; labels too long, schemes without a name."""
+    docs = documents((1, "ab. " * 9000), (2, "ab." * 9000 + "com"), (3, "a." * 40_000 + "b"), (4, "x" * 70 + ".com/p"), (5, "xhttps://" + "y" * 70 + ".net"), (6, "http: //a.b. see http://c.de/f"))
+    got = dict((r[0], r[2]) for r in same_rows(spark, tmp_path, "extracted_urls", documents=docs))
+    assert got[2] == "http://" + "ab." * 9000 + "com" and got[4] == "http://" + "x" * 63 + ".com/p"
+
+
 def test_common_signature_by_reach(spark):
     """Members only tell how far each place of the shortest one reaches in them; clusters in slices give the same."""
     r, alphabet = random.Random(3), "ab1é가漢"

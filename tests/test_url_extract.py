@@ -80,3 +80,8 @@ def test_url_tests(spark):
     assert ask(["HAM-12", "x", None], T.code_int) == [12, None, None]
     assert ask(["a b\r\nc"], T.signature_text) == ["abc"]
     assert ask(["a" * 5 + "ⓐ", "a?b.com", "plain text", "?" * 12], T.masked_domain) == [False, True, False, False]
+
+
+def test_glued_names_of_many_labels(spark):
+    df = spark.createDataFrame([("see https://" + "ab." * 5000 + "com가입 now",), ("see https://ab.co가.kr나/p.q다 now",), ("가" + ".가나" * 5000 + ".ab.com/p now",)], "t string")
+    assert [r.urls for r in extract_urls(df, "t").collect()] == [["https://" + "ab." * 5000 + "com"], ["https://ab." + "co가".encode("idna").decode() + ".kr/p.q"], ["http://ab.com/p"]]
